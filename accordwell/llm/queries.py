@@ -5,10 +5,20 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, piece_bpe, topk
+from . import langid, packing, piece_bpe, quality, topk, toxicity
 from .common import table
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify_languages(docs, langid.fit_language_model(docs))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit_quality_model(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
     return topk.exact_top_k(vectors.where("vec_id % 100 = 0"), vectors, k=10)
@@ -39,14 +49,22 @@ def op4_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_documents(table(spark, sf_dir, "documents"), path, digests=True)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit_toxicity_model(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack_documents(table(spark, sf_dir, "documents"), path)
 
 
 QUERIES = {
+    "op1_language": op1_language,
+    "op2_quality": op2_quality,
     "op3_top_k": op3_top_k,
     "op4_piece_bpe": op4_piece_bpe,
+    "op7_toxicity": op7_toxicity,
     "op9_packing": op9_packing,
 }
 ORACLES: dict[str, str] = {"op3_top_k": OP3_SQL}
