@@ -35,32 +35,79 @@ class WordIds:
     """Ids of texts as little-endian 32-bit bytes, with a bounded memory of words.
 
     The tokenizer splits at white space and drops it, so a text's ids are those of its
-    white-space-free chunks; only chunks that were not seen before go to the tokenizer.
+    white-space-free chunks; only chunks that were not seen before go to the tokenizer. A final
+    punctuation mark after a letter is a token run of its own, and ASCII words don't depend on case, so
+    such chunks share the ids of their stem.
     """
 
-    REMEMBER = 500_000
+    REMEMBER = 1_000_000
+    FINAL = frozenset(".,;:!?")
 
     def __init__(self, path: str) -> None:
         self.tokenizer = load_tokenizer(path)
-        self.seen: dict[str, bytes] = {"": b""}
+        size = self.tokenizer.get_vocab_size()
+        self.ends_word = np.array([str(self.tokenizer.id_to_token(i)).endswith("</w>") for i in range(size)])
+        self.forget()
+
+    def forget(self) -> None:
+        self.seen: dict[str, bytes] = {"": b""} | {c: self._one(c) for c in self.FINAL}
+
+    def _one(self, chunk: str) -> bytes:
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _stem(self, chunk: str) -> tuple[str, str]:
+        stem, mark = chunk, ""
+        # letters below U+0250, but for one, stay single letters in normal form and lower case
+        if len(chunk) > 1 and chunk[-1] in self.FINAL and chunk[-2].isalpha() and "\u0250" > chunk[-2] != "\u0130":
+            stem, mark = chunk[:-1], chunk[-1]
+        return stem.lower() if stem.isascii() and "<" not in stem else stem, mark
+
+    def learn(self, chunks: set[str]) -> None:
+        seen, plain, odd, shared = self.seen, [], [], []
+        for c in chunks:
+            if c.islower() and c.isalpha():
+                plain.append(c)
+            else:
+                shared.append((c, *self._stem(c)))
+        for stem in {s for _, s, _ in shared}:
+            if stem not in seen and not (stem in chunks and stem.islower() and stem.isalpha()):
+                (plain if stem.isalpha() else odd).append(stem)
+        for at in range(0, len(plain), 4096):
+            some = plain[at : at + 4096]
+            # a word of letters only is one run, whose last token alone ends a word
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+            if len(ends) != len(some):  # lower case has added a mark to a letter
+                odd += some
+                continue
+            raw = ids.tobytes()
+            seen.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends], ends))))
+        for at in range(0, len(odd), 4096):
+            some = odd[at : at + 4096]
+            for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                seen[word] = np.array(e.ids, "<u4").tobytes()
+        for chunk, stem, mark in shared:
+            seen[chunk] = seen[stem] + seen[mark]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         k = 0
         while k < len(texts):
-            some, chars = [], 0
+            if len(self.seen) > self.REMEMBER:
+                self.forget()
+            some, new, chars = [], set(), 0
             while k < len(texts) and (not some or chars + len(texts[k]) < 1_000_000):
-                some.append(texts[k].replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
+                chunks = texts[k].replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+                found = list(map(self.seen.get, chunks))
+                lacking = [i for i, x in enumerate(found) if x is None] if None in found else []
+                new.update([chunks[i] for i in lacking])
+                some.append((chunks, found, lacking))
                 chars += len(texts[k])
                 k += 1
-            if len(self.seen) > self.REMEMBER:
-                self.seen = {"": b""}
-            new = list({w for words in some for w in words if w not in self.seen})
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    self.seen[w] = np.array(e.ids, "<u4").tobytes()
-            for words in some:
-                yield b"".join(map(self.seen.__getitem__, words))
+            self.learn(new)
+            for chunks, found, lacking in some:
+                for i in lacking:
+                    found[i] = self.seen[chunks[i]]
+                yield b"".join(found)
 
 
 def first_fit_decreasing(lengths: list[int], capacity: int) -> list[int]:
