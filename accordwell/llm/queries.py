@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, piece_bpe, quality, topk, toxicity
+from . import langid, packing, piece_bpe, quality, substring, topk, toxicity
 from .common import table
 
 
@@ -49,6 +49,10 @@ def op4_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_documents(table(spark, sf_dir, "documents"), path, digests=True)
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity_model(docs, table(spark, sf_dir, "labels")))
@@ -64,6 +68,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_top_k": op3_top_k,
     "op4_piece_bpe": op4_piece_bpe,
+    "op5_substring": op5_substring,
     "op7_toxicity": op7_toxicity,
     "op9_packing": op9_packing,
 }
