@@ -46,3 +46,14 @@ def materialise(df: DataFrame) -> DataFrame:
     path = shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded_sample(rows: DataFrame, n: int, of: int, *keys: str) -> list:
+    """About ``n`` of ``of`` rows, in a fixed order: those whose hash of ``keys`` is in the lowest n-th of all hashes.
+
+    The share is applied where the rows are, so tasks send no more than what is taken; if the keys repeat so
+    much that more than 2n rows qualify, 2n of them are taken.
+    """
+    low = -(2**63) + min(2**64 - 1, 2**64 * n // max(1, of))
+    hashed = rows.withColumn("hash_", F.xxhash64(*keys)).where(F.col("hash_") <= F.lit(low).cast("long"))
+    return sorted(hashed.limit(2 * n).collect(), key=lambda r: (r.hash_, *(str(x) for x in r)))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import bounded_sample, held_out
 
 #: Documents to fit on, and how many characters of each, from its middle.
 FIT_DOCS, FIT_CHARS = 3000, 1000
@@ -178,17 +178,13 @@ def gather(data: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def fit_language_model(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS, steps: int = 400) -> ByteGRU:
     """Learn from text and lang of the rows that aren't held out and have both.
 
-    At most ``fit_docs`` documents, the first by a hash of their id, and ``fit_chars`` characters
+    About ``fit_docs`` documents, by a hash of their id, and ``fit_chars`` characters
     from the middle of each, are fetched: a bounded sample. No such rows: a model without languages.
     """
     middle = F.greatest(F.lit(1), ((F.length("text") - fit_chars) / 2).cast("int"))
-    sample = (
-        docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-        .select("lang", F.substring("text", middle, F.lit(fit_chars)).alias("text"), F.xxhash64("doc_id").alias("h"))
-        .orderBy("h", "text")
-        .limit(fit_docs)
-        .collect()
-    )
+    known = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    text = known.where(F.col("text").isNotNull()).select("doc_id", "lang", F.substring("text", middle, F.lit(fit_chars)).alias("text"))
+    sample = bounded_sample(text, fit_docs, known.count(), "doc_id")
     languages = sorted({r.lang for r in sample})
     model = ByteGRU(languages)
     rows, labels = [], []

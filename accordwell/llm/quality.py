@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import bounded_sample, held_out
 from .subwords import WordTable, in_portions, subword_features
 
 #: Labelled documents to fit on, and how many characters of each, from its start.
@@ -81,19 +81,12 @@ def document_features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 def fit_quality_model(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> SubwordClassifier | None:
     """Learn label ``quality`` from the rows of ``labels`` that aren't held out and have text.
 
-    At most ``fit_docs`` documents, the first by a hash of their id, and their first ``fit_chars``
+    About ``fit_docs`` documents, by a hash of their id, and their first ``fit_chars``
     characters, are fetched: a bounded sample. None if it has fewer than two kinds of label.
     """
-    known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("truth"))
-    sample = (
-        docs.where(F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-        .select("doc_id", F.substring("text", 1, fit_chars).alias("text"))
-        .join(known, "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "text")
-        .limit(fit_docs)
-        .select("text", "truth")
-        .collect()
-    )
+    known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("truth"))
+    text = docs.where(F.col("text").isNotNull()).select("doc_id", F.substring("text", 1, fit_chars).alias("text"))
+    sample = bounded_sample(text.join(known, "doc_id"), fit_docs, known.count(), "doc_id")
     if len({r.truth for r in sample}) < 2:
         return None
     return SubwordClassifier().fit(document_features([r.text for r in sample]), np.array([r.truth for r in sample]))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import bounded_sample, held_out
 from .subwords import WordTable, in_portions, subword_features
 
 #: Toxic and unlabelled documents to fit on, and how many characters of each, from its start.
@@ -99,18 +99,21 @@ def fit_toxicity_model(
 ) -> PositiveUnlabelled | None:
     """Learn from rows that aren't held out: those whose label ``toxic`` is 1, and any others as unlabelled text.
 
-    At most ``fit_toxic`` and ``fit_unlabelled`` documents, the first by a hash of their id, and their first
+    About ``fit_toxic`` and ``fit_unlabelled`` documents, by a hash of their id, and their first
     ``fit_chars`` characters, are fetched: bounded samples. The class prior is the share of 1
     among all labels of such rows. None without a toxic row.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = known.agg(F.avg("toxic").alias("p")).first().p
-    if not share:
+    seen = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
+    if not seen.toxic:
         return None
-    text = docs.where(F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.substring("text", 1, fit_chars).alias("text"))
-    first = lambda df, n: [distinct_words(r.text) for r in df.orderBy(F.xxhash64("doc_id"), "text").limit(n).select("text").collect()]
-    toxic = first(text.join(known.where("toxic = 1").select("doc_id"), "doc_id"), fit_toxic)
-    return PositiveUnlabelled(min(0.9, share)).fit(toxic, first(text, fit_unlabelled))
+    rows = docs.where(~held_out(F.col("doc_id")))
+    text = rows.where(F.col("text").isNotNull()).select("doc_id", F.substring("text", 1, fit_chars).alias("text"))
+    toxic = bounded_sample(text.join(known.where("toxic = 1").select("doc_id"), "doc_id"), fit_toxic, seen.toxic, "doc_id")
+    other = bounded_sample(text, fit_unlabelled, rows.count(), "doc_id")
+    words = [[distinct_words(r.text) for r in some] for some in (toxic, other)]
+    return PositiveUnlabelled(min(0.9, seen.toxic / seen.n)).fit(*words)
+
 
 
 def score_toxicity(docs: DataFrame, model: PositiveUnlabelled | None) -> DataFrame:
