@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, piece_bpe, quality, substring, topk, toxicity
+from . import langid, neardup, packing, piece_bpe, quality, substring, topk, toxicity
 from .common import table
 
 
@@ -63,6 +63,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), path)
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_quality": op2_quality,
@@ -71,5 +75,6 @@ QUERIES = {
     "op5_substring": op5_substring,
     "op7_toxicity": op7_toxicity,
     "op9_packing": op9_packing,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 ORACLES: dict[str, str] = {"op3_top_k": OP3_SQL}
