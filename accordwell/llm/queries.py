@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, neardup, packing, piece_bpe, quality, substring, topk, toxicity
+from . import ann, langid, neardup, packing, piece_bpe, quality, substring, topk, toxicity
 from .common import table
 
 
@@ -53,6 +53,11 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removal_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = ann.clean_vectors(table(spark, sf_dir, "embeddings"))
+    return ann.nearest_neighbours(vectors.where("vec_id % 20 = 0"), vectors, k=20)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity_model(docs, table(spark, sf_dir, "labels")))
@@ -73,6 +78,7 @@ QUERIES = {
     "op3_top_k": op3_top_k,
     "op4_piece_bpe": op4_piece_bpe,
     "op5_substring": op5_substring,
+    "op6_neighbours": op6_neighbours,
     "op7_toxicity": op7_toxicity,
     "op9_packing": op9_packing,
     "op10_near_duplicates": op10_near_duplicates,
