@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, langid, neardup, packing, piece_bpe, quality, substring, topk, toxicity
+from . import ann, chat, langid, neardup, packing, piece_bpe, quality, substring, topk, toxicity
 from .common import table
 
 
@@ -63,6 +63,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity_model(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack_documents(table(spark, sf_dir, "documents"), path)
@@ -80,6 +84,7 @@ QUERIES = {
     "op5_substring": op5_substring,
     "op6_neighbours": op6_neighbours,
     "op7_toxicity": op7_toxicity,
+    "op8_chat": op8_chat,
     "op9_packing": op9_packing,
     "op10_near_duplicates": op10_near_duplicates,
 }
