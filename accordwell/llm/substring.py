@@ -184,7 +184,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, phrase: int = PHRAS
         routes.join(sizes, "shard")
         .withColumn("salt", F.pmod(F.xxhash64("doc_id", "tkey"), F.col("salts")).cast("int"))
         .withColumn("hot", F.col("salts") > 1)
-        .join(rows, ["doc_id", "tkey"])
+        .join(rows.hint("merge"), ["doc_id", "tkey"])
         .select("shard", "salt", "doc_id", "tkey", "hot", "text")
     )
     phrases = owned.select("anchor", shard.alias("shard")).join(sizes, "shard").select(
