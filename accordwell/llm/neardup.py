@@ -177,7 +177,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands:
     stars = placed.join(hubs, "bucket")
     edges = materialise(stars.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
     involved = edges.select(F.col("a").alias("doc_id")).unionAll(edges.select("b")).distinct()
-    known = materialise(texts.join(involved, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
+    known = materialise(texts.hint("merge").join(involved, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = known.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
