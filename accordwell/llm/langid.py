@@ -196,6 +196,40 @@ def fit_language_model(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_chars: int
     return model.fit(np.array(rows), np.array(labels), steps=steps) if len(languages) > 1 else model
 
 
+class Pooler:
+    """Languages and probabilities of whole texts."""
+
+    def __init__(self, model: ByteGRU) -> None:
+        self.languages = model.languages
+        self.labeller = Labeller(model) if len(model.languages) > 1 else None
+
+    def pool(self, texts: pa.Array, marks: bool = False) -> tuple[list[str], np.ndarray, list[bytes]]:
+        """(language, score, label of every byte if asked) of each text."""
+        raw = texts.fill_null("").cast(pa.binary())
+        offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+        sizes = offsets[1:] - offsets[:-1]
+        data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
+        known = [bool(self.languages) and any(map(str.isalpha, t or "")) for t in texts.to_pylist()]
+        pooled = np.zeros((len(raw), max(1, len(self.languages))))
+        found: list[list[bytes]] = [[] for _ in range(len(raw))]
+        if self.labeller:
+            doc, at, lengths = cut_windows(data, offsets[:-1], offsets[1:])
+            for b in range(0, len(doc), self.labeller.rows):
+                own = slice(b, b + self.labeller.rows)
+                sums, labels = self.labeller.run(gather(data, at[own], lengths[own]), lengths[own], marks)
+                np.add.at(pooled, doc[own], sums.T)
+                if marks:
+                    for j, (i, n) in enumerate(zip(doc[own], lengths[own])):
+                        found[i].append(labels[:n, j].tobytes())
+        else:
+            pooled += sizes[:, None]
+        pooled /= np.maximum(1, sizes)[:, None]
+        best = pooled.argmax(axis=1)
+        names = [self.languages[i] if x else UNKNOWN for i, x in zip(best, known)]
+        score = np.where(known, np.clip(pooled[np.arange(len(best)), best], 0, 1), 0.0)
+        return names, score, [b"".join(x) for x in found]
+
+
 def identify_languages(docs: DataFrame, model: ByteGRU, marks: bool = False) -> DataFrame:
     """Label every byte of every whole text and pool the document's probabilities.
 
@@ -204,42 +238,21 @@ def identify_languages(docs: DataFrame, model: ByteGRU, marks: bool = False) ->
     number of every byte. A text that is null or has no letter is ``und`` with score 0, and so is every text if nothing
     could be learned. Equal probabilities: the first language by name. Repeated rows are each labelled.
     """
-    languages = model.languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(model) if len(languages) > 1 else None
+        pooler = Pooler(model)
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
-                texts = part.column(1).fill_null("")
-                raw = texts.cast(pa.binary())
-                offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
-                data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
-                known = [any(map(str.isalpha, t)) for t in texts.to_pylist()]
-                pooled = np.zeros((len(raw), max(1, len(languages))))
-                if len(languages) == 1:
-                    pooled[:] = (offsets[1:] - offsets[:-1])[:, None]
-                found = [[] for _ in range(len(raw))]
-                if labeller:
-                    doc, at, lengths = cut_windows(data, offsets[:-1], offsets[1:])
-                    for b in range(0, len(doc), labeller.rows):
-                        own = slice(b, b + labeller.rows)
-                        sums, labels = labeller.run(gather(data, at[own], lengths[own]), lengths[own], marks)
-                        np.add.at(pooled, doc[own], sums.T)
-                        if marks:
-                            for j, (i, n) in enumerate(zip(doc[own], lengths[own])):
-                                found[i].append(labels[:n, j].tobytes())
-                pooled /= np.maximum(1, offsets[1:] - offsets[:-1])[:, None]
-                best = pooled.argmax(axis=1)
-                known = [x and bool(languages) for x in known]
+                names, score, labels = pooler.pool(part.column(1), marks)
                 columns = {
                     "doc_id": part.column(0),
                     "held_out": part.column(2),
-                    "lang_pred": pa.array([languages[i] if x else UNKNOWN for i, x in zip(best, known)], pa.string()),
-                    "score": pa.array(np.where(known, np.clip(pooled[np.arange(len(best)), best], 0, 1), 0.0), pa.float64()),
+                    "lang_pred": pa.array(names, pa.string()),
+                    "score": pa.array(score, pa.float64()),
                 }
                 if marks:
-                    columns["labels"] = pa.array([b"".join(x) for x in found], pa.binary())
+                    columns["labels"] = pa.array(labels, pa.binary())
                 yield pa.RecordBatch.from_pydict(columns)
 
     narrow = docs.select(
@@ -247,3 +260,18 @@ def identify_languages(docs: DataFrame, model: ByteGRU, marks: bool = False) ->
     )
     schema = "doc_id long, held_out boolean, lang_pred string, score double"
     return narrow.mapInArrow(run, schema + ", labels binary" if marks else schema)
+
+
+def keep_identified(docs: DataFrame, model: ByteGRU, least: float) -> DataFrame:
+    """The rows of ``docs`` whose text has a language with a score of at least ``least``; all columns are kept."""
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pooler = Pooler(model)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                names, score, _ = pooler.pool(part.column(place))
+                yield part.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, score)]))
+
+    return docs.mapInArrow(run, docs.schema)

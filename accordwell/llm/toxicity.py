@@ -116,31 +116,41 @@ def fit_toxicity_model(
 
 
 
+class Scorer:
+    """Scores whole texts; remembers the words it has seen, up to a bound."""
+
+    def __init__(self, model: PositiveUnlabelled | None) -> None:
+        self.model = model
+        self.table = WordTable(self._describe)
+
+    def _describe(self, words: list[str]) -> np.ndarray:
+        if not words or not self.model:
+            return np.zeros(len(words))
+        features, counts = subword_features(words, BITS, LEAST, MOST)
+        return np.add.reduceat(self.model.weights[features], np.cumsum(counts) - counts) * counts**-0.5
+
+    def score(self, texts: pa.Array) -> np.ndarray:
+        odds = []
+        for some in in_portions([t or "" for t in texts.to_pylist()], distinct_words):
+            self.table.learn(some)
+            for words in some:
+                odds.append(pool(self.table.rows[self.table.numbers(words)])[0] + self.model.bias if words and self.model else -np.inf)
+        return 1 / (1 + np.exp(-np.clip(np.array(odds, np.float64), -745, 500)))
+
+
 def score_toxicity(docs: DataFrame, model: PositiveUnlabelled | None) -> DataFrame:
     """Score every whole text of ``docs`` (doc_id, text; other columns are ignored).
 
     Per row: doc_id, held_out, score (probability of label 1), predicted (1 from 0.5 on). A text that is null
     or has no letters scores 0, and so does every text without a model. Repeated rows are each scored.
     """
-    weights, bias = (model.weights, model.bias) if model else (np.zeros(1 << BITS), 0.0)
-
-    def describe(words: list[str]) -> np.ndarray:
-        if not words:
-            return np.zeros(0)
-        features, counts = subword_features(words, BITS, LEAST, MOST)
-        return np.add.reduceat(weights[features], np.cumsum(counts) - counts) * counts**-0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(describe)
+        scorer = Scorer(model)
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
-                scores = []
-                for some in in_portions([t or "" for t in part.column(1).to_pylist()], distinct_words):
-                    table.learn(some)
-                    for words in some:
-                        scores.append(pool(table.rows[table.numbers(words)])[0] + bias if words and model else -np.inf)
-                score = 1 / (1 + np.exp(-np.clip(scores, -745, 500)))
+                score = scorer.score(part.column(1))
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": part.column(0),
@@ -154,3 +164,17 @@ def score_toxicity(docs: DataFrame, model: PositiveUnlabelled | None) -> DataFra
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held_out")
     )
     return narrow.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, model: PositiveUnlabelled | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose text scores below ``threshold``; all columns are kept."""
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                yield part.filter(pa.array(scorer.score(part.column(place)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
