@@ -1,23 +1,56 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences, stage by stage.
+
+``STAGES`` names the stages in order. Each takes all that its predecessor kept; every stage but
+the last returns the columns of ``documents``. ``run`` writes each stage's result to the shared folder and reads it again.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from accordwell.llm.common import materialise
-from accordwell.llm.packing import pack_documents
+from accordwell.llm import langid, neardup, substring, toxicity
+from accordwell.llm import packing as packer
+from accordwell.llm.common import materialise, table
 
-#: The stages are chained through Parquet; SQL can't express the models among them.
+#: SQL can't express the models among the stages.
 ORACLE_SQL = None
+#: A document needs this mean probability of its language. Documents in two languages pass.
+LEAST_LANGUAGE_SCORE = 0.3
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or in no learned language, go."""
+    return langid.keep_identified(docs, langid.fit_language_model(docs), LEAST_LANGUAGE_SCORE)
+
+
+def toxic_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more for toxicity go."""
+    return toxicity.drop_toxic(docs, toxicity.fit_toxicity_model(docs, table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the document with the smallest doc_id stays."""
+    return neardup.keep_one_of_each(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in passages of 50 words that an earlier document has go; the documents stay."""
+    return substring.remove_repeats(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences of 4096 tokens; one row per piece."""
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packer.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("packing", packing)]
+STAGES = [
+    ("language_id", language_id),
+    ("toxicity", toxic_text),
+    ("minhash_near_dedup", near_duplicates),
+    ("substring_dedup", repeated_passages),
+    ("packing", packing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
