@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ class WordIds:
     such chunks share the ids of their stem.
     """
 
-    REMEMBER = 1_000_000
+    REMEMBER, PORTION = 1_000_000, 1000
     FINAL = frozenset(".,;:!?")
 
     def __init__(self, path: str) -> None:
@@ -89,25 +90,19 @@ class WordIds:
         for chunk, stem, mark in shared:
             seen[chunk] = seen[stem] + seen[mark]
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        k = 0
-        while k < len(texts):
+    def encode(self, texts: pa.StringArray) -> Iterator[bytes]:
+        """The ids of each text, null as empty. Arrow splits the texts and finds the distinct chunks."""
+        for k in range(0, len(texts), self.PORTION):
             if len(self.seen) > self.REMEMBER:
                 self.forget()
-            some, new, chars = [], set(), 0
-            while k < len(texts) and (not some or chars + len(texts[k]) < 1_000_000):
-                chunks = texts[k].replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-                found = list(map(self.seen.get, chunks))
-                lacking = [i for i, x in enumerate(found) if x is None] if None in found else []
-                new.update([chunks[i] for i in lacking])
-                some.append((chunks, found, lacking))
-                chars += len(texts[k])
-                k += 1
-            self.learn(new)
-            for chunks, found, lacking in some:
-                for i in lacking:
-                    found[i] = self.seen[chunks[i]]
-                yield b"".join(found)
+            chunks = pc.ascii_split_whitespace(texts.slice(k, self.PORTION).fill_null(""))
+            coded = chunks.values.dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            self.learn({w for w in words if w not in self.seen})
+            ids = pa.array(map(self.seen.__getitem__, words), pa.large_binary()).take(coded.indices)
+            cuts = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset :][chunks.offsets.to_numpy()].tolist()
+            raw = (ids.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
+            yield from map(raw.__getitem__, map(slice, cuts[:-1], cuts[1:]))
 
 
 def first_fit_decreasing(lengths: list[int], capacity: int) -> list[int]:
@@ -157,7 +152,7 @@ def pack_documents(
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
                 counts, crcs, ids = [], [], []
-                for raw in words.encode([t or "" for t in part.column(1).to_pylist()]):
+                for raw in words.encode(part.column(1)):
                     raw += end
                     counts.append(len(raw) // 4)
                     crcs.append([zlib.crc32(raw[i : i + step]) for i in range(0, len(raw), step)])
