@@ -1,3 +1,3 @@
 """Importing this module registers every query of the library."""
 
-from .operators import compare, evaluation, lineage, state, temporal  # noqa: F401
+from .operators import compare, evaluation, gates, lineage, state, temporal  # noqa: F401
