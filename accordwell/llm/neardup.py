@@ -7,8 +7,8 @@ arrival. Two texts agree in a slot with the probability that is their probabilit
 
 Equal word sequences are one node. Nodes that agree in a band of slots are candidates. The smallest node of a bucket is
 compared exactly with the others there, and what is similar enough is linked; buckets whose
-nodes are then still in several components are compared block by block on their signatures, and the pairs that may
-reach the threshold exactly. So no link between different texts is lost, and groups of copies cost a comparison
+nodes are then still in several components are compared block by block: on their signatures, and where those may
+reach the threshold and the two aren't connected yet, exactly. So no link between different texts is lost, and groups of copies cost a comparison
 for each text, not for each pair.
 """
 
@@ -139,23 +139,44 @@ def _similar(threshold: float):
     return run
 
 
-def _cross_pairs(threshold: float, slots: int):
+def _cross_links(threshold: float, slots: int):
     # four and a half standard errors below the threshold
     least = int(slots * (threshold - 4.5 * (threshold * (1 - threshold) / slots) ** 0.5))
 
     def run(group: pa.Table) -> pa.Table:
         digest = np.frombuffer(b"".join(group.column("digest").to_pylist()), np.uint16).reshape(group.num_rows, -1)
+        bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
         label, node, block = (group.column(c).to_numpy() for c in ("label", "node", "block"))
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        out: tuple[list, list] = ([], [])
-        for r in left:
+        bucket, i, j = (group.column(c)[0].as_py() for c in ("bucket", "i", "j"))
+        texts, hasher = group.column("text"), RunHasher()
+        sets: dict[int, tuple] = {}
+        root = {x: x for x in label.tolist()}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        def of(r: int) -> tuple:
+            if r not in sets:
+                sets[r] = shingles(hasher, hasher.words([WORDS.findall(texts[r].as_py() or "")])[0])
+            return sets[r]
+
+        links: list[tuple[int, int]] = []
+        right = np.flatnonzero(block == j)
+        for r in np.flatnonzero(block == i):
             others = right[(label[right] != label[r]) & ((node[right] > node[r]) | (i != j))]
-            near = others[(digest[others] == digest[r]).sum(axis=1) >= least]
-            out[0].append(np.full(len(near), node[r]))
-            out[1].append(node[near])
-        flat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in out]
-        return pa.table({"a": pa.array(flat[0], pa.int64()), "b": pa.array(flat[1], pa.int64())})
+            agree = (digest[others] == digest[r]).sum(axis=1)
+            others, agree = others[agree >= least], agree[agree >= least]
+            # each pair in the first of the bands that it shares
+            first = (bands[others] == bands[r]).argmax(axis=1)
+            mine = bands[r][first] == bucket
+            for o in others[mine][np.argsort(-agree[mine], kind="stable")].tolist():
+                x, y = find(int(label[r])), find(int(label[o]))
+                if x != y and probability_jaccard(of(int(r)), of(o)) >= threshold:
+                    root[x] = y
+                    links.append((int(label[r]), int(label[o])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return run
 
@@ -191,14 +212,15 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands:
     members = stars.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", label)
     open_buckets = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high")
     rest = members.join(open_buckets.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket")
+    signs = heads.groupBy("node").agg(F.min(F.struct("digest", "bands")).alias("s")).select("node", "s.*")
     blocks = (
         rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .join(signs, "node")
+        .join(known.select(F.col("doc_id").alias("node"), "text"), "node")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", "node", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        .join(heads.groupBy("node").agg(F.min("digest").alias("digest")), "node")
+        .select("bucket", "node", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "digest", "bands", "text")
     )
-    pairs = blocks.groupBy("bucket", "i", "j").applyInArrow(_cross_pairs(threshold, bands * rows), "a long, b long").distinct()
-    more = materialise(verified(pairs))
+    more = materialise(blocks.groupBy("bucket", "i", "j").applyInArrow(_cross_links(threshold, bands * rows), "a long, b long").distinct())
     if not more.isEmpty():
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionAll(more))
     ids = (
