@@ -249,7 +249,7 @@ def agg_genre_distribution(spark, sf_dir):
 
 @query(
     "agg_provenance_ids",
-    "SELECT o_orderpriority AS metric, CAST(count(*) AS BIGINT) AS n, array_to_string(list_sort(list(CAST(o_orderkey AS VARCHAR)) FILTER (o_orderkey % 500 = 0)), ',') AS witnesses FROM orders GROUP BY 1",
+    "SELECT o_orderpriority AS metric, CAST(count(*) AS BIGINT) AS n, coalesce(array_to_string(list_sort(list(CAST(o_orderkey AS VARCHAR)) FILTER (o_orderkey % 500 = 0)), ','), '') AS witnesses FROM orders GROUP BY 1",
 )
 def agg_provenance_ids(spark, sf_dir):
     """From an aggregate back to rows: a metric's witnesses (every 500th), in order."""
