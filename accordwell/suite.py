@@ -1,5 +1,6 @@
 """Importing this module registers every query of the library."""
 
-from .operators import compare, documents, evaluation, gates, lineage, mapping, state, temporal  # noqa: F401
+from .operators import compare, documents, evaluation, extraction, gates, lineage, mapping, state, temporal  # noqa: F401
+from .plans import chains  # noqa: F401
 from .sources import selection  # noqa: F401
 from .streaming import queries  # noqa: F401
