@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 HIST = "query_id long, bin long, n long"
 FOUND = "query_id long, vec_id long, score long"
 
@@ -129,9 +131,9 @@ def exact_top_k(
             .where("upto >= need and upto - n < need")
             .select("query_id", "bin", (F.col("upto") - F.col("n")).alias("above"))
         )
-        state = (
-            state.join(kth, "query_id", "left")
-            .select(
+        # written each round: the next one reads it three times, so plans would grow threefold with every round
+        state = materialise(
+            state.join(kth, "query_id", "left").select(
                 "query_id",
                 "v",
                 "dim",
