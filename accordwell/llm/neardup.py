@@ -84,6 +84,43 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float(np.sum(1 / (more[common] / x[common] + rest[common] / y[common])))
 
 
+class Overlaps:
+    """Upper bounds of a weighted set's probability Jaccard with many others, for whole arrays at once.
+
+    The sum that a common shingle d is divided by is at least x / x[d] plus what only y has / y[d], and the same with
+    both exchanged; without repeated shingles that is the sum itself.
+    """
+
+    PORTION = 1_000_000
+
+    def __init__(self, sets: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.cut = np.cumsum([0, *(len(s) for s, _ in sets)])
+        every, self.code = np.unique(np.concatenate([s for s, _ in sets]), return_inverse=True)
+        self.weight = np.concatenate([c for _, c in sets]).astype(np.float64)
+        self.mass = np.add.reduceat(self.weight, self.cut[:-1])
+        self.own = np.zeros(len(every))
+
+    def bounds(self, r: int, others: np.ndarray) -> np.ndarray:
+        mine = slice(self.cut[r], self.cut[r + 1])
+        self.own[self.code[mine]] = self.weight[mine]
+        portion = np.cumsum(self.cut[others + 1] - self.cut[others]) // self.PORTION
+        out = [self._bounds(r, some) for some in np.split(others, np.flatnonzero(np.diff(portion)) + 1)]
+        self.own[self.code[mine]] = 0
+        return np.concatenate(out)
+
+    def _bounds(self, r: int, others: np.ndarray) -> np.ndarray:
+        n = self.cut[others + 1] - self.cut[others]
+        whose = np.repeat(np.arange(len(others)), n)
+        at = np.repeat(self.cut[others] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        x, y = self.own[self.code[at]], self.weight[at]
+        only_x = self.mass[r] - np.bincount(whose, weights=x, minlength=len(others))
+        common = x > 0
+        whose, x, y = whose[common], x[common], y[common]
+        only_y = self.mass[others] - np.bincount(whose, weights=y, minlength=len(others))
+        least = np.maximum(self.mass[r] / x + only_y[whose] / y, self.mass[others][whose] / y + only_x[whose] / x)
+        return np.bincount(whose, weights=1 / least, minlength=len(others))
+
+
 def _sign(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, slots = RunHasher(), bands * rows
@@ -149,7 +186,6 @@ def _cross_links(threshold: float, slots: int):
         label, node, block = (group.column(c).to_numpy() for c in ("label", "node", "block"))
         bucket, i, j = (group.column(c)[0].as_py() for c in ("bucket", "i", "j"))
         texts, hasher = group.column("text"), RunHasher()
-        sets: dict[int, tuple] = {}
         root = {x: x for x in label.tolist()}
 
         def find(x: int) -> int:
@@ -157,12 +193,7 @@ def _cross_links(threshold: float, slots: int):
                 root[x] = x = root[root[x]]
             return x
 
-        def of(r: int) -> tuple:
-            if r not in sets:
-                sets[r] = shingles(hasher, hasher.words([WORDS.findall(texts[r].as_py() or "")])[0])
-            return sets[r]
-
-        links: list[tuple[int, int]] = []
+        asked: list[tuple[int, np.ndarray]] = []
         right = np.flatnonzero(block == j)
         for r in np.flatnonzero(block == i):
             others = right[(label[right] != label[r]) & ((node[right] > node[r]) | (i != j))]
@@ -171,9 +202,22 @@ def _cross_links(threshold: float, slots: int):
             # each pair in the first of the bands that it shares
             first = (bands[others] == bands[r]).argmax(axis=1)
             mine = bands[r][first] == bucket
-            for o in others[mine][np.argsort(-agree[mine], kind="stable")].tolist():
+            if mine.any():
+                asked.append((int(r), others[mine][np.argsort(-agree[mine], kind="stable")]))
+        links: list[tuple[int, int]] = []
+        if asked:
+            rows = np.unique(np.concatenate([o for _, o in asked] + [[r] for r, _ in asked]))
+            sets = [shingles(hasher, hasher.words([WORDS.findall(texts[int(r)].as_py() or "")])[0]) for r in rows]
+            overlaps = Overlaps(sets)
+        for r, others in asked:
+            others = others[[find(x) != find(int(label[r])) for x in label[others].tolist()]]
+            if not len(others):
+                continue
+            here, there = int(np.searchsorted(rows, r)), np.searchsorted(rows, others)
+            may = overlaps.bounds(here, there) >= threshold - 1e-9
+            for o, k in zip(others[may].tolist(), there[may].tolist()):
                 x, y = find(int(label[r])), find(int(label[o]))
-                if x != y and probability_jaccard(of(int(r)), of(o)) >= threshold:
+                if x != y and probability_jaccard(sets[here], sets[k]) >= threshold:
                     root[x] = y
                     links.append((int(label[r]), int(label[o])))
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})

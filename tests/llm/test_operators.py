@@ -278,6 +278,21 @@ def test_signatures_estimate_the_similarity():
     assert abs((ids[0] == ids[1]).mean() - neardup.probability_jaccard(a, b)) < 0.015
 
 
+def test_bounds_are_never_below_the_similarity(monkeypatch):
+    monkeypatch.setattr(neardup.Overlaps, "PORTION", 50)
+    r, unit = np.random.default_rng(4), np.ones(40, np.int64)
+    sets = [(np.unique(r.integers(0, 40, 30).astype(np.uint64)), None) for _ in range(30)]
+    sets = [(s, r.integers(1, 4, len(s)) if k % 2 else unit[: len(s)]) for k, (s, _) in enumerate(sets)]
+    overlaps = neardup.Overlaps(sets)
+    for k in range(30):
+        others = np.delete(np.arange(30), k)
+        exact = np.array([neardup.probability_jaccard(sets[k], sets[o]) for o in others])
+        bounds = overlaps.bounds(k, others)
+        assert (bounds >= exact - 1e-12).all()
+        if k % 2 == 0:  # without repeats on either side the bound is the similarity
+            assert np.allclose(bounds[others % 2 == 0], exact[others % 2 == 0])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (5, 5), (101, 100), (200, 300)]
     got = {r.node: r.label for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
