@@ -85,6 +85,27 @@ def agg_corpus_structure(spark, sf_dir):
     return rows.select("x.format", "x.n", F.round(100.0 * F.col("x.n") / F.col("total"), 4).alias("percent"))
 
 
+def corpus_structure(texts: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
+    """Counts and shares of every format (column format) in the table; wanted formats that it lacks are rows of zero."""
+    counted = texts.groupBy("format").agg(F.count("*").alias("n"))
+    listed = texts.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, wanted))).alias("format"))
+    n = F.coalesce("n", F.lit(0))
+    rows = counted.join(listed, "format", "full_outer").crossJoin(texts.agg(F.count("*").alias("total")))
+    return rows.select("format", n.alias("n"), F.round(100.0 * n / F.nullif("total", F.lit(0)), 4).alias("percent"))
+
+
+@query(
+    "agg_corpus_structure_all",
+    """
+WITH c AS (SELECT source AS format, count(*) AS n FROM documents GROUP BY source)
+SELECT coalesce(c.format, f.format) AS format, CAST(coalesce(c.n, 0) AS BIGINT) AS n, round(100.0 * coalesce(c.n, 0) / (SELECT nullif(count(*), 0) FROM documents), 4) AS percent
+FROM c FULL JOIN (VALUES ('src0'), ('src1'), ('src2'), ('unknown')) f(format) ON c.format = f.format""",
+)
+def agg_corpus_structure_all(spark, sf_dir):
+    """Every document counts under its format, unlike in ``agg_corpus_structure``, which reports the listed formats only."""
+    return corpus_structure(P.read(spark, sf_dir, "documents").select(F.col("source").alias("format")), FORMATS)
+
+
 _STUDY = """
 WITH c AS (SELECT chain_id, count(*) AS steps, count(*) FILTER (outcome = 'APPLIED') AS applied, count(*) FILTER (outcome = 'RESOLVING') AS resolving,
   count(*) FILTER (outcome = 'UNRESOLVED') AS unresolved FROM chain_step GROUP BY chain_id)
