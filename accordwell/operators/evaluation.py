@@ -278,6 +278,18 @@ def agg_provenance_ids(spark, sf_dir):
     return P.read(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("metric")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(witness), ",").alias("witnesses"))
 
 
+def provenance_rows(rows: DataFrame) -> DataFrame:
+    """(metric, n, id): a row for each of ``rows`` (metric, id), with the count of its metric. No metric's ids are gathered."""
+    counted = rows.groupBy(F.col("metric").alias("counted")).agg(F.count("*").alias("n"))
+    return rows.join(counted, F.col("metric").eqNullSafe(F.col("counted"))).select("metric", "n", "id")
+
+
+@query("agg_provenance_rows", "SELECT o_orderpriority AS metric, CAST(count(*) OVER (PARTITION BY o_orderpriority) AS BIGINT) AS n, o_orderkey AS id FROM orders")
+def agg_provenance_rows(spark, sf_dir):
+    """From an aggregate back to all its rows; ``agg_provenance_ids`` lists every 500th only."""
+    return provenance_rows(P.read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("metric"), F.col("o_orderkey").alias("id")))
+
+
 @query(
     "agg_version_comparison",
     """

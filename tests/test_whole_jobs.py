@@ -16,3 +16,9 @@ def test_corpus_structure_accounts_for_every_document(spark):
     sf_dir = "/root/testdata/sf0.001"
     got = registry.QUERIES["agg_corpus_structure_all"](spark, sf_dir).collect()
     assert sum(r.n for r in got) == duckdb.sql(f"select count(*) from '{sf_dir}/documents.parquet'").fetchall()[0][0]
+
+
+def test_provenance_keeps_every_id(spark):
+    rows = [("a", i) for i in range(1, 1203)] + [(None, 7), (None, 501)]
+    got = {(r.metric, r.n, r.id) for r in evaluation.provenance_rows(spark.createDataFrame(rows, "metric string, id long")).collect()}
+    assert got == {("a", 1202, i) for i in range(1, 1203)} | {(None, 2, 7), (None, 2, 501)}
