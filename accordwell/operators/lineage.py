@@ -30,6 +30,21 @@ def ancestor_paths(edges: DataFrame) -> DataFrame:
     return paths
 
 
+def cycle_nodes(edges: DataFrame) -> DataFrame:
+    """The nodes that lie on cycles of ``edges`` (node, parent), where a node has one parent at most, as versions have.
+
+    Every node points at its ancestor 1, 2, 4, ... steps up, one row each; nodes that have none drop out. Once neither the
+    nodes nor their ancestors get fewer, the ancestors are the nodes on cycles. Long histories cost rounds, not rows.
+    """
+    up = materialise(edges.where("node is not null and parent is not null").select("node", F.col("parent").alias("up")).distinct())
+    before = None
+    while (now := up.agg(F.count("*"), F.count_distinct("up")).first()) != before and now[0]:
+        before = now
+        further = up.select(F.col("node").alias("up"), F.col("up").alias("above"))
+        up = materialise(up.join(further, "up").select("node", F.col("above").alias("up")))
+    return up.select(F.col("up").alias("node")).distinct()
+
+
 def parent_edges(versions: DataFrame) -> DataFrame:
     return versions.select(F.col("version_id").alias("node"), F.col("parent_version_id").alias("parent"))
 

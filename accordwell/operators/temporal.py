@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import projections as P
 from ..registry import query
+from .lineage import cycle_nodes, parent_edges
 
 AS_OF = datetime(1997, 1, 1)
 
@@ -130,6 +131,26 @@ def tmp_invalid_interval(spark, sf_dir):
     return P.commitment_version(spark, sf_dir).where("valid_to <= valid_from").select("version_id", "valid_from", "valid_to")
 
 
+def integrity_verdict(versions: DataFrame) -> DataFrame:
+    """Per agreement the counts of what must not be, and whether all are zero.
+
+    ``cycles`` counts versions on a cycle of any length, ``self_loops`` those of them that are their own parents,
+    ``contradictions`` pairs of overlapping active versions of one key.
+    """
+    known = versions.select(F.col("version_id").alias("parent_version_id"), F.lit(True).alias("known"))
+    cyclic = cycle_nodes(parent_edges(versions)).select(F.col("node").alias("version_id"), F.lit(True).alias("cyclic"))
+    contradictions = contradictory_active(versions).groupBy("agreement_id").agg(F.count("*").alias("contradictions"))
+    counts = versions.join(known, "parent_version_id", "left").join(cyclic, "version_id", "left").groupBy("agreement_id").agg(
+        F.count("*").alias("versions"),
+        F.count_if(F.col("valid_to") <= F.col("valid_from")).alias("invalid_intervals"),
+        F.count_if(F.col("parent_version_id").isNotNull() & F.col("known").isNull()).alias("orphans"),
+        F.count_if(F.col("parent_version_id") == F.col("version_id")).alias("self_loops"),
+        F.count("cyclic").alias("cycles"),
+    )
+    counts = counts.join(contradictions, "agreement_id", "left").withColumn("contradictions", F.coalesce("contradictions", F.lit(0)))
+    return counts.withColumn("sound", F.expr("invalid_intervals = 0 and orphans = 0 and cycles = 0 and contradictions = 0"))
+
+
 @query(
     "tmp_integrity_verdict",
     """
@@ -142,16 +163,8 @@ SELECT *, invalid_intervals = 0 AND orphans = 0 AND self_loops = 0 AS sound FROM
     "commitment_version",
 )
 def tmp_integrity_verdict(spark, sf_dir):
-    """Per agreement the counts of what must not be, and whether all are zero."""
-    v = P.commitment_version(spark, sf_dir)
-    known = v.select(F.col("version_id").alias("parent_version_id"), F.lit(True).alias("known"))
-    counts = v.join(known, "parent_version_id", "left").groupBy("agreement_id").agg(
-        F.count("*").alias("versions"),
-        F.count_if(F.col("valid_to") <= F.col("valid_from")).alias("invalid_intervals"),
-        F.count_if(F.col("parent_version_id").isNotNull() & F.col("known").isNull()).alias("orphans"),
-        F.count_if(F.col("parent_version_id") == F.col("version_id")).alias("self_loops"),
-    )
-    return counts.withColumn("sound", F.expr("invalid_intervals = 0 and orphans = 0 and self_loops = 0"))
+    """The whole verdict; of the counts only those that the SQL has, as the tables have neither longer cycles nor contradictions."""
+    return integrity_verdict(P.commitment_version(spark, sf_dir)).drop("cycles", "contradictions")
 
 
 @query(

@@ -1,9 +1,11 @@
 """Whole jobs on small literal tables, where a list, a filter or a prefix once cut something off."""
 
+from datetime import datetime
+
 import duckdb
 
 from accordwell import registry
-from accordwell.operators import evaluation
+from accordwell.operators import evaluation, lineage, temporal
 
 
 def test_corpus_structure_counts_formats_outside_the_list(spark):
@@ -22,3 +24,50 @@ def test_provenance_keeps_every_id(spark):
     rows = [("a", i) for i in range(1, 1203)] + [(None, 7), (None, 501)]
     got = {(r.metric, r.n, r.id) for r in evaluation.provenance_rows(spark.createDataFrame(rows, "metric string, id long")).collect()}
     assert got == {("a", 1202, i) for i in range(1, 1203)} | {(None, 2, 7), (None, 2, 501)}
+
+
+def test_cycles_of_any_length_without_what_leads_to_them(spark):
+    """Against following each node's parents one by one."""
+    parent = {i: i - 1 for i in range(2, 60)}  # a chain
+    parent |= {100: 102, 101: 100, 102: 101} | {i: i - 1 for i in range(103, 140)}  # a cycle of three with a long tail
+    parent |= {200: 200, 201: 200, 300: 301, 301: 300, 400: 999}  # one on itself, one of two, and a parent that isn't there
+    parent |= {i: 500 + (i - 499) % 37 for i in range(500, 537)}
+
+    def on_cycle(n):
+        at = parent.get(n)
+        for _ in parent:
+            if at is None or at == n:
+                break
+            at = parent.get(at)
+        return at == n
+
+    got = lineage.cycle_nodes(spark.createDataFrame([*parent.items(), (1, None)], "node long, parent long")).collect()
+    assert sorted(r.node for r in got) == sorted(n for n in parent if on_cycle(n))
+
+
+def test_verdict_sees_long_cycles_and_contradictions(spark):
+    at = lambda month: datetime(2023, month, 1)
+    rows = [
+        (1, 1, "a", None, "ACTIVE", at(1), at(3)),
+        (2, 1, "a", 1, "ACTIVE", at(3), None),
+        (3, 2, "a", 4, "ACTIVE", at(1), at(3)),  # two-step cycle
+        (4, 2, "a", 3, "ACTIVE", at(3), None),
+        (5, 3, "a", None, "ACTIVE", at(1), at(4)),  # overlapping
+        (6, 3, "a", 5, "ACTIVE", at(3), None),
+        (7, 4, "a", 99, "ACTIVE", at(1), None),
+        (8, 5, "a", None, "ACTIVE", at(2), at(2)),
+        (9, 6, "a", 9, "ACTIVE", at(1), None),
+    ]
+    schema = "version_id long, agreement_id long, canonical_key string, parent_version_id long, status string, valid_from timestamp_ntz, valid_to timestamp_ntz"
+    got = {r.agreement_id: r for r in temporal.integrity_verdict(spark.createDataFrame(rows, schema)).collect()}
+    assert {a: r.sound for a, r in got.items()} == {1: True, 2: False, 3: False, 4: False, 5: False, 6: False}
+    assert [(got[a].invalid_intervals, got[a].orphans, got[a].self_loops, got[a].cycles, got[a].contradictions) for a in range(1, 7)] == [
+        (0, 0, 0, 0, 0), (0, 0, 0, 2, 0), (0, 0, 0, 0, 1), (0, 1, 0, 0, 0), (1, 0, 0, 0, 0), (0, 0, 1, 1, 0)
+    ]
+
+
+def test_the_registered_verdict_uses_the_whole_one(spark, monkeypatch):
+    v = "version_id long, agreement_id long, canonical_key string, parent_version_id long, status string, valid_from timestamp_ntz, valid_to timestamp_ntz"
+    rows = [(1, 1, "a", 2, "ACTIVE", datetime(2023, 1, 1), datetime(2023, 2, 1)), (2, 1, "a", 1, "ACTIVE", datetime(2023, 2, 1), None)]
+    monkeypatch.setattr(temporal.P, "commitment_version", lambda spark, sf_dir: spark.createDataFrame(rows, v))
+    assert [r.sound for r in registry.QUERIES["tmp_integrity_verdict"](spark, "").collect()] == [False]
