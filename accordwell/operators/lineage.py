@@ -82,6 +82,27 @@ def grf_cycle_check(spark, sf_dir):
     return ancestor_paths(edges).where("node = ancestor").select("node")
 
 
+def plant_cycles(versions: DataFrame) -> DataFrame:
+    """All parent edges of ``versions``; every origin whose id is a multiple of 11 gets its key's third version as parent, or the last of fewer."""
+    early = F.when(F.col("version_number") <= 3, F.struct("version_number", "version_id"))
+    key = versions.groupBy("agreement_id", "canonical_key").agg(F.min_by("version_id", "version_number").alias("node"), F.max(early)["version_id"].alias("planted"))
+    planted = key.where("node % 11 = 0").select("node", "planted")
+    return parent_edges(versions).join(planted, "node", "left").select("node", F.coalesce("planted", "parent").alias("parent"))
+
+
+@query(
+    "grf_version_cycles",
+    """
+SELECT version_id AS node FROM (
+  SELECT version_id, version_number, first_value(version_id) OVER (PARTITION BY agreement_id, canonical_key ORDER BY version_number) AS origin FROM commitment_version)
+WHERE origin % 11 = 0 AND version_number <= 3""",
+    "commitment_version",
+)
+def grf_version_cycles(spark, sf_dir):
+    """Versions on cycles, over the whole lineage; ``grf_cycle_check`` runs on a small folded graph. The SQL knows where the cycles were planted."""
+    return cycle_nodes(plant_cycles(P.commitment_version(spark, sf_dir)))
+
+
 @query(
     "grf_orphans",
     """

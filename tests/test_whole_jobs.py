@@ -4,7 +4,7 @@ from datetime import datetime
 
 import duckdb
 
-from accordwell import registry
+from accordwell import projections, registry
 from accordwell.operators import evaluation, lineage, temporal
 
 
@@ -71,3 +71,23 @@ def test_the_registered_verdict_uses_the_whole_one(spark, monkeypatch):
     rows = [(1, 1, "a", 2, "ACTIVE", datetime(2023, 1, 1), datetime(2023, 2, 1)), (2, 1, "a", 1, "ACTIVE", datetime(2023, 2, 1), None)]
     monkeypatch.setattr(temporal.P, "commitment_version", lambda spark, sf_dir: spark.createDataFrame(rows, v))
     assert [r.sound for r in registry.QUERIES["tmp_integrity_verdict"](spark, "").collect()] == [False]
+
+
+def test_cycles_are_found_on_all_edges_of_the_lineage(spark):
+    """The registered query against following every edge of the planted lineage by hand."""
+    sf_dir = "/root/testdata/sf0.001"
+    versions = projections.commitment_version(spark, sf_dir)
+    parent = {r.node: r.parent for r in lineage.plant_cycles(versions).collect()}
+    assert len(parent) == versions.count()
+    want = set()
+    for n in parent:
+        at = parent[n]
+        for _ in parent:
+            if at is None or at == n:
+                break
+            at = parent.get(at)
+        if at == n:
+            want.add(n)
+    got = [r.node for r in registry.QUERIES["grf_version_cycles"](spark, sf_dir).collect()]
+    assert want and len(got) == len(want) and set(got) == want
+    assert any(parent[n] != n for n in want) and any(p in want and n not in want for n, p in parent.items())
