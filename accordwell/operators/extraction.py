@@ -131,6 +131,25 @@ def doc_composite_detection(spark, sf_dir):
     return P.read(spark, sf_dir, "documents").select("doc_id", (head(2000).rlike("(?i)license") & head(500).rlike("[A-Z]{2,}")).alias("composite"))
 
 
+def composite_segments(texts: DataFrame) -> DataFrame:
+    """(doc_id, start, composite): where the segment of the first "license" begins in the whole text, counted from 0, and
+    whether its first 500 characters have capitals in a row. No segment: null and false."""
+    head = F.regexp_extract("text", r"(?s)(?i:license).{0,493}", 0)
+    before = F.when(head != "", F.length(F.regexp_extract("text", r"(?s)^(.*?)(?i:license)", 1)))
+    return texts.select("doc_id", before.alias("start"), F.coalesce(head.rlike("[A-Z]{2,}"), F.lit(False)).alias("composite"))
+
+
+@query(
+    "doc_composite_segments",
+    """
+WITH h AS (SELECT doc_id, text, regexp_extract(text, '(?s)(?i:license).{0,493}', 0) AS head FROM documents)
+SELECT doc_id, CASE WHEN head <> '' THEN CAST(strpos(text, head) - 1 AS INTEGER) END AS start, coalesce(regexp_matches(head, '[A-Z]{2,}'), false) AS composite FROM h""",
+)
+def doc_composite_segments(spark, sf_dir):
+    """The segment wherever it begins; ``doc_composite_detection`` looks at the text's first characters only."""
+    return composite_segments(P.read(spark, sf_dir, "documents"))
+
+
 def original_dates(texts: DataFrame, near: int = 100) -> DataFrame:
     """(document_id, iso) of the first date that isn't within ``near`` characters after "Amendment": the original's date."""
     date = re.compile(r"([A-Z][a-z]+) ([0-9]{1,2}), ([0-9]{4})")

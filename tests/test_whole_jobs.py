@@ -1,11 +1,12 @@
 """Whole jobs on small literal tables, where a list, a filter or a prefix once cut something off."""
 
+import re
 from datetime import datetime
 
 import duckdb
 
 from accordwell import projections, registry
-from accordwell.operators import evaluation, lineage, temporal
+from accordwell.operators import evaluation, extraction, lineage, temporal
 
 
 def test_corpus_structure_counts_formats_outside_the_list(spark):
@@ -91,3 +92,24 @@ def test_cycles_are_found_on_all_edges_of_the_lineage(spark):
     got = [r.node for r in registry.QUERIES["grf_version_cycles"](spark, sf_dir).collect()]
     assert want and len(got) == len(want) and set(got) == want
     assert any(parent[n] != n for n in want) and any(p in want and n not in want for n, p in parent.items())
+
+
+def test_composites_are_found_wherever_they_begin(spark):
+    texts = {
+        1: "x" * 30_000 + "\nLicensed under MIT",
+        2: "LICENSE and nothing else",
+        3: "no such segment, though CAPITALS",
+        4: "HEAD \U0001f600 " + "y" * 2500 + "license " + "z" * 480 + "\nQ AB",
+        5: "license " + "z" * 490 + "AB",
+        6: "license " + "z" * 491 + "AB",
+        7: None,
+        8: "",
+    }
+    got = {r.doc_id: (r.start, r.composite) for r in extraction.composite_segments(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()}
+
+    def want(text):
+        at = (text or "").lower().find("license")
+        return (at, bool(re.search("[A-Z]{2,}", text[at : at + 500]))) if at >= 0 else (None, False)
+
+    assert got == {k: want(t) for k, t in texts.items()}
+    assert [got[k][1] for k in (1, 3, 5, 6)] == [True, False, True, False]
