@@ -1,8 +1,8 @@
 """Folding instructions over commitment states.
 
-An instruction reads and writes its own key only, so the fold is independent for every (agreement, key) and
-runs as an aggregation over that key's ordered instructions. A key's instructions are its amendments: a
-bounded history, unlike the rows of a table.
+An instruction reads and writes its own key only, so the fold is independent for every (agreement, key). A key may have
+any number of instructions: they are cut into ordered segments, each segment becomes a table of what it makes of every
+status, and a key's tables, one for each segment, are chained.
 """
 
 from __future__ import annotations
@@ -35,14 +35,41 @@ def _step(state: Column, i: Column) -> Column:
     )
 
 
+#: The statuses in which a segment may begin; null, before a commitment is added, first.
+STATUSES = (None, "ACTIVE", "WAIVED", "SUSPENDED", "DELETED")
+#: As STATE, but for a segment: whether it sets a value of its own, and which.
+EXIT = "struct<status:string,value:struct<own:boolean,value:double>,applied:int,unresolved:int>"
+
+
+def segment_tables(instructions: DataFrame) -> DataFrame:
+    """(agreement_id, target_key, segment, exits): of each segment of a key's instructions the outcome for each of STATUSES.
+
+    A segment is what a range partition in the order of key and ``step`` has of the key, so no key's instructions need meet in a task.
+    """
+    ranged = instructions.select("agreement_id", "target_key", "step", "instruction_type", "new_value").repartitionByRange("agreement_id", "target_key", "step", "instruction_type", "new_value")
+    cut = ranged.withColumn("segment", F.spark_partition_id())
+    new = F.struct(F.lit(True).alias("own"), F.col("new_value").cast("double").alias("value")).alias("new_value")
+    ordered = F.array_sort(F.collect_list(F.struct("step", "instruction_type", new)))
+    entry = lambda s: F.expr(f"cast(named_struct('status', {'null' if s is None else repr(s)}, 'value', named_struct('own', false, 'value', null), 'applied', 0, 'unresolved', 0) as {EXIT})")
+    exits = F.aggregate(ordered, F.array(*map(entry, STATUSES)), lambda states, i: F.transform(states, lambda s: _step(s, i).cast(EXIT)))
+    return cut.groupBy("agreement_id", "target_key", "segment").agg(exits.alias("exits"))
+
+
 def fold_instructions(instructions: DataFrame) -> DataFrame:
     """Final state of each (agreement_id, target_key) after its instructions in the order of ``step``.
 
     Columns: status and value (null if never added), applied, unresolved, and outcome: COMPLETE, PARTIAL or UNRESOLVED.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("step", "instruction_type", "new_value")))
+    tables = F.array_sort(F.collect_list(F.struct("segment", "exits")))
     start = F.expr(f"cast(named_struct('status', null, 'value', null, 'applied', 0, 'unresolved', 0) as {STATE})")
-    folded = instructions.groupBy("agreement_id", "target_key").agg(F.aggregate(ordered, start, lambda s, i: _step(s, i).cast(STATE)).alias("s"))
+
+    def chain(s: Column, table: Column) -> Column:
+        at = F.when(s["status"].isNull(), 1).otherwise(F.array_position(F.array(*map(F.lit, STATUSES)), s["status"]).cast("int"))
+        out = F.element_at(table["exits"], at)
+        value = F.when(out["value"]["own"], out["value"]["value"]).otherwise(s["value"])
+        return F.struct(out["status"].alias("status"), value.alias("value"), (s["applied"] + out["applied"]).alias("applied"), (s["unresolved"] + out["unresolved"]).alias("unresolved")).cast(STATE)
+
+    folded = segment_tables(instructions).groupBy("agreement_id", "target_key").agg(F.aggregate(tables, start, chain).alias("s"))
     return folded.select("agreement_id", "target_key", "s.*").withColumn("outcome", execution_status(F.col("applied"), F.col("unresolved")))
 
 

@@ -1,12 +1,13 @@
 """Whole jobs on small literal tables, where a list, a filter or a prefix once cut something off."""
 
+import random
 import re
 from datetime import datetime
 
 import duckdb
 
 from accordwell import projections, registry
-from accordwell.operators import evaluation, extraction, lineage, temporal
+from accordwell.operators import evaluation, extraction, lineage, state, temporal
 
 
 def test_corpus_structure_counts_formats_outside_the_list(spark):
@@ -113,3 +114,37 @@ def test_composites_are_found_wherever_they_begin(spark):
 
     assert got == {k: want(t) for k, t in texts.items()}
     assert [got[k][1] for k in (1, 3, 5, 6)] == [True, False, True, False]
+
+
+def test_a_long_history_is_folded_in_segments(spark):
+    """One key with most of the instructions, against folding them one after another."""
+    kinds = ["ADD_COMMITMENT", "REPLACE_VALUE", "WAIVE_TEMPORARILY", "REINSTATE", "SUSPEND", "RENUMBER_REFERENCE", "UNRESOLVED"]
+    pick = random.Random(5)
+    rows = [(1, "hot", n, pick.choice(kinds), pick.choice([None, float(n)])) for n in range(4000)] + [(1, "hot", 3990, "DELETE_COMMITMENT", None)]
+    rows += [(a, k, n, pick.choice([*kinds, "DELETE_COMMITMENT"]), float(n)) for a in range(2, 30) for k in ("x", "y") for n in range(pick.randrange(1, 9))]
+    pick.shuffle(rows)
+    schema = "agreement_id long, target_key string, step int, instruction_type string, new_value double"
+    df = spark.createDataFrame(rows, schema)
+    status_after = {"WAIVE_TEMPORARILY": "WAIVED", "REINSTATE": "ACTIVE", "SUSPEND": "SUSPENDED", "DELETE_COMMITMENT": "DELETED"}
+    want: dict = {}
+    for a, k, _, kind, new in sorted(rows, key=lambda r: r[:4]):
+        status, value, applied, unresolved = want.get((a, k), (None, None, 0, 0))
+        live = status not in (None, "DELETED")
+        if kind == "ADD_COMMITMENT" and status is None:
+            status, value, applied = "ACTIVE", new, applied + 1
+        elif kind == "REPLACE_VALUE" and status == "ACTIVE":
+            value, applied = new, applied + 1
+        elif kind in status_after and live:
+            status, applied = status_after[kind], applied + 1
+        elif kind != "RENUMBER_REFERENCE":
+            unresolved += 1
+        want[a, k] = status, value, applied, unresolved
+    got = {(r.agreement_id, r.target_key): (r.status, r.value, r.applied, r.unresolved) for r in state.fold_instructions(df).collect()}
+    assert got == want
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert state.segment_tables(df).where("target_key = 'hot'").count() > 2
+        got = {(r.agreement_id, r.target_key): (r.status, r.value, r.applied, r.unresolved) for r in state.fold_instructions(df).collect()}
+        assert got == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
