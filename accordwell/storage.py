@@ -9,9 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; only where that is unset (local tests) a temporary one is set."""
+    """A fresh folder below ``spark.checkpoint.dir``.
+
+    Where that is unset, a session on ``local`` gets a temporary folder; on a cluster, whose machines
+    share no local folder, this is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="accordwell-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/accordwell/{uuid.uuid4().hex}"
