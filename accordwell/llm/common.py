@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import pickle
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialise, shared_dir  # noqa: F401  used by the operators
+
 #: Words are maximal runs of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A key is hot if it has more than this share of all rows, so there are at most as many hot keys as this number.
+HOT_KEYS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,39 +27,53 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below the one that the cluster shares for checkpoints.
+def portions(batch: pa.RecordBatch, place: int, rows: int = 500, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of at most ``rows`` rows whose texts, in column ``place``, have about ``size`` bytes at most (a single longer text is a slice)."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(place)), 0).to_pylist()
+    start = total = 0
+    for k, n in enumerate(sizes):
+        if k > start and (k - start >= rows or total + n > size):
+            yield batch.slice(start, k - start)
+            start, total = k, 0
+        total += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+def fit_sample(rows: DataFrame, n: int, of: int, *keys: str) -> DataFrame:
+    """About ``n`` of ``of`` rows, whole: those whose hash of ``keys`` is in the lowest n-th of all hashes; rows with equal keys count once.
 
-    The folder comes from ``spark.checkpoint.dir``; only where that is unset (as in
-    local tests) does the session get a temporary one.
+    The share is applied where the rows are. As equal keys count once, the number taken is a binomial count of mean ``n`` at most,
+    however much rows repeat. Columns: hash_ and those of ``rows`` (of rows with equal keys, the smallest).
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="accordwell-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/accordwell/{uuid.uuid4().hex}"
+    low = -(2**63) + min(2**64 - 1, 2**64 * n // max(1, of))
+    hashed = rows.withColumn("hash_", F.xxhash64(*keys)).where(F.col("hash_") <= F.lit(low).cast("long"))
+    return hashed.groupBy("hash_").agg(F.min(F.struct(*rows.columns)).alias("row_")).select("hash_", "row_.*")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def fit_in_task(sample: DataFrame, fit: Callable[[pa.Table], object]) -> object:
+    """What ``fit`` makes of a bounded sample (see ``fit_sample``), in the order of its hashes; it runs in one task, the driver gets only the model."""
+    names = sample.columns
 
-    Cuts the lineage, so that several consumers don't repeat the work and a lost
-    executor costs no more than the reader's own tasks.
-    """
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        if parts:
+            rows = pa.Table.from_batches(parts)
+            rows = rows.take(pa.array(sorted(range(rows.num_rows), key=rows.column("hash_").to_pylist().__getitem__)))
+            yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(fit(rows))], pa.binary())})
+
+    made = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0].model) if made else fit(pa.table({n: pa.array([]) for n in names}))
 
 
-def bounded_sample(rows: DataFrame, n: int, of: int, *keys: str) -> list:
-    """About ``n`` of ``of`` rows, in a fixed order: those whose hash of ``keys`` is in the lowest n-th of all hashes.
+def join_some_hot(left: DataFrame, right: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """``left`` with the columns of ``right``, a left join on ``keys``, none of whose values gathers all its rows of ``left`` in one task.
 
-    The share is applied where the rows are, so tasks send no more than what is taken; if the keys repeat so
-    much that more than 2n rows qualify, 2n of them are taken.
+    ``right`` has each key once, with a column ``n``: how many rows of ``left`` have it, ``rows`` in all. Keys with more than
+    one in ``HOT_KEYS`` of the rows are at most ``HOT_KEYS`` rows of ``right``, which are sent to all tasks; the others are joined by sort-merge.
     """
-    low = -(2**63) + min(2**64 - 1, 2**64 * n // max(1, of))
-    hashed = rows.withColumn("hash_", F.xxhash64(*keys)).where(F.col("hash_") <= F.lit(low).cast("long"))
-    return sorted(hashed.limit(2 * n).collect(), key=lambda r: (r.hash_, *(str(x) for x in r)))
+    hot = right.where(F.col("n") > max(1, rows // HOT_KEYS))
+    many = F.broadcast(hot.drop("n"))
+    found = left.join(many, keys)
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(F.col("n") <= max(1, rows // HOT_KEYS)).drop("n").hint("merge"), keys, "left")
+    return found.unionByName(rest)

@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out
+from .common import fit_in_task, fit_sample, held_out, portions
 
-#: Documents to fit on, and how many characters of each, from its middle.
-FIT_DOCS, FIT_CHARS = 3000, 1000
-WINDOW, SPACE = 256, 32
+#: Documents to fit on.
+FIT_DOCS = 3000
+WINDOW, FIT_WINDOW, SPACE = 256, 128, 32
 UNKNOWN = "und"
 
 
@@ -149,7 +149,7 @@ class Labeller:
                 e += self.b
                 if marks:
                     labels[t] = e.argmax(axis=0)
-                np.minimum(e, 60, out=e)
+                e -= e.max(axis=0)
                 np.exp(e, out=e)
                 e *= (t < lengths) / e.sum(axis=0)
                 total += e
@@ -175,25 +175,33 @@ def gather(data: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return seq
 
 
-def fit_language_model(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS, steps: int = 400) -> ByteGRU:
+def training_windows(text: str) -> list[bytes]:
+    """The whole text in windows of ``FIT_WINDOW`` bytes; the last one ends with the text, a shorter text is padded."""
+    raw = text.encode("utf-8", "replace")
+    last = max(0, len(raw) - FIT_WINDOW)
+    return [raw[k : k + FIT_WINDOW].ljust(FIT_WINDOW) for k in [*range(0, last, FIT_WINDOW), last]]
+
+
+def fit_language_model(docs: DataFrame, fit_docs: int = FIT_DOCS, steps: int = 400) -> ByteGRU:
     """Learn from text and lang of the rows that aren't held out and have both.
 
-    About ``fit_docs`` documents, by a hash of their id, and ``fit_chars`` characters
-    from the middle of each, are fetched: a bounded sample. No such rows: a model without languages.
+    About ``fit_docs`` documents, by a hash of doc_id and text, are taken with their whole texts: a bounded sample of rows, fitted in one task.
+    Of rows with equal doc_id and text the smallest lang counts. No such rows: a model without languages.
     """
-    middle = F.greatest(F.lit(1), ((F.length("text") - fit_chars) / 2).cast("int"))
-    known = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    text = known.where(F.col("text").isNotNull()).select("doc_id", "lang", F.substring("text", middle, F.lit(fit_chars)).alias("text"))
-    sample = bounded_sample(text, fit_docs, known.count(), "doc_id")
-    languages = sorted({r.lang for r in sample})
-    model = ByteGRU(languages)
-    rows, labels = [], []
-    for r in sample:
-        raw = r.text.encode("utf-8", "replace")
-        for k in range(0, max(1, len(raw) - 64), 128):
-            rows.append(np.frombuffer(raw[k : k + 128].ljust(128), np.uint8))
-            labels.append(languages.index(r.lang))
-    return model.fit(np.array(rows), np.array(labels), steps=steps) if len(languages) > 1 else model
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
+    sample = fit_sample(known, fit_docs, known.count(), "doc_id", "text").select("hash_", "text", "lang")
+
+    def fit(rows: pa.Table) -> ByteGRU:
+        names = rows.column("lang").to_pylist()
+        languages = sorted(set(names))
+        if len(languages) < 2:
+            return ByteGRU(languages)
+        windows = [training_windows(t) for t in rows.column("text").to_pylist()]
+        truth = np.repeat([languages.index(n) for n in names], [len(w) for w in windows])
+        flat = np.frombuffer(b"".join(x for w in windows for x in w), np.uint8).reshape(-1, FIT_WINDOW)
+        return ByteGRU(languages).fit(flat, truth, steps=steps)
+
+    return fit_in_task(sample, fit)
 
 
 class Pooler:
@@ -242,8 +250,7 @@ def identify_languages(docs: DataFrame, model: ByteGRU, marks: bool = False) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pooler = Pooler(model)
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
+            for part in portions(batch, 1, 1000):
                 names, score, labels = pooler.pool(part.column(1), marks)
                 columns = {
                     "doc_id": part.column(0),
@@ -269,8 +276,7 @@ def keep_identified(docs: DataFrame, model: ByteGRU, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pooler = Pooler(model)
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
+            for part in portions(batch, place, 1000):
                 names, score, _ = pooler.pool(part.column(place))
                 yield part.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, score)]))
 

@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out
+from .common import fit_in_task, fit_sample, held_out, portions
 from .subwords import WordTable, in_portions, subword_features
 
-#: Labelled documents to fit on, and how many characters of each, from its start.
-FIT_DOCS, FIT_CHARS = 3000, 8000
+#: Labelled documents to fit on.
+FIT_DOCS = 3000
 BITS, LEAST, MOST = 17, 3, 4
 REPEAT = 1 << BITS  # the feature of a repeated word
 THRESHOLD = 0.3
@@ -78,18 +78,23 @@ def document_features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def fit_quality_model(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> SubwordClassifier | None:
+def fit_quality_model(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> SubwordClassifier | None:
     """Learn label ``quality`` from the rows of ``labels`` that aren't held out and have text.
 
-    About ``fit_docs`` documents, by a hash of their id, and their first ``fit_chars``
-    characters, are fetched: a bounded sample. None if it has fewer than two kinds of label.
+    About ``fit_docs`` documents, by a hash of doc_id and text, are taken with their whole texts: a bounded sample of rows, fitted in one task.
+    A doc_id with several labels counts as 1 if one of them is 1. None if the sample has fewer than two kinds of label.
     """
-    known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("truth"))
-    text = docs.where(F.col("text").isNotNull()).select("doc_id", F.substring("text", 1, fit_chars).alias("text"))
-    sample = bounded_sample(text.join(known, "doc_id"), fit_docs, known.count(), "doc_id")
-    if len({r.truth for r in sample}) < 2:
-        return None
-    return SubwordClassifier().fit(document_features([r.text for r in sample]), np.array([r.truth for r in sample]))
+    known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("truth_"))
+    text = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(known, "doc_id")
+    sample = fit_sample(text, fit_docs, known.count(), "doc_id", "text").select("hash_", "text", F.col("truth_").alias("truth"))
+
+    def fit(rows: pa.Table) -> SubwordClassifier | None:
+        truth = rows.column("truth").to_pylist()
+        if len(set(truth)) < 2:
+            return None
+        return SubwordClassifier().fit(document_features(rows.column("text").to_pylist()), np.array(truth))
+
+    return fit_in_task(sample, fit)
 
 
 def score_quality(docs: DataFrame, model: SubwordClassifier | None) -> DataFrame:
@@ -109,8 +114,7 @@ def score_quality(docs: DataFrame, model: SubwordClassifier | None) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordTable(describe)
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
+            for part in portions(batch, 1, 1000):
                 scores = []
                 for some in in_portions([t or "" for t in part.column(1).to_pylist()], str.split):
                     table.learn(some)

@@ -19,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out
+from .common import fit_in_task, fit_sample, held_out, portions
 from .subwords import WordTable, in_portions, subword_features
 
-#: Toxic and unlabelled documents to fit on, and how many characters of each, from its start.
-FIT_TOXIC, FIT_UNLABELLED, FIT_CHARS = 1500, 3000, 12000
+#: Toxic and unlabelled documents to fit on.
+FIT_TOXIC, FIT_UNLABELLED = 1500, 3000
 BITS, LEAST, MOST = 18, 3, 5
 THRESHOLD = 0.5
+BLOCK = 1 << 15  # words whose features are made at once
 LETTERS = re.compile(r"[^\W\d_]+")
 FOCUS = 4.0  # how much the softmax favours a document's highest words
 
@@ -42,78 +43,99 @@ def pool(scores: np.ndarray) -> tuple[float, np.ndarray]:
     return pooled, weight * (1 + FOCUS * (scores - pooled))
 
 
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each span, one span after another."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
 class PositiveUnlabelled:
     def __init__(self, prior: float) -> None:
         self.prior = prior
         self.weights = np.zeros(1 << BITS)
         self.bias = 0.0
 
-    def fit(self, toxic: list[list[str]], other: list[list[str]], epochs: int = 5, rate: float = 0.2, batch: int = 32, seed: int = 13) -> "PositiveUnlabelled":
+    def fit(self, toxic: list[list[str]], other: list[list[str]], epochs: int = 20, rate: float = 0.3, batch: int = 64, seed: int = 13) -> "PositiveUnlabelled":
         """``toxic`` and ``other``: the distinct words of each confirmed and each unlabelled document."""
         rng = np.random.default_rng(seed)
         number: dict[str, int] = {}
-        docs = [np.array([number.setdefault(w, len(number)) for w in words], np.int64) for words in toxic + other]
-        features, counts = subword_features(list(number), BITS, LEAST, MOST)
-        ends = np.cumsum(counts)
-        slope = np.zeros(1 << BITS)  # sums of squared gradients
-        bias_slope = 0.0
+        docs = [np.array([number.setdefault(w, len(number)) for w in words], np.int32) for words in toxic + other]
+        words = list(number)
+        del number
+        parts = [subword_features(words[k : k + BLOCK], BITS, LEAST, MOST) for k in range(0, len(words), BLOCK)]
+        features = np.concatenate([np.empty(0, np.int32), *(f.astype(np.int32) for f, _ in parts)])
+        counts = np.concatenate([np.empty(0, np.int64), *(n for _, n in parts)])
+        starts = np.cumsum(counts) - counts
         positives = [i for i in range(len(toxic)) if len(docs[i])]
         unlabelled = [i for i in range(len(toxic), len(docs)) if len(docs[i])]
         if not positives or not unlabelled:
             return self
+        slope, bias_slope = np.zeros(1 << BITS), 0.0  # sums of squared gradients
         for _ in range(epochs * max(1, len(unlabelled) // batch)):
             pick = [*rng.choice(positives, batch), *rng.choice(unlabelled, batch)]
-            taped = []
-            for i in pick:
-                words = docs[i]
-                n = counts[words]
-                flat = np.repeat(ends[words] - n, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                used = features[flat]
-                scale = n**-0.5
-                scores = np.add.reduceat(self.weights[used], np.cumsum(n) - n) * scale
-                pooled, by_word = pool(scores)
-                taped.append((used, np.repeat(by_word * scale, n), pooled + self.bias))
-            g = np.array([t[2] for t in taped])
-            sigma = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
-            p = np.arange(len(g)) < batch
-            # sigmoid loss: sigma(-g) for a positive, sigma(g) for a negative
-            negative = sigma[~p].mean() - self.prior * sigma[p].mean()
-            steep = sigma * (1 - sigma) / batch
-            # derivatives of the positive part and of the part that stands for the negatives
-            up = np.where(p, -self.prior * steep, 0)
-            down = np.where(p, -self.prior * steep, steep)
-            by_doc = up + down if negative >= 0 else -down
-            used = np.concatenate([t[0] for t in taped])
-            step = np.concatenate([t[1] * d for t, d in zip(taped, by_doc)])
-            at, inverse = np.unique(used, return_inverse=True)
-            grad = np.bincount(inverse, weights=step)
-            slope[at] += grad**2
-            self.weights[at] -= rate * grad / (np.sqrt(slope[at]) + 1e-6)
+            grad, by_doc = self.gradient([(features, starts, counts, docs[i]) for i in pick], batch)
+            slope += grad * grad
+            self.weights -= rate * grad / (np.sqrt(slope) + 1e-6)
             bias_slope += by_doc.sum() ** 2
             self.bias -= rate * by_doc.sum() / (bias_slope**0.5 + 1e-6)
         return self
 
-
-def fit_toxicity_model(
-    docs: DataFrame, labels: DataFrame, fit_toxic: int = FIT_TOXIC, fit_unlabelled: int = FIT_UNLABELLED, fit_chars: int = FIT_CHARS
-) -> PositiveUnlabelled | None:
+    def gradient(self, docs: list[tuple], batch: int) -> tuple[np.ndarray, np.ndarray]:
+        """Descent direction by weight and by document; ``docs`` are ``batch`` confirmed ones, then unlabelled ones.
+
+        It is the gradient of the corrected risk; where the negatives' part of the risk is below zero, that part's gradient is taken backwards.
+        """
+        features, starts, counts, _ = docs[0]
+        sizes = np.array([len(d[3]) for d in docs])
+        words = np.concatenate([d[3] for d in docs])
+        n = counts[words]
+        used = features[spans(starts[words], n)]
+        scale = n**-0.5
+        scores = np.add.reduceat(self.weights[used], np.cumsum(n) - n) * scale
+        first = np.cumsum(sizes) - sizes
+        weight = np.exp(FOCUS * (scores - np.repeat(np.maximum.reduceat(scores, first), sizes)))
+        weight /= np.repeat(np.add.reduceat(weight, first), sizes)
+        pooled = np.add.reduceat(weight * scores, first)
+        by_word = weight * (1 + FOCUS * (scores - np.repeat(pooled, sizes)))
+        sigma = 1 / (1 + np.exp(-np.clip(pooled + self.bias, -30, 30)))
+        p = np.arange(len(docs)) < batch
+        # sigmoid loss: sigma(-g) for a positive, sigma(g) for a negative
+        negative = sigma[~p].mean() - self.prior * sigma[p].mean()
+        steep = sigma * (1 - sigma) / np.where(p, batch, max(1, len(docs) - batch))
+        # derivatives of the positive part and of the part that stands for the negatives
+        up = np.where(p, -self.prior * steep, 0)
+        down = np.where(p, -self.prior * steep, steep)
+        by_doc = up + down if negative >= 0 else -down
+        back = np.repeat(np.repeat(by_doc, sizes) * by_word * scale, n)
+        return np.bincount(used, weights=back, minlength=1 << BITS), by_doc
+
+
+def fit_toxicity_model(docs: DataFrame, labels: DataFrame, fit_toxic: int = FIT_TOXIC, fit_unlabelled: int = FIT_UNLABELLED) -> PositiveUnlabelled | None:
     """Learn from rows that aren't held out: those whose label ``toxic`` is 1, and any others as unlabelled text.
 
-    About ``fit_toxic`` and ``fit_unlabelled`` documents, by a hash of their id, and their first
-    ``fit_chars`` characters, are fetched: bounded samples. The class prior is the share of 1
-    among all labels of such rows. None without a toxic row.
+    About ``fit_toxic`` and ``fit_unlabelled`` documents, by a hash of doc_id and text, are taken with their whole texts: bounded samples of rows.
+    Their distinct words are found where the rows are; the model is fitted in one task. The class prior is the share of 1
+    among all labels of such rows. Null texts are left out; a doc_id with several labels is toxic if one of them is 1. None without a toxic row.
     """
-    known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    seen = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
+    known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic_"))
+    seen = known.agg(F.count("*").alias("n"), F.sum("toxic_").alias("toxic")).first()
     if not seen.toxic:
         return None
-    rows = docs.where(~held_out(F.col("doc_id")))
-    text = rows.where(F.col("text").isNotNull()).select("doc_id", F.substring("text", 1, fit_chars).alias("text"))
-    toxic = bounded_sample(text.join(known.where("toxic = 1").select("doc_id"), "doc_id"), fit_toxic, seen.toxic, "doc_id")
-    other = bounded_sample(text, fit_unlabelled, rows.count(), "doc_id")
-    words = [[distinct_words(r.text) for r in some] for some in (toxic, other)]
-    return PositiveUnlabelled(min(0.9, seen.toxic / seen.n)).fit(*words)
+    text = docs.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull()).select("doc_id", "text")
+    toxic = fit_sample(text.join(known.where("toxic_ = 1").select("doc_id"), "doc_id"), fit_toxic, seen.toxic, "doc_id", "text")
+    other = fit_sample(text, fit_unlabelled, text.count(), "doc_id", "text")
+    both = toxic.select("hash_", F.lit(1).alias("toxic"), "text").unionAll(other.select("hash_", F.lit(0).alias("toxic"), "text"))
+    prior = seen.toxic / seen.n
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = pa.array([sorted(distinct_words(t)) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), words], names=["hash_", "toxic", "words"])
+
+    def fit(rows: pa.Table) -> PositiveUnlabelled:
+        flag, words = rows.column("toxic").to_pylist(), rows.column("words").to_pylist()
+        return PositiveUnlabelled(prior).fit([w for w, f in zip(words, flag) if f], [w for w, f in zip(words, flag) if not f])
 
+    return fit_in_task(both.mapInArrow(split, "hash_ long, toxic int, words array<string>"), fit)
 
 
 class Scorer:
@@ -148,8 +170,7 @@ def score_toxicity(docs: DataFrame, model: PositiveUnlabelled | None) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
+            for part in portions(batch, 1, 1000):
                 score = scorer.score(part.column(1))
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -173,8 +194,7 @@ def drop_toxic(docs: DataFrame, model: PositiveUnlabelled | None, threshold: flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
+            for part in portions(batch, place, 1000):
                 yield part.filter(pa.array(scorer.score(part.column(place)) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
