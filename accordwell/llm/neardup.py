@@ -8,8 +8,8 @@ arrival. Two texts agree in a slot with the probability that is their probabilit
 Equal word sequences are one node. Nodes that agree in a band of slots are candidates. The smallest node of a bucket is
 compared exactly with the others there, and what is similar enough is linked; buckets whose
 nodes are then still in several components are compared block by block: on their signatures, and where those may
-reach the threshold and the two aren't connected yet, exactly. So no link between different texts is lost, and groups of copies cost a comparison
-for each text, not for each pair.
+reach the threshold and the two aren't connected yet, exactly. So a link is lost only where a pair shares no band (at 0.8, one in 10,000), and groups of copies
+cost a comparison for each text, not for each pair.
 """
 
 from __future__ import annotations
@@ -22,14 +22,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import join_some_hot, materialise, portions
 from .graph import components
 from .hashing import WORDS, RunHasher
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5  # a pair at 0.8 shares a band with probability 0.9999
 BLOCK = 1024
-SIGNED = "doc_id long, t1 long, t2 long, bands array<long>, digest binary"
+HUB_BYTES = 1 << 23  # texts of a hub's members in one task
+SIGNED = "doc_id long, tkey long, t1 long, t2 long, bands array<long>, digest binary"
 _STEP, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -125,8 +126,7 @@ def _sign(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, slots = RunHasher(), bands * rows
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
+            for part in portions(batch, 1):
                 texts = [WORDS.findall(t or "") for t in part.column(1).to_pylist()]
                 whole = np.array([np.frombuffer(xxhash.xxh3_128_digest(" ".join(w).encode("utf-8", "surrogatepass")), np.int64) for w in texts]).reshape(-1, 2)
                 sets = [shingles(hasher, h) for h in hasher.words(texts)]
@@ -142,43 +142,39 @@ def _sign(bands: int, rows: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(2),
                         pa.array(whole[:, 0], pa.int64()),
                         pa.array(whole[:, 1], pa.int64()),
                         pa.array([keys[i].view(np.int64) if n else [] for i, n in enumerate(sizes)], pa.list_(pa.int64())),
                         pa.array([digest[i].tobytes() if n else b"" for i, n in enumerate(sizes)], pa.binary()),
                     ],
-                    names=["doc_id", "t1", "t2", "bands", "digest"],
+                    names=["doc_id", "tkey", "t1", "t2", "bands", "digest"],
                 )
 
     return run
 
 
 def _similar(threshold: float):
+    """Rows of one hub after another, the hub's own text first: those similar enough to it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = RunHasher()
-        known: dict[int, tuple] = {}
+        hasher, hub = RunHasher(), None
         for batch in batches:
-            ids = [batch.column(k).to_pylist() for k in (0, 1)]
-            texts = [batch.column(k) for k in (2, 3)]
-            keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                pair = []
-                for side in (0, 1):
-                    node = ids[side][i]
-                    if node not in known:
-                        if len(known) > 2000:
-                            known.clear()
-                        known[node] = shingles(hasher, hasher.words([WORDS.findall(texts[side][i].as_py() or "")])[0])
-                    pair.append(known[node])
-                keep[i] = probability_jaccard(*pair) >= threshold
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+            member, keep = batch.column("member").to_pylist(), np.zeros(batch.num_rows, bool)
+            for i, text in enumerate(batch.column("text")):
+                own = shingles(hasher, hasher.words([WORDS.findall(text.as_py() or "")])[0])
+                if member[i]:
+                    keep[i] = probability_jaccard(own, hub) >= threshold
+                else:
+                    hub = own
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
 
 
 def _cross_links(threshold: float, slots: int):
-    # four and a half standard errors below the threshold
-    least = int(slots * (threshold - 4.5 * (threshold * (1 - threshold) / slots) ** 0.5))
+    # six standard errors below the threshold: a pair at the threshold is lost here with a probability of 1e-9
+    least = int(slots * (threshold - 6 * (threshold * (1 - threshold) / slots) ** 0.5))
 
     def run(group: pa.Table) -> pa.Table:
         digest = np.frombuffer(b"".join(group.column("digest").to_pylist()), np.uint16).reshape(group.num_rows, -1)
@@ -229,51 +225,79 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands:
     """(doc_id, class_id), a row for each row of ``docs`` (doc_id, text; other columns are ignored).
 
     Documents are linked from a probability Jaccard similarity of ``threshold`` on; classes are the components, named by their smallest doc_id.
-    Texts with the same words are equal; null texts and texts without words are alone. Rows that repeat a
-    doc_id are one document. A null doc_id takes no part: its class is null. An empty table gives an empty result.
+    Texts with the same words are equal; null texts and texts without words link nothing. Rows that repeat a
+    doc_id are one document, which has all their texts. A null doc_id takes no part: its class is null. An empty table gives an empty result.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tkey", F.xxhash64("text"))
     signed = materialise(texts.mapInArrow(_sign(bands, rows), SIGNED))
     named = signed.where(F.col("doc_id").isNotNull() & (F.size("bands") > 0))
-    nodes = named.groupBy("t1", "t2").agg(F.min("doc_id").alias("node"))
-    heads = named.join(nodes, ["t1", "t2"]).where("doc_id = node").select("node", "bands", "digest").dropDuplicates(["node", "bands"])
-    placed = heads.select("node", F.explode("bands").alias("bucket"))
-    hubs = placed.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("bucket", "hub")
-    stars = placed.join(hubs, "bucket")
-    edges = materialise(stars.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
-    involved = edges.select(F.col("a").alias("doc_id")).unionAll(edges.select("b")).distinct()
-    known = materialise(texts.hint("merge").join(involved, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        left = known.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-        right = known.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_similar(threshold), "a long, b long")
-
-    links = materialise(verified(edges))
+    # a text belongs to the smallest document that has it, its node; node and tkey name the text
+    heads = materialise(
+        named.groupBy("t1", "t2").agg(
+            F.min("doc_id").alias("node"),
+            F.count("*").alias("n"),
+            F.min_by("tkey", "doc_id").alias("tkey"),
+            F.any_value("bands").alias("bands"),
+            F.any_value("digest").alias("digest"),
+        )
+    )
+    placed = heads.select("node", "tkey", F.explode("bands").alias("bucket"))
+    hubs = placed.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.min_by("tkey", "node").alias("hkey"), F.count("*").alias("n"))
+    stars = join_some_hot(placed, hubs.where("hub < last").drop("last"), ["bucket"], heads.count() * bands).where("hub is not null")
+    edges = materialise(stars.where("node <> hub").select(F.col("node").alias("a"), F.col("tkey").alias("ak"), F.col("hub").alias("b"), F.col("hkey").alias("bk")).distinct())
+    involved = edges.select(F.col("a").alias("doc_id"), F.col("ak").alias("tkey")).unionAll(edges.select("b", "bk")).distinct()
+    known = materialise(
+        texts.hint("merge").join(involved, ["doc_id", "tkey"]).groupBy("doc_id", "tkey").agg(F.min("text").alias("text")).withColumn("bytes", F.octet_length("text"))
+    )
+    links = materialise(_verified(edges, known, threshold).unionAll(_same_document(named, heads)))
     labels = materialise(components(links))
 
     label = F.coalesce("label", F.col("node")).alias("label")
-    members = stars.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", label)
+    members = materialise(stars.select("bucket", "node", "tkey").join(labels, "node", "left").select("bucket", "node", "tkey", label))
     open_buckets = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high")
-    rest = members.join(open_buckets.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket")
-    signs = heads.groupBy("node").agg(F.min(F.struct("digest", "bands")).alias("s")).select("node", "s.*")
-    blocks = (
-        rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .join(signs, "node")
-        .join(known.select(F.col("doc_id").alias("node"), "text"), "node")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")
+    rest = join_some_hot(members, open_buckets.select("bucket", blocks, "n"), ["bucket"], members.count()).where("blocks is not null")
+    dealt = (
+        rest.withColumn("block", F.pmod(F.xxhash64("node", "tkey"), F.col("blocks")).cast("int"))
+        .join(heads.select("node", "tkey", "digest", "bands"), ["node", "tkey"])
+        .join(known.select(F.col("doc_id").alias("node"), "tkey", "text"), ["node", "tkey"])
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("bucket", "node", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "digest", "bands", "text")
     )
-    more = materialise(blocks.groupBy("bucket", "i", "j").applyInArrow(_cross_links(threshold, bands * rows), "a long, b long").distinct())
+    more = materialise(dealt.groupBy("bucket", "i", "j").applyInArrow(_cross_links(threshold, bands * rows), "a long, b long").distinct())
     if not more.isEmpty():
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionAll(more))
-    ids = (
-        signed.where(F.size("bands") > 0)
-        .join(nodes, ["t1", "t2"], "left")
-        .join(labels, "node", "left")
-        .select("doc_id", F.when(F.col("doc_id").isNotNull(), label).alias("class_id"))
+    named_classes = heads.join(labels, "node", "left").select("t1", "t2", label.alias("class_id"), "n")
+    ids = join_some_hot(signed.select("doc_id", "t1", "t2", (F.size("bands") > 0).alias("words")), named_classes, ["t1", "t2"], signed.count())
+    wordless = signed.where(F.size("bands") == 0).select("doc_id")
+    elsewhere = ids.where("words").join(wordless.distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    return (
+        ids.where("words")
+        .select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
+        .unionAll(wordless.join(elsewhere, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id")))
     )
-    return ids.unionAll(signed.where(F.size("bands") == 0).select("doc_id", F.col("doc_id").alias("class_id")))
+
+
+def _verified(edges: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of ``edges`` that are similar enough. A hub's members are dealt over tasks by their bytes; its text goes to each of these once."""
+    left, right = (known.select(F.col("doc_id").alias(x), F.col("tkey").alias(x + "k"), "text", "bytes") for x in "ab")
+    sizes = edges.join(left.drop("text"), ["a", "ak"]).groupBy("b", "bk").agg(F.count("*").alias("n"), F.ceil(F.sum("bytes") / HUB_BYTES).cast("int").alias("parts"))
+    sizes = materialise(sizes)
+    rows = ("a", "b", "bk", "part", "member", "text")
+    part = F.pmod(F.xxhash64("a", "ak"), "parts").cast("int")
+    members = join_some_hot(edges, sizes, ["b", "bk"], edges.count()).withColumn("part", part).join(left, ["a", "ak"]).withColumn("member", F.lit(True))
+    heads = sizes.join(right, ["b", "bk"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"a": F.col("b"), "member": F.lit(False)})
+    both = members.select(*rows).unionAll(heads.select(*rows))
+    return both.repartition("b", "bk", "part").sortWithinPartitions("b", "bk", "part", "member").mapInArrow(_similar(threshold), "a long, b long")
+
+
+def _same_document(named: DataFrame, heads: DataFrame) -> DataFrame:
+    """Links (a, b) between the nodes of texts that stand under one doc_id."""
+    spread = named.groupBy("doc_id").agg(*(f(c).alias(f"{n}_{c}") for c in ("t1", "t2") for n, f in (("low", F.min), ("high", F.max))))
+    several = spread.where("low_t1 < high_t1 or low_t2 < high_t2").select("doc_id")
+    own = named.select("doc_id", "t1", "t2").join(several, "doc_id").join(heads.select("t1", "t2", "node"), ["t1", "t2"]).select("doc_id", "node").distinct()
+    least = own.groupBy("doc_id").agg(F.min("node").alias("b"))
+    return own.join(least, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")
 
 
 def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
