@@ -122,70 +122,120 @@ def con_transition_validity(spark, sf_dir):
     return rows.groupBy("family", "old_status").agg(F.count("*").alias("n"), F.bool_and(legal).alias("legal"))
 
 
-#: Bands of confidence. Fixed values.
-BANDS = ((0.98, "SUFFICIENT"), (0.95, "CORROBORATED"), (0.92, "WEAK"))
+#: Bands of identity confidence: evidence level, and uncertainty. Fixed values.
+BANDS = ((0.85, "SUFFICIENT"), (0.7, "CORROBORATED"), (0.5, "WEAK"))
+UNCERTAINTY = ((0.85, "NONE"), (0.7, "LOW"), (0.5, "MEDIUM"))
 
 
 def evidence_level(confidence: Column) -> Column:
     return first_match([(confidence >= at, level) for at, level in BANDS], "INSUFFICIENT")
 
 
-_LEVEL = "CASE WHEN parser_confidence >= 0.98 THEN 'SUFFICIENT' WHEN parser_confidence >= 0.95 THEN 'CORROBORATED' WHEN parser_confidence >= 0.92 THEN 'WEAK' ELSE 'INSUFFICIENT' END"
+def uncertainty(confidence: Column) -> Column:
+    return first_match([(confidence >= at, level) for at, level in UNCERTAINTY], "HIGH")
 
 
-@query("prf_bands", f"SELECT {_LEVEL} AS level, CAST(count(*) AS BIGINT) AS n, min(parser_confidence) AS lowest FROM amendment_instruction GROUP BY 1", "amendment_instruction")
+#: The test data's confidences, spread over all bands.
+_CONFIDENCE = "round(1 - (1 - parser_confidence) * 8, 2)"
+_LEVEL = f"CASE WHEN {_CONFIDENCE} >= 0.85 THEN 'SUFFICIENT' WHEN {_CONFIDENCE} >= 0.7 THEN 'CORROBORATED' WHEN {_CONFIDENCE} >= 0.5 THEN 'WEAK' ELSE 'INSUFFICIENT' END"
+_UNSURE = f"CASE WHEN {_CONFIDENCE} >= 0.85 THEN 'NONE' WHEN {_CONFIDENCE} >= 0.7 THEN 'LOW' WHEN {_CONFIDENCE} >= 0.5 THEN 'MEDIUM' ELSE 'HIGH' END"
+
+
+@query(
+    "prf_bands",
+    f"SELECT {_LEVEL} AS level, {_UNSURE} AS uncertainty, CAST(count(*) AS BIGINT) AS n, min({_CONFIDENCE}) AS lowest FROM amendment_instruction GROUP BY 1, 2",
+    "amendment_instruction",
+)
 def prf_bands(spark, sf_dir):
+    i = P.amendment_instruction(spark, sf_dir).withColumn("c", F.expr(_CONFIDENCE))
+    return i.groupBy(evidence_level(F.col("c")).alias("level"), uncertainty(F.col("c")).alias("uncertainty")).agg(F.count("*").alias("n"), F.min("c").alias("lowest"))
+
+
+def proof_completeness(level: Column, affected: Column, checks: Column) -> Column:
+    """COMPLETE if the target is well evidenced, each of the affected fields (array of structs with old and new) has a value, and checks were run."""
+    valued = F.forall(affected, lambda f: f["old"].isNotNull() | f["new"].isNotNull())
+    good = level.isin("SUFFICIENT", "CORROBORATED") & valued & (checks > 0)
+    return F.when(F.coalesce(good, F.lit(False)), "COMPLETE").otherwise("INCOMPLETE")
+
+
+def proof_validity(resolved: Column, checks_passed: Column, level: Column) -> Column:
+    """INVALID without a target or with a failed check; INDETERMINATE where the evidence is weak or worse."""
+    sound = F.coalesce(resolved, F.lit(False)) & F.coalesce(checks_passed, F.lit(False))
+    return F.when(~sound, "INVALID").when(level.isin("SUFFICIENT", "CORROBORATED"), "VALID").otherwise("INDETERMINATE")
+
+
+@query(
+    "prf_proof_states",
+    f"""
+WITH p AS (SELECT *, {_LEVEL} AS level, old_value < 48 AS resolved, CASE WHEN instruction_order = 6 THEN NULL ELSE new_value >= 3000 END AS passed, CASE WHEN old_value % 7 = 0 THEN NULL ELSE old_value END AS old,
+  CASE WHEN old_value % 14 = 0 THEN NULL ELSE new_value END AS new FROM amendment_instruction)
+SELECT amendment_version_id, instruction_order, CASE WHEN level IN ('SUFFICIENT', 'CORROBORATED') AND (old IS NOT NULL OR new IS NOT NULL) AND instruction_order < 7 THEN 'COMPLETE' ELSE 'INCOMPLETE' END AS completeness,
+  CASE WHEN NOT (resolved AND coalesce(passed, false)) THEN 'INVALID' WHEN level IN ('SUFFICIENT', 'CORROBORATED') THEN 'VALID' ELSE 'INDETERMINATE' END AS validity FROM p""",
+    "amendment_instruction",
+)
+def prf_proof_states(spark, sf_dir):
     i = P.amendment_instruction(spark, sf_dir)
-    return i.groupBy(evidence_level(F.col("parser_confidence")).alias("level")).agg(F.count("*").alias("n"), F.min("parser_confidence").alias("lowest"))
+    level = evidence_level(F.expr(_CONFIDENCE))
+    one = F.struct(F.expr("case when old_value % 7 <> 0 then old_value end").alias("old"), F.expr("case when old_value % 14 <> 0 then new_value end").alias("new"))
+    checks = F.when(F.col("instruction_order") < 7, 10).otherwise(0)
+    passed = F.when(F.col("instruction_order") != 6, F.col("new_value") >= 3000)
+    return i.select("amendment_version_id", "instruction_order", proof_completeness(level, F.array(one), checks).alias("completeness"), proof_validity(F.col("old_value") < 48, passed, level).alias("validity"))
 
 
 def authority_gate(rows: DataFrame) -> DataFrame:
-    """Adds decision and reason from execution, proof, lineage_valid, inherited, evidence and uncertainty; closed unless all is well."""
-    c = F.col
+    """Adds decision and reason. The first test that isn't passed decides; a null counts as the failing value.
+
+    Columns: execution, completeness and validity (of the proof), checks_passed, lineage_valid, inherited (unresolved work of earlier steps), evidence,
+    uncertainty, target_level (evidence of the target's identity).
+    """
+    is_ = lambda name, value: F.col(name) == value
+    yes = lambda test: F.coalesce(test, F.lit(False))
     tests = [
-        (c("execution") == "UNRESOLVED", "UNRESOLVED", "execution unresolved"),
-        (c("execution") == "PARTIAL", "PARTIAL", "execution partial"),
-        (c("execution") != "COMPLETE", "BLOCKED", "execution not complete"),
-        (c("proof") == "INCOMPLETE", "BLOCKED", "proof incomplete"),
-        (c("proof") == "INVALID", "BLOCKED", "proof invalid"),
-        (~F.coalesce(c("lineage_valid"), F.lit(False)), "BLOCKED", "lineage not valid"),
-        (c("inherited") > 0, "BLOCKED", "inherited work"),
-        (c("evidence") == "INSUFFICIENT", "BLOCKED", "evidence insufficient"),
-        (c("uncertainty") == "HIGH", "VALIDATION_REQUIRED", "uncertainty high"),
-        (c("evidence") == "WEAK", "VALIDATION_REQUIRED", "evidence weak"),
+        (yes(is_("execution", "UNRESOLVED")), "UNRESOLVED", "execution unresolved"),
+        (yes(is_("execution", "PARTIAL")), "PARTIAL", "execution partial"),
+        (~yes(is_("execution", "COMPLETE")), "BLOCKED", "execution not complete"),
+        (~yes(is_("completeness", "COMPLETE")), "BLOCKED", "proof incomplete"),
+        (~yes(F.col("validity").isin("VALID", "INDETERMINATE")), "BLOCKED", "proof invalid"),
+        (~yes(F.col("checks_passed")), "BLOCKED", "conservation checks failed"),
+        (~yes(F.col("lineage_valid")), "BLOCKED", "lineage not valid"),
+        (~yes(F.col("inherited") <= 0), "BLOCKED", "inherited work"),
+        (~yes(F.col("evidence").isin("SUFFICIENT", "CORROBORATED", "WEAK")), "BLOCKED", "evidence insufficient"),
+        (~yes(F.col("uncertainty").isin("NONE", "LOW", "MEDIUM")), "VALIDATION_REQUIRED", "uncertainty high"),
+        (~yes(F.col("target_level").isin("SUFFICIENT", "CORROBORATED")), "VALIDATION_REQUIRED", "target evidence weak"),
+        (is_("validity", "INDETERMINATE"), "VALIDATION_REQUIRED", "validity indeterminate"),
     ]
     return rows.withColumns(
         {"decision": first_match([(t, d) for t, d, _ in tests], "GRANTED"), "reason": first_match([(t, r) for t, _, r in tests], "all conditions hold")}
     )
 
 
-_GATE = f"""
-WITH g AS (SELECT amendment_version_id, instruction_order,
-  CASE WHEN instruction_type = 'UNRESOLVED' THEN 'UNRESOLVED' WHEN status <> 'APPLIED' THEN 'PARTIAL' ELSE 'COMPLETE' END AS execution,
-  CASE WHEN new_value < 2000 THEN 'INCOMPLETE' WHEN new_value < 4000 THEN 'INVALID' ELSE 'VALID' END AS proof,
-  CASE WHEN old_value = 50 THEN NULL ELSE old_value <> 49 END AS lineage_valid, instruction_order - 5 AS inherited, {_LEVEL} AS evidence,
-  CASE WHEN old_value < 5 THEN 'HIGH' ELSE 'LOW' END AS uncertainty FROM amendment_instruction),
-d AS (SELECT *, CASE WHEN execution = 'UNRESOLVED' THEN 'UNRESOLVED|execution unresolved' WHEN execution = 'PARTIAL' THEN 'PARTIAL|execution partial'
-  WHEN proof = 'INCOMPLETE' THEN 'BLOCKED|proof incomplete' WHEN proof = 'INVALID' THEN 'BLOCKED|proof invalid' WHEN NOT coalesce(lineage_valid, false) THEN 'BLOCKED|lineage not valid'
-  WHEN inherited > 0 THEN 'BLOCKED|inherited work' WHEN evidence = 'INSUFFICIENT' THEN 'BLOCKED|evidence insufficient' WHEN uncertainty = 'HIGH' THEN 'VALIDATION_REQUIRED|uncertainty high'
-  WHEN evidence = 'WEAK' THEN 'VALIDATION_REQUIRED|evidence weak' ELSE 'GRANTED|all conditions hold' END AS dr FROM g)
+#: Test rows for the gate: every value of every column, and nulls.
+_GATE_COLUMNS = {
+    "execution": "CASE WHEN new_value < 1500 THEN NULL WHEN new_value < 2500 THEN 'FAILED' WHEN instruction_type = 'UNRESOLVED' AND instruction_order > 2 THEN 'UNRESOLVED' WHEN status <> 'APPLIED' AND instruction_order > 3 THEN 'PARTIAL' ELSE 'COMPLETE' END",
+    "completeness": "CASE WHEN old_value = 1 THEN NULL WHEN old_value = 2 THEN 'INCOMPLETE' ELSE 'COMPLETE' END",
+    "validity": "CASE WHEN old_value = 3 THEN NULL WHEN old_value = 4 THEN 'INVALID' WHEN old_value > 30 THEN 'INDETERMINATE' ELSE 'VALID' END",
+    "checks_passed": "CASE WHEN old_value = 5 THEN NULL ELSE old_value <> 6 END",
+    "lineage_valid": "CASE WHEN old_value = 7 THEN NULL ELSE old_value <> 8 END",
+    "inherited": "CASE WHEN old_value = 9 THEN NULL ELSE instruction_order - 6 END",
+    "evidence": f"CASE WHEN old_value = 10 THEN NULL ELSE {_LEVEL} END",
+    "uncertainty": "CASE WHEN old_value = 11 THEN NULL WHEN old_value = 12 THEN 'HIGH' WHEN old_value = 13 THEN 'MEDIUM' ELSE 'LOW' END",
+    "target_level": "CASE WHEN old_value = 14 THEN NULL WHEN old_value = 15 THEN 'WEAK' ELSE 'SUFFICIENT' END",
+}
+_GATE = (
+    "WITH g AS (SELECT amendment_version_id, instruction_order, " + ", ".join(f"{sql} AS {name}" for name, sql in _GATE_COLUMNS.items()) + """ FROM amendment_instruction),
+d AS (SELECT *, CASE WHEN execution IS NULL THEN 'BLOCKED|execution not complete' WHEN execution = 'UNRESOLVED' THEN 'UNRESOLVED|execution unresolved' WHEN execution = 'PARTIAL' THEN 'PARTIAL|execution partial'
+  WHEN execution <> 'COMPLETE' THEN 'BLOCKED|execution not complete' WHEN completeness IS NULL OR completeness <> 'COMPLETE' THEN 'BLOCKED|proof incomplete'
+  WHEN validity IS NULL OR validity = 'INVALID' THEN 'BLOCKED|proof invalid' WHEN checks_passed IS NULL OR NOT checks_passed THEN 'BLOCKED|conservation checks failed'
+  WHEN lineage_valid IS NULL OR NOT lineage_valid THEN 'BLOCKED|lineage not valid' WHEN inherited IS NULL OR inherited > 0 THEN 'BLOCKED|inherited work' WHEN evidence IS NULL OR evidence = 'INSUFFICIENT' THEN 'BLOCKED|evidence insufficient'
+  WHEN uncertainty IS NULL OR uncertainty = 'HIGH' THEN 'VALIDATION_REQUIRED|uncertainty high' WHEN target_level IS NULL OR target_level = 'WEAK' THEN 'VALIDATION_REQUIRED|target evidence weak'
+  WHEN validity = 'INDETERMINATE' THEN 'VALIDATION_REQUIRED|validity indeterminate' ELSE 'GRANTED|all conditions hold' END AS dr FROM g)
 """
+)
 
 
 def _gate_rows(spark, sf_dir) -> DataFrame:
     i = P.amendment_instruction(spark, sf_dir)
-    return authority_gate(
-        i.select(
-            "amendment_version_id",
-            "instruction_order",
-            F.when(F.col("instruction_type") == "UNRESOLVED", "UNRESOLVED").when(F.col("status") != "APPLIED", "PARTIAL").otherwise("COMPLETE").alias("execution"),
-            F.when(F.col("new_value") < 2000, "INCOMPLETE").when(F.col("new_value") < 4000, "INVALID").otherwise("VALID").alias("proof"),
-            F.when(F.col("old_value") != 50, F.col("old_value") != 49).alias("lineage_valid"),
-            (F.col("instruction_order") - 5).alias("inherited"),
-            evidence_level(F.col("parser_confidence")).alias("evidence"),
-            F.when(F.col("old_value") < 5, "HIGH").otherwise("LOW").alias("uncertainty"),
-        )
-    )
+    return authority_gate(i.select("amendment_version_id", "instruction_order", *(F.expr(sql).alias(name) for name, sql in _GATE_COLUMNS.items())))
 
 
 @query("gat_authority", _GATE + "SELECT amendment_version_id, instruction_order, split_part(dr, '|', 1) AS decision, split_part(dr, '|', 2) AS reason FROM d", "amendment_instruction")

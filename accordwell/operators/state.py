@@ -20,16 +20,15 @@ STATE = "struct<status:string,value:double,applied:int,unresolved:int>"
 def _step(state: Column, i: Column) -> Column:
     """One guarded instruction: what can't be applied leaves the state as it is and counts as unresolved."""
     kind, exists = i["instruction_type"], state["status"].isNotNull()
-    live = exists & (state["status"] != "DELETED")
     done = lambda status, value: F.struct(status.alias("status"), value.alias("value"), (state["applied"] + 1).alias("applied"), state["unresolved"].alias("unresolved"))
     failed = F.struct(state["status"].alias("status"), state["value"].alias("value"), state["applied"].alias("applied"), (state["unresolved"] + 1).alias("unresolved"))
     return (
         F.when((kind == "ADD_COMMITMENT") & ~exists, done(F.lit("ACTIVE"), i["new_value"]))
-        .when((kind == "REPLACE_VALUE") & live & (state["status"] == "ACTIVE"), done(state["status"], i["new_value"]))
-        .when((kind == "WAIVE_TEMPORARILY") & live, done(F.lit("WAIVED"), state["value"]))
-        .when((kind == "REINSTATE") & live, done(F.lit("ACTIVE"), state["value"]))
-        .when((kind == "SUSPEND") & live, done(F.lit("SUSPENDED"), state["value"]))
-        .when((kind == "DELETE_COMMITMENT") & live, done(F.lit("DELETED"), state["value"]))
+        .when((kind == "REPLACE_VALUE") & exists, done(state["status"], i["new_value"]))
+        .when((kind == "WAIVE_TEMPORARILY") & exists, done(F.lit("WAIVED"), state["value"]))
+        .when((kind == "REINSTATE") & exists, done(F.lit("ACTIVE"), state["value"]))
+        .when((kind == "SUSPEND") & exists, done(F.lit("SUSPENDED"), state["value"]))
+        .when((kind == "DELETE_COMMITMENT") & exists, done(F.lit("DELETED"), state["value"]))
         .when(kind == "RENUMBER_REFERENCE", state)
         .otherwise(failed)
     )
@@ -88,11 +87,11 @@ f AS (
   SELECT f.agreement_id, f.target_key, o.n,
     CASE WHEN instruction_type = 'ADD_COMMITMENT' AND status IS NULL THEN 'ACTIVE'
          WHEN instruction_type = 'WAIVE_TEMPORARILY' AND status IS NOT NULL THEN 'WAIVED' ELSE status END,
-    CASE WHEN instruction_type = 'ADD_COMMITMENT' AND status IS NULL OR instruction_type = 'REPLACE_VALUE' AND status = 'ACTIVE' THEN new_value ELSE value END,
-    applied + CASE WHEN instruction_type = 'ADD_COMMITMENT' AND status IS NULL OR instruction_type = 'REPLACE_VALUE' AND status IS NOT DISTINCT FROM 'ACTIVE'
+    CASE WHEN instruction_type = 'ADD_COMMITMENT' AND status IS NULL OR instruction_type = 'REPLACE_VALUE' AND status IS NOT NULL THEN new_value ELSE value END,
+    applied + CASE WHEN instruction_type = 'ADD_COMMITMENT' AND status IS NULL OR instruction_type = 'REPLACE_VALUE' AND status IS NOT NULL
          OR instruction_type = 'WAIVE_TEMPORARILY' AND status IS NOT NULL THEN 1 ELSE 0 END,
     unresolved + CASE WHEN instruction_type = 'RENUMBER_REFERENCE' OR instruction_type = 'ADD_COMMITMENT' AND status IS NULL
-         OR instruction_type = 'REPLACE_VALUE' AND status IS NOT DISTINCT FROM 'ACTIVE' OR instruction_type = 'WAIVE_TEMPORARILY' AND status IS NOT NULL THEN 0 ELSE 1 END
+         OR instruction_type = 'REPLACE_VALUE' AND status IS NOT NULL OR instruction_type = 'WAIVE_TEMPORARILY' AND status IS NOT NULL THEN 0 ELSE 1 END
   FROM f JOIN o ON o.agreement_id = f.agreement_id AND o.target_key = f.target_key AND o.n = f.n + 1),
 last AS (SELECT *, row_number() OVER (PARTITION BY agreement_id, target_key ORDER BY n DESC) AS rn FROM f)
 """

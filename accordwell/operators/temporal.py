@@ -102,8 +102,15 @@ def tmp_interval_close(spark, sf_dir):
 
 
 def contradictory_active(versions: DataFrame) -> DataFrame:
-    """Pairs of overlapping active versions of one key, with id_a < id_b."""
+    """Pairs of overlapping active versions of one key, with id_a < id_b.
+
+    One sort of a key finds the versions that overlap any other (they begin before the latest end so far, or end after the next begins);
+    only these are joined, so keys without contradictions, however long, cost a sort.
+    """
     live = versions.where("status = 'ACTIVE'").withColumn("until", F.coalesce("valid_to", F.lit(datetime(9999, 12, 31)).cast("timestamp_ntz")))
+    by_start = W.partitionBy("agreement_id", "canonical_key").orderBy("valid_from", "version_id")
+    marked = live.withColumns({"latest": F.max("until").over(by_start.rowsBetween(W.unboundedPreceding, -1)), "next": F.lead("valid_from").over(by_start)})
+    live = marked.where("latest > valid_from or next < until").drop("latest", "next")
     a, b = live.alias("a"), live.alias("b")
     same = (F.col("a.agreement_id") == F.col("b.agreement_id")) & (F.col("a.canonical_key") == F.col("b.canonical_key"))
     overlap = (F.col("a.version_id") < F.col("b.version_id")) & (F.col("a.valid_from") < F.col("b.until")) & (F.col("b.valid_from") < F.col("a.until"))

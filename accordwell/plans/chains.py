@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import projections as P
-from ..operators.gates import evidence_level, first_match
+from ..operators.gates import _CONFIDENCE, evidence_level, first_match
 from ..operators.state import _FOLD_SQL, _INHERITED, execution_status, fold_instructions, inherited_unresolved
 from ..registry import query
 
@@ -61,15 +61,15 @@ def pln_chain_summary(spark, sf_dir):
 def conservation_spine(candidates: DataFrame) -> dict[str, DataFrame]:
     """Sends candidates through the layers: the layer that rejects one is its disposition, the others are promoted or routed.
 
-    ``candidates``: instruction_type, status, old_value, new_value, parser_confidence and any keys.
+    ``candidates``: instruction_type, status, old_value, new_value, confidence and any keys.
     """
     rules = [
         (F.col("instruction_type") == "UNRESOLVED", "ROUTED"),
         (F.col("old_value") > 48, "REJECTED_IDENTITY"),
         (F.col("new_value") < 3000, "REJECTED_OLD_VALUE"),
         (F.col("status") != "APPLIED", "REJECTED_CONSERVATION"),
-        (evidence_level(F.col("parser_confidence")) == "INSUFFICIENT", "REJECTED_PROOF"),
-        (evidence_level(F.col("parser_confidence")) == "WEAK", "VALIDATION_REQUIRED"),
+        (evidence_level(F.col("confidence")) == "INSUFFICIENT", "REJECTED_PROOF"),
+        (evidence_level(F.col("confidence")) == "WEAK", "VALIDATION_REQUIRED"),
     ]
     ledger = candidates.withColumn("disposition", first_match(rules, "PROMOTED"))
     counts = ledger.groupBy("disposition").agg(F.count("*").alias("n"))
@@ -80,11 +80,11 @@ def conservation_spine(candidates: DataFrame) -> dict[str, DataFrame]:
     "pln_spine_dispositions",
     """
 SELECT CASE WHEN instruction_type = 'UNRESOLVED' THEN 'ROUTED' WHEN old_value > 48 THEN 'REJECTED_IDENTITY' WHEN new_value < 3000 THEN 'REJECTED_OLD_VALUE' WHEN status <> 'APPLIED' THEN 'REJECTED_CONSERVATION'
-  WHEN parser_confidence < 0.92 THEN 'REJECTED_PROOF' WHEN parser_confidence < 0.95 THEN 'VALIDATION_REQUIRED' ELSE 'PROMOTED' END AS disposition, CAST(count(*) AS BIGINT) AS n FROM amendment_instruction GROUP BY 1""",
+  WHEN round(1 - (1 - parser_confidence) * 8, 2) < 0.5 THEN 'REJECTED_PROOF' WHEN round(1 - (1 - parser_confidence) * 8, 2) < 0.7 THEN 'VALIDATION_REQUIRED' ELSE 'PROMOTED' END AS disposition, CAST(count(*) AS BIGINT) AS n FROM amendment_instruction GROUP BY 1""",
     "amendment_instruction",
 )
 def pln_spine_dispositions(spark, sf_dir):
-    return conservation_spine(P.amendment_instruction(spark, sf_dir))["dispositions"]
+    return conservation_spine(P.amendment_instruction(spark, sf_dir).withColumn("confidence", F.expr(_CONFIDENCE)))["dispositions"]
 
 
 @query(

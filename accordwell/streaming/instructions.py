@@ -33,6 +33,9 @@ def as_instructions(events: DataFrame) -> DataFrame:
     )
 
 
+STATUS_SET_BY = {"WAIVE_TEMPORARILY": "WAIVED", "REINSTATE": "ACTIVE", "SUSPEND": "SUSPENDED", "DELETE_COMMITMENT": "DELETED"}
+
+
 def apply_one(state: tuple, kind: str, value: float) -> tuple:
     """The guarded step of the batch fold on (status, value, applied, unresolved)."""
     status, old, applied, unresolved = state
@@ -40,10 +43,10 @@ def apply_one(state: tuple, kind: str, value: float) -> tuple:
         return state
     if kind == "ADD_COMMITMENT" and status is None:
         return "ACTIVE", value, applied + 1, unresolved
-    if kind == "REPLACE_VALUE" and status == "ACTIVE":
+    if kind == "REPLACE_VALUE" and status is not None:
         return status, value, applied + 1, unresolved
-    if kind == "WAIVE_TEMPORARILY" and status is not None:
-        return "WAIVED", old, applied + 1, unresolved
+    if kind in STATUS_SET_BY and status is not None:
+        return STATUS_SET_BY[kind], old, applied + 1, unresolved
     return status, old, applied, unresolved + 1
 
 
