@@ -1,6 +1,6 @@
 """Importing this module registers every query of the library."""
 
-from .operators import bitemporal, compare, documents, evaluation, execution, extraction, gates, ledger, lineage, mapping, state, temporal  # noqa: F401
+from .operators import addresses, bitemporal, compare, conservation, documents, evaluation, execution, extraction, gates, ledger, lineage, mapping, registries, state, temporal  # noqa: F401
 from .plans import chains  # noqa: F401
 from .sources import selection  # noqa: F401
 from .streaming import queries  # noqa: F401
