@@ -5,8 +5,8 @@ corrects for the share of toxic documents (the class prior) among the unlabelled
 kept from falling below zero (where it does, that part's gradient is taken backwards).
 
 A word's score is the sum of its hashed subword weights, scaled by their number; a document's
-log odds are the average of its distinct words' scores, weighted by their softmax, so that a
-few toxic words count in a long text as in a short one.
+log odds are the logarithm of the sum of the exponentials of its distinct words' scores: other words add next to nothing, so a
+few toxic words count in a long text as in a short one, and more of them count for more.
 """
 
 from __future__ import annotations
@@ -28,19 +28,16 @@ BITS, LEAST, MOST = 18, 3, 5
 THRESHOLD = 0.5
 BLOCK = 1 << 15  # words whose features are made at once
 LETTERS = re.compile(r"[^\W\d_]+")
-FOCUS = 4.0  # how much the softmax favours a document's highest words
 
 
 def distinct_words(text: str) -> list[str]:
     return list(set(LETTERS.findall(text.lower())))
 
 
-def pool(scores: np.ndarray) -> tuple[float, np.ndarray]:
-    """(pooled score, its derivative by each word's score)."""
-    weight = np.exp(FOCUS * (scores - scores.max()))
-    weight /= weight.sum()
-    pooled = float(weight @ scores)
-    return pooled, weight * (1 + FOCUS * (scores - pooled))
+def pool(scores: np.ndarray) -> float:
+    """Log of the sum of exponentials."""
+    top = scores.max()
+    return float(top + np.log(np.exp(scores - top).sum()))
 
 
 def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -54,7 +51,7 @@ class PositiveUnlabelled:
         self.weights = np.zeros(1 << BITS)
         self.bias = 0.0
 
-    def fit(self, toxic: list[list[str]], other: list[list[str]], epochs: int = 20, rate: float = 0.3, batch: int = 64, seed: int = 13) -> "PositiveUnlabelled":
+    def fit(self, toxic: list[list[str]], other: list[list[str]], epochs: int = 20, rate: float = 0.1, batch: int = 64, seed: int = 13) -> "PositiveUnlabelled":
         """``toxic`` and ``other``: the distinct words of each confirmed and each unlabelled document."""
         rng = np.random.default_rng(seed)
         number: dict[str, int] = {}
@@ -70,13 +67,19 @@ class PositiveUnlabelled:
         if not positives or not unlabelled:
             return self
         slope, bias_slope = np.zeros(1 << BITS), 0.0  # sums of squared gradients
-        for _ in range(epochs * max(1, len(unlabelled) // batch)):
+        steps = epochs * max(1, len(unlabelled) // batch)
+        mean, mean_bias = np.zeros(1 << BITS), 0.0  # of the second half of the steps
+        for step in range(steps):
             pick = [*rng.choice(positives, batch), *rng.choice(unlabelled, batch)]
             grad, by_doc = self.gradient([(features, starts, counts, docs[i]) for i in pick], batch)
             slope += grad * grad
             self.weights -= rate * grad / (np.sqrt(slope) + 1e-6)
             bias_slope += by_doc.sum() ** 2
             self.bias -= rate * by_doc.sum() / (bias_slope**0.5 + 1e-6)
+            if step >= steps // 2:
+                mean += self.weights
+                mean_bias += self.bias
+        self.weights, self.bias = mean / (steps - steps // 2), mean_bias / (steps - steps // 2)
         return self
 
     def gradient(self, docs: list[tuple], batch: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,18 +95,20 @@ class PositiveUnlabelled:
         scale = n**-0.5
         scores = np.add.reduceat(self.weights[used], np.cumsum(n) - n) * scale
         first = np.cumsum(sizes) - sizes
-        weight = np.exp(FOCUS * (scores - np.repeat(np.maximum.reduceat(scores, first), sizes)))
-        weight /= np.repeat(np.add.reduceat(weight, first), sizes)
-        pooled = np.add.reduceat(weight * scores, first)
-        by_word = weight * (1 + FOCUS * (scores - np.repeat(pooled, sizes)))
-        sigma = 1 / (1 + np.exp(-np.clip(pooled + self.bias, -30, 30)))
+        top = np.maximum.reduceat(scores, first)
+        weight = np.exp(scores - np.repeat(top, sizes))
+        total = np.add.reduceat(weight, first)
+        pooled, by_word = top + np.log(total), weight / np.repeat(total, sizes)
+        odds = pooled + self.bias
+        sigma = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         p = np.arange(len(docs)) < batch
-        # sigmoid loss: sigma(-g) for a positive, sigma(g) for a negative
-        negative = sigma[~p].mean() - self.prior * sigma[p].mean()
-        steep = sigma * (1 - sigma) / np.where(p, batch, max(1, len(docs) - batch))
+        # logistic loss: log(1 + exp(-g)) for a positive, log(1 + exp(g)) for a negative
+        as_negative = np.logaddexp(0, odds)
+        negative = as_negative[~p].mean() - self.prior * as_negative[p].mean()
+        share = 1 / np.where(p, batch, max(1, len(docs) - batch))
         # derivatives of the positive part and of the part that stands for the negatives
-        up = np.where(p, -self.prior * steep, 0)
-        down = np.where(p, -self.prior * steep, steep)
+        up = np.where(p, self.prior * (sigma - 1) * share, 0)
+        down = np.where(p, -self.prior * sigma * share, sigma * share)
         by_doc = up + down if negative >= 0 else -down
         back = np.repeat(np.repeat(by_doc, sizes) * by_word * scale, n)
         return np.bincount(used, weights=back, minlength=1 << BITS), by_doc
@@ -156,7 +161,7 @@ class Scorer:
         for some in in_portions([t or "" for t in texts.to_pylist()], distinct_words):
             self.table.learn(some)
             for words in some:
-                odds.append(pool(self.table.rows[self.table.numbers(words)])[0] + self.model.bias if words and self.model else -np.inf)
+                odds.append(pool(self.table.rows[self.table.numbers(words)]) + self.model.bias if words and self.model else -np.inf)
         return 1 / (1 + np.exp(-np.clip(np.array(odds, np.float64), -745, 500)))
 
 
