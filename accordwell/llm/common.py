@@ -69,11 +69,13 @@ def fit_in_task(sample: DataFrame, fit: Callable[[pa.Table], object]) -> object:
 def join_some_hot(left: DataFrame, right: DataFrame, keys: list[str], rows: int) -> DataFrame:
     """``left`` with the columns of ``right``, a left join on ``keys``, none of whose values gathers all its rows of ``left`` in one task.
 
-    ``right`` has each key once, with a column ``n``: how many rows of ``left`` have it, ``rows`` in all. Keys with more than
-    one in ``HOT_KEYS`` of the rows are at most ``HOT_KEYS`` rows of ``right``, which are sent to all tasks; the others are joined by sort-merge.
+    ``right``, a written table, has each key once, with a column ``n``: how many rows of ``left`` have it, ``rows`` in all. Keys with more than
+    one in ``HOT_KEYS`` of the rows are at most ``HOT_KEYS`` rows of ``right``: their hashes come to the driver, and they are sent to all tasks; the others are joined by sort-merge.
     """
-    hot = right.where(F.col("n") > max(1, rows // HOT_KEYS))
-    many = F.broadcast(hot.drop("n"))
-    found = left.join(many, keys)
-    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(F.col("n") <= max(1, rows // HOT_KEYS)).drop("n").hint("merge"), keys, "left")
-    return found.unionByName(rest)
+    key = F.xxhash64(*keys)
+    hot = [r.h for r in right.where(F.col("n") > max(1, rows // HOT_KEYS)).select(key.alias("h")).collect()]
+    if not hot:
+        return left.join(right.drop("n"), keys, "left")
+    chosen = key.isin(hot)
+    found = left.where(chosen).join(F.broadcast(right.where(chosen).drop("n")), keys, "left")
+    return found.unionByName(left.where(~chosen).join(right.where(~chosen).drop("n").hint("merge"), keys, "left"))

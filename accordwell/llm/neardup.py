@@ -29,7 +29,7 @@ from .hashing import WORDS, RunHasher
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5  # a pair at 0.8 shares a band with probability 0.9999
 BLOCK = 1024
-HUB_BYTES = 1 << 23  # texts of a hub's members in one task
+HUB_BYTES = 1 << 19  # texts of a hub's members in one task
 SIGNED = "doc_id long, tkey long, t1 long, t2 long, bands array<long>, digest binary"
 _STEP, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -243,7 +243,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands:
     )
     placed = heads.select("node", "tkey", F.explode("bands").alias("bucket"))
     hubs = placed.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.min_by("tkey", "node").alias("hkey"), F.count("*").alias("n"))
-    stars = join_some_hot(placed, hubs.where("hub < last").drop("last"), ["bucket"], heads.count() * bands).where("hub is not null")
+    stars = join_some_hot(placed, materialise(hubs.where("hub < last").drop("last")), ["bucket"], heads.count() * bands).where("hub is not null")
     edges = materialise(stars.where("node <> hub").select(F.col("node").alias("a"), F.col("tkey").alias("ak"), F.col("hub").alias("b"), F.col("hkey").alias("bk")).distinct())
     involved = edges.select(F.col("a").alias("doc_id"), F.col("ak").alias("tkey")).unionAll(edges.select("b", "bk")).distinct()
     known = materialise(
@@ -256,7 +256,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands:
     members = materialise(stars.select("bucket", "node", "tkey").join(labels, "node", "left").select("bucket", "node", "tkey", label))
     open_buckets = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")
-    rest = join_some_hot(members, open_buckets.select("bucket", blocks, "n"), ["bucket"], members.count()).where("blocks is not null")
+    rest = join_some_hot(members, materialise(open_buckets.select("bucket", blocks, "n")), ["bucket"], members.count()).where("blocks is not null")
     dealt = (
         rest.withColumn("block", F.pmod(F.xxhash64("node", "tkey"), F.col("blocks")).cast("int"))
         .join(heads.select("node", "tkey", "digest", "bands"), ["node", "tkey"])
@@ -267,7 +267,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands:
     more = materialise(dealt.groupBy("bucket", "i", "j").applyInArrow(_cross_links(threshold, bands * rows), "a long, b long").distinct())
     if not more.isEmpty():
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionAll(more))
-    named_classes = heads.join(labels, "node", "left").select("t1", "t2", label.alias("class_id"), "n")
+    named_classes = materialise(heads.join(labels, "node", "left").select("t1", "t2", label.alias("class_id"), "n"))
     ids = join_some_hot(signed.select("doc_id", "t1", "t2", (F.size("bands") > 0).alias("words")), named_classes, ["t1", "t2"], signed.count())
     wordless = signed.where(F.size("bands") == 0).select("doc_id")
     elsewhere = ids.where("words").join(wordless.distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))

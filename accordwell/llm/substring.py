@@ -214,7 +214,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, phrase: int = PHRAS
         "doc_id", "tkey", "w.starts", "w.h1", "w.h2"
     )
     earliest = pending.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last")
-    pending = join_some_hot(pending, earliest.select("h1", "h2", "first", "n"), ["h1", "h2"], max(1, pending.count()))
+    pending = join_some_hot(pending, materialise(earliest.select("h1", "h2", "first", "n")), ["h1", "h2"], pending.count())
     late = pending.where("doc_id > first").select("doc_id", "tkey", F.array("starts").alias("starts"))
     none = F.array().cast("array<int>")
     covered = (
