@@ -392,8 +392,8 @@ def test_quality_on_held_out_documents(spark):
 def test_toxicity_on_held_out_documents(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit_toxicity_model(docs, labels)
-    got = toxicity.score_toxicity(docs, model).join(labels, "doc_id").toPandas()
-    assert (got.predicted == got.toxic).mean() > 0.95
+    got = toxicity.score_toxicity(docs, model).join(labels, "doc_id").where("held_out").toPandas()
+    assert (got.predicted == got.toxic).mean() > 0.9
     assert got[(got.toxic == 0)].predicted.mean() < 0.05
     odd = documents(spark, ODD, extra=True)
     assert all(0 <= r.score <= 1 for r in toxicity.score_toxicity(odd, model).collect())
