@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, stage by stage.
 
 ``STAGES`` names the stages in order. Each takes all that its predecessor kept; every stage but
-the last returns the columns of ``documents``. ``run`` writes each stage's result to the shared folder and reads it again.
+the last returns the columns of ``documents``, further ones under any names included. ``run`` writes each stage's result to the shared folder and reads it again.
+Empty tables go through as empty tables.
 """
 
 from __future__ import annotations
@@ -20,22 +21,22 @@ LEAST_LANGUAGE_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or in no learned language, go."""
+    """Documents without letters, or in no learned language, go; so do null texts. Rows that repeat are judged alike. A null lang is just not learned from."""
     return langid.keep_identified(docs, langid.fit_language_model(docs), LEAST_LANGUAGE_SCORE)
 
 
 def toxic_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.5 or more for toxicity go."""
+    """Documents that score 0.5 or more for toxicity go. Null and wordless texts score 0. Without toxic labels nothing goes."""
     return toxicity.drop_toxic(docs, toxicity.fit_toxicity_model(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest doc_id stays."""
+    """Of each class of near-duplicates the document with the smallest doc_id stays, with all rows of that doc_id; rows without doc_id and wordless texts stay."""
     return neardup.keep_one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words in passages of 50 words that an earlier document has go; the documents stay."""
+    """Words in passages of 50 words that a document with a smaller doc_id has go; the documents stay, those that are copies with an empty text. Null texts stay null."""
     return substring.remove_repeats(docs)
 
 
