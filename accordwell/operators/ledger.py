@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import projections as P
 from ..registry import query
 from .gates import _FAMILY, _PAIRS, _pairs, family_of, first_match
-from .lineage import ancestor_paths
+from .lineage import topmost_ancestors
 
 
 @query(
@@ -183,7 +183,7 @@ def grf_identity_trace(spark, sf_dir):
     """Through changes of identity back to the first one, with the number of changes."""
     p = F.col("l_partkey")
     edges = P.read(spark, sf_dir, "lineitem").where(p % 6 != 0).select(p.alias("node"), (p - 1).alias("parent")).distinct()
-    return ancestor_paths(edges).groupBy(F.col("node").alias("id")).agg(F.min("ancestor").alias("origin"), F.max("depth").alias("changes"))
+    return topmost_ancestors(edges).select(F.col("node").alias("id"), F.col("ancestor").alias("origin"), F.col("depth").alias("changes"))
 
 
 @query(

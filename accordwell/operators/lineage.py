@@ -45,6 +45,22 @@ def cycle_nodes(edges: DataFrame) -> DataFrame:
     return up.select(F.col("up").alias("node")).distinct()
 
 
+def topmost_ancestors(edges: DataFrame) -> DataFrame:
+    """(node, ancestor, depth) with the ancestor that has no parent, for nodes with one parent at most; nodes whose way up ends in a cycle are left out.
+
+    Pointer jumping: each round a node takes over the pointer of what it points at, so there is one row for each node, and about log2(depth) rounds.
+    """
+    up = materialise(edges.where("node is not null and parent is not null").select("node", F.col("parent").alias("up"), F.lit(1).alias("depth")).distinct().withColumn("moved", F.lit(True)))
+    for _ in range(up.count().bit_length() + 1):
+        further = up.select(F.col("node").alias("up"), F.col("up").alias("above"), F.col("depth").alias("more"))
+        up = materialise(
+            up.join(further, "up", "left").select("node", F.coalesce("above", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("above").isNotNull().alias("moved"))
+        )
+        if up.where("moved").isEmpty():
+            break
+    return up.where("not moved").select("node", F.col("up").alias("ancestor"), "depth")
+
+
 def parent_edges(versions: DataFrame) -> DataFrame:
     return versions.select(F.col("version_id").alias("node"), F.col("parent_version_id").alias("parent"))
 
@@ -130,7 +146,7 @@ def grf_reach_origin(spark, sf_dir):
     """The origin of each version and the steps to it; versions that reach none are left out."""
     v = P.commitment_version(spark, sf_dir)
     roots = v.where("parent_version_id is null").select(F.col("version_id").alias("origin"))
-    up = ancestor_paths(parent_edges(v)).select(F.col("node").alias("version_id"), F.col("ancestor").alias("origin"), "depth")
+    up = topmost_ancestors(parent_edges(v)).select(F.col("node").alias("version_id"), F.col("ancestor").alias("origin"), "depth")
     return up.join(roots, "origin").select("version_id", "origin", "depth").unionAll(roots.select(F.col("origin").alias("version_id"), "origin", F.lit(0)))
 
 
