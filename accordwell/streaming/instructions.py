@@ -6,6 +6,7 @@ instruction older than the last applied one is stale and counts as unresolved. A
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.execution import step
 from ..projections import INSTRUCTION_OF_EVENT
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -68,6 +70,32 @@ def fold_stream(instructions: DataFrame) -> DataFrame:
     return instructions.groupBy("agreement_id", "target_key").applyInPandasWithState(_fold, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+EXECUTED = "agreement_id long, target_key string, step long, outcome string, action string, status string"
+
+
+def _execute(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    kept, last = state.get if state.exists else ("null", -(2**62))
+    now, out = json.loads(kept), []
+    rows = pd.concat(list(batches)).astype(object)
+    for i in rows.where(rows.notna(), None).sort_values("step").to_dict("records"):
+        if i["step"] < last:
+            event = {"outcome": "UNRESOLVED", "action": "stale"}
+        else:
+            last = i["step"]
+            now, event = step(now, i | {"payload": dict(i["payload"]) if i["payload"] is not None else None})
+        out.append((*key, int(i["step"]), event["outcome"], event["action"], now and now["status"]))
+    state.update((json.dumps(now, default=str), int(last)))
+    yield pd.DataFrame(out, columns=[c.split()[0] for c in EXECUTED.split(", ")])
+
+
+def execute_stream(instructions: DataFrame) -> DataFrame:
+    """An event for each instruction, by the step of the batch operator, with the columns of ``operators.execution.INSTRUCTION`` (step as long).
+
+    Instructions of a batch are taken in the order of ``step``; one that comes after a later step was applied is stale and stays unresolved.
+    """
+    return instructions.groupBy("agreement_id", "target_key").applyInPandasWithState(_execute, EXECUTED, "commitment string, last_step long", "append", GroupStateTimeout.NoTimeout)
+
+
 def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
     """Instructions per type and time window; rows later than the watermark are left out."""
     timed = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)

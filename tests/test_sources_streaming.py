@@ -90,3 +90,19 @@ def test_windowed_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("counted").agg(F.sum("n")).first()[0] == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_stream_of_all_types_equals_batch(spark, tmp_path):
+    from accordwell.operators import execution
+
+    rows = execution.full_instruction(spark, SF).where("agreement_id <= 3").withColumn("step", F.col("step").cast("long")).persist()
+    cut = rows.approxQuantile("step", [0.4, 0.7], 0)
+    for k, where in enumerate((f"step <= {cut[0]}", f"step > {cut[0]} and step <= {cut[1]}", f"step > {cut[1]}")):
+        rows.where(where).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={k}"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "part=*"))
+    q = instructions.execute_stream(stream).writeStream.format("memory").queryName("executed").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    key = ("agreement_id", "target_key", "step", "outcome", "action", "status")
+    got = sorted(tuple(str(x) for x in r) for r in spark.table("executed").select(*key).collect())
+    assert got and got == sorted(tuple(str(x) for x in r) for r in execution.execute(rows).select(*key).collect())
