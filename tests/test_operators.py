@@ -56,13 +56,13 @@ def test_clean_chain(spark):
 def test_a_failed_guard_leaves_the_state(spark):
     rows = [(1, "lev", 1, "REPLACE_VALUE", 9.0), (1, "lev", 2, "ADD_COMMITMENT", 4.0), (1, "lev", 3, "ADD_COMMITMENT", 5.0), (1, "lev", 4, "WAIVE_TEMPORARILY", None), (1, "lev", 5, "REPLACE_VALUE", 6.0)]
     r = fold(spark, rows)[1, "lev"]
-    assert (r.status, r.value, r.applied, r.unresolved, r.outcome) == ("WAIVED", 4.0, 2, 3, "PARTIAL")
+    assert (r.status, r.value, r.applied, r.unresolved, r.outcome) == ("WAIVED", 6.0, 3, 2, "PARTIAL")
 
 
-def test_deleted_stays_deleted_and_others_are_untouched(spark):
+def test_reinstating_works_on_any_status_and_others_are_untouched(spark):
     rows = [(1, "a", 1, "ADD_COMMITMENT", 1.0), (1, "a", 2, "DELETE_COMMITMENT", None), (1, "a", 3, "REINSTATE", None), (2, "a", 1, "UNRESOLVED", None)]
     got = fold(spark, rows)
-    assert got[1, "a"].status == "DELETED" and got[1, "a"].unresolved == 1 and got[2, "a"].outcome == "UNRESOLVED"
+    assert got[1, "a"].status == "ACTIVE" and got[1, "a"].unresolved == 0 and got[2, "a"].outcome == "UNRESOLVED"
 
 
 def test_fold_does_not_depend_on_partitioning(spark):
@@ -87,13 +87,13 @@ def test_paths_and_cycles(spark):
 
 
 def test_gate_takes_the_first_reason(spark):
-    schema = "execution string, proof string, lineage_valid boolean, inherited int, evidence string, uncertainty string"
+    schema = "execution string, completeness string, validity string, checks_passed boolean, lineage_valid boolean, inherited int, evidence string, uncertainty string, target_level string"
     rows = [
-        ("COMPLETE", "VALID", True, 0, "SUFFICIENT", "LOW"),
-        ("COMPLETE", "VALID", None, 0, "SUFFICIENT", "LOW"),
-        ("COMPLETE", "INVALID", False, 1, "WEAK", "HIGH"),
-        ("COMPLETE", "VALID", True, 0, "WEAK", "HIGH"),
-        ("PARTIAL", "VALID", True, 0, "SUFFICIENT", "LOW"),
+        ("COMPLETE", "COMPLETE", "VALID", True, True, 0, "SUFFICIENT", "LOW", "SUFFICIENT"),
+        ("COMPLETE", "COMPLETE", "VALID", True, None, 0, "SUFFICIENT", "LOW", "SUFFICIENT"),
+        ("COMPLETE", "COMPLETE", "INVALID", False, False, 1, "WEAK", "HIGH", "WEAK"),
+        ("COMPLETE", "COMPLETE", "VALID", True, True, 0, "WEAK", "HIGH", "WEAK"),
+        ("PARTIAL", "COMPLETE", "VALID", True, True, 0, "SUFFICIENT", "LOW", "SUFFICIENT"),
     ]
     got = [(r.decision, r.reason) for r in gates.authority_gate(spark.createDataFrame(rows, schema)).collect()]
     assert got == [

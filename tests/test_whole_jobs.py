@@ -129,12 +129,12 @@ def test_a_long_history_is_folded_in_segments(spark):
     want: dict = {}
     for a, k, _, kind, new in sorted(rows, key=lambda r: r[:4]):
         status, value, applied, unresolved = want.get((a, k), (None, None, 0, 0))
-        live = status not in (None, "DELETED")
+        known = status is not None
         if kind == "ADD_COMMITMENT" and status is None:
             status, value, applied = "ACTIVE", new, applied + 1
-        elif kind == "REPLACE_VALUE" and status == "ACTIVE":
+        elif kind == "REPLACE_VALUE" and known:
             value, applied = new, applied + 1
-        elif kind in status_after and live:
+        elif kind in status_after and known:
             status, applied = status_after[kind], applied + 1
         elif kind != "RENUMBER_REFERENCE":
             unresolved += 1
