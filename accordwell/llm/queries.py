@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, langid, neardup, packing, piece_bpe, quality, substring, topk, toxicity
+from . import ann, chat, collocations, langid, neardup, packing, piece_bpe, quality, runs, sharding, substring, topk, toxicity
 from .common import table
+from .oracles import OP11_SQL, OP12_SQL, OP13_SQL
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +77,18 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top_collocations(collocations.collocations(table(spark, sf_dir, "documents")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_quality": op2_quality,
@@ -87,5 +100,8 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_packing": op9_packing,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_sharding": op11_sharding,
+    "op12_collocations": op12_collocations,
+    "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLES: dict[str, str] = {"op3_top_k": OP3_SQL}
+ORACLES: dict[str, str] = {"op3_top_k": OP3_SQL, "op11_sharding": OP11_SQL, "op12_collocations": OP12_SQL, "op13_periodic_runs": OP13_SQL}
