@@ -66,6 +66,19 @@ def fit_in_task(sample: DataFrame, fit: Callable[[pa.Table], object]) -> object:
     return pickle.loads(made[0].model) if made else fit(pa.table({n: pa.array([]) for n in names}))
 
 
+def fit_in_tasks(sample: DataFrame, fit: Callable[[pa.Table, int], object], seeds: tuple[int, ...]) -> list:
+    """What ``fit`` makes of a bounded sample with each seed, in the order of the seeds, one task for each; nothing if the sample is empty."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        seed = key[0].as_py()
+        rows = rows.sort_by([(rows.column_names[k], "ascending") for k in range(2)])
+        return pa.table({"seed": pa.array([seed], pa.int32()), "model": pa.array([pickle.dumps(fit(rows, seed))], pa.binary())})
+
+    dealt = sample.withColumn("seed_", F.explode(F.array(*map(F.lit, seeds))))
+    made = {r.seed: r.model for r in dealt.groupBy("seed_").applyInArrow(run, "seed int, model binary").collect()}
+    return [pickle.loads(made[s]) for s in seeds if s in made]
+
+
 def join_some_hot(left: DataFrame, right: DataFrame, keys: list[str], rows: int) -> DataFrame:
     """``left`` with the columns of ``right``, a left join on ``keys``, none of whose values gathers all its rows of ``left`` in one task.
 

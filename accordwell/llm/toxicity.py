@@ -7,6 +7,10 @@ kept from falling below zero (where it does, that part's gradient is taken backw
 A word's score is the sum of its hashed subword weights, scaled by their number; a document's
 log odds are the logarithm of the sum of the exponentials of its distinct words' scores: other words add next to nothing, so a
 few toxic words count in a long text as in a short one, and more of them count for more.
+
+The risk isn't convex and a sample may be small, so several fits, each from its own seed, are averaged. Before that each is
+calibrated on the unlabelled text that it has seen: two shifts of its bias would make the mean score, or the share of scores that
+pass the threshold, equal to the class prior; it takes the middle.
 """
 
 from __future__ import annotations
@@ -19,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fit_in_task, fit_sample, held_out, portions
+from .common import fit_in_tasks, fit_sample, held_out, portions
 from .subwords import WordTable, in_portions, subword_features
 
 #: Toxic and unlabelled documents to fit on.
 FIT_TOXIC, FIT_UNLABELLED = 1500, 3000
 BITS, LEAST, MOST = 18, 3, 5
 THRESHOLD = 0.5
+#: One fit for each.
+SEEDS = (13, 14, 15)
 BLOCK = 1 << 15  # words whose features are made at once
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -82,6 +88,19 @@ class PositiveUnlabelled:
         self.weights, self.bias = mean / (steps - steps // 2), mean_bias / (steps - steps // 2)
         return self
 
+    def calibrate(self, other: list[list[str]]) -> "PositiveUnlabelled":
+        """Shift the bias by what the class prior asks of the scores of unlabelled documents (their distinct words)."""
+        scorer = Scorer(self)
+        odds = np.array([o for k in range(0, len(other), 500) for o in scorer.odds(other[k : k + 500]) if np.isfinite(o)])
+        if len(odds):
+            low, high = odds.min() - 30, odds.max() + 30
+            for _ in range(60):  # the shift at which the mean score is the prior
+                middle = (low + high) / 2
+                over = (1 / (1 + np.exp(-np.clip(odds - middle, -30, 30)))).mean() > self.prior
+                low, high = (middle, high) if over else (low, middle)
+            self.bias -= (low + np.quantile(odds, 1 - self.prior)) / 2
+        return self
+
     def gradient(self, docs: list[tuple], batch: int) -> tuple[np.ndarray, np.ndarray]:
         """Descent direction by weight and by document; ``docs`` are ``batch`` confirmed ones, then unlabelled ones.
 
@@ -114,11 +133,11 @@ class PositiveUnlabelled:
         return np.bincount(used, weights=back, minlength=1 << BITS), by_doc
 
 
-def fit_toxicity_model(docs: DataFrame, labels: DataFrame, fit_toxic: int = FIT_TOXIC, fit_unlabelled: int = FIT_UNLABELLED) -> PositiveUnlabelled | None:
+def fit_toxicity_model(docs: DataFrame, labels: DataFrame, fit_toxic: int = FIT_TOXIC, fit_unlabelled: int = FIT_UNLABELLED, seeds: tuple[int, ...] = SEEDS) -> PositiveUnlabelled | None:
     """Learn from rows that aren't held out: those whose label ``toxic`` is 1, and any others as unlabelled text.
 
     About ``fit_toxic`` and ``fit_unlabelled`` documents, by a hash of doc_id and text, are taken with their whole texts: bounded samples of rows.
-    Their distinct words are found where the rows are; the model is fitted in one task. The class prior is the share of 1
+    Their distinct words are found where the rows are; each of the ``seeds`` is fitted in one task. The class prior is the share of 1
     among all labels of such rows. Null texts are left out; a doc_id with several labels is toxic if one of them is 1. None without a toxic row.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic_"))
@@ -136,11 +155,15 @@ def fit_toxicity_model(docs: DataFrame, labels: DataFrame, fit_toxic: int = FIT_
             words = pa.array([sorted(distinct_words(t)) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), words], names=["hash_", "toxic", "words"])
 
-    def fit(rows: pa.Table) -> PositiveUnlabelled:
+    def fit(rows: pa.Table, seed: int) -> PositiveUnlabelled:
         flag, words = rows.column("toxic").to_pylist(), rows.column("words").to_pylist()
-        return PositiveUnlabelled(prior).fit([w for w, f in zip(words, flag) if f], [w for w, f in zip(words, flag) if not f])
+        other = [w for w, f in zip(words, flag) if not f]
+        return PositiveUnlabelled(prior).fit([w for w, f in zip(words, flag) if f], other, seed=seed).calibrate(other)
 
-    return fit_in_task(both.mapInArrow(split, "hash_ long, toxic int, words array<string>"), fit)
+    model, fits = PositiveUnlabelled(prior), fit_in_tasks(both.mapInArrow(split, "hash_ long, toxic int, words array<string>"), fit, seeds)
+    if fits:
+        model.weights, model.bias = np.mean([f.weights for f in fits], 0), float(np.mean([f.bias for f in fits]))
+    return model
 
 
 class Scorer:
@@ -156,12 +179,13 @@ class Scorer:
         features, counts = subword_features(words, BITS, LEAST, MOST)
         return np.add.reduceat(self.model.weights[features], np.cumsum(counts) - counts) * counts**-0.5
 
+    def odds(self, some: list[list[str]]) -> list[float]:
+        """Log odds of documents given by their distinct words."""
+        self.table.learn(some)
+        return [pool(self.table.rows[self.table.numbers(words)]) + self.model.bias if words and self.model else -np.inf for words in some]
+
     def score(self, texts: pa.Array) -> np.ndarray:
-        odds = []
-        for some in in_portions([t or "" for t in texts.to_pylist()], distinct_words):
-            self.table.learn(some)
-            for words in some:
-                odds.append(pool(self.table.rows[self.table.numbers(words)]) + self.model.bias if words and self.model else -np.inf)
+        odds = [o for some in in_portions([t or "" for t in texts.to_pylist()], distinct_words) for o in self.odds(some)]
         return 1 / (1 + np.exp(-np.clip(np.array(odds, np.float64), -745, 500)))
 
 
