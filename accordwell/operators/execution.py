@@ -10,7 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import projections as P
@@ -21,6 +22,9 @@ from .state import _OUTCOME, execution_status
 FIELDS = ("modality", "action", "subject", "operator", "threshold", "unit", "frequency", "deadline", "rate", "scope", "trigger", "grace_period", "cure", "application_order")
 LISTS = ("exceptions", "party")
 FIELD_OF_EFFECT = {"DEADLINE_CHANGE": "deadline", "FREQUENCY_CHANGE": "frequency", "PARTY_CHANGE": "party", "SCOPE_CHANGE": "scope", "COVENANT_THRESHOLD_CHANGE": "threshold", "RATE_CHANGE": "rate"}
+#: Types that can resolve what stayed open before; a change of rate has no field there.
+CONSTRUCTIVE = ("REPLACE_VALUE", "REPLACE_TEXT", "ADD", "ADD_COMMITMENT", "DELETE", "DELETE_COMMITMENT", "WAIVE_TEMPORARILY", "SUSPEND", "REINSTATE", "RESTATE_SECTION")
+RESOLVED_FIELD_OF_EFFECT = {e: f for e, f in FIELD_OF_EFFECT.items() if e != "RATE_CHANGE"}
 STATUS_SET_BY = {"DELETE_COMMITMENT": "DELETED", "SUSPEND": "SUSPENDED", "REINSTATE": "ACTIVE", "DELETE": "DELETED"}
 LIST_OF_EFFECT = {"ADD": {"EXCEPTION_EXPANSION": "exceptions", "PARTY_CHANGE": "party"}, "DELETE": {"EXCEPTION_REMOVAL": "exceptions", "PARTY_CHANGE": "party"}}
 
@@ -61,7 +65,7 @@ def apply_instruction(state: dict | None, i: dict) -> tuple[dict | None, tuple]:
         start, end = i["effective_start"], i["effective_end"]
         if not start or not end or end <= start:
             raise Refused("no waiver interval")
-        return {**state, "status": "WAIVED", "valid_from": start, "valid_to": end}, ("waive", "status", state["status"], "WAIVED")
+        return {**state, "status": "WAIVED", "valid_from": start, "valid_to": end, "waiver": (start, end)}, ("waive", "status", state["status"], "WAIVED")
     name = LIST_OF_EFFECT.get(kind, {}).get(effect)
     if name:
         return _edit_list(state, i, name)
@@ -143,12 +147,17 @@ def final_states(events: DataFrame) -> DataFrame:
     return done.select("agreement_id", "target_key", "s.*", "applied", "unresolved", execution_status(F.col("applied"), F.col("unresolved")).alias("outcome"))
 
 
-def resolutions(events: DataFrame) -> DataFrame:
-    """(agreement_id, target_key, step, resolved_by) of what stayed unresolved: the first later step that applied the same type to the same field of the target."""
-    from pyspark.sql import Window as W
+def effective_field(field: Column, effect: Column) -> Column:
+    """The field that an instruction is about: the one it names, else the one that its effect stands for; else null."""
+    named = F.coalesce(*[F.when(effect == e, f) for e, f in RESOLVED_FIELD_OF_EFFECT.items()])
+    return F.coalesce(F.when(field != "", field), named)
+
 
+def resolutions(events: DataFrame) -> DataFrame:
+    """(agreement_id, target_key, step, resolved_by) of what stayed unresolved: the first later step that applied the same constructive type to the same effective field (column ``wanted``, may be null) of the target. Without a target nothing is resolved."""
     later = W.partitionBy("agreement_id", "target_key", "instruction_type", "wanted").orderBy("step").rangeBetween(1, W.unboundedFollowing)
-    found = F.min(F.when(F.col("outcome") == "APPLIED", F.col("step"))).over(later)
+    resolving = (F.col("outcome") == "APPLIED") & F.col("instruction_type").isin(*CONSTRUCTIVE) & (F.col("target_key") != "")
+    found = F.min(F.when(resolving, F.col("step"))).over(later)
     return events.withColumn("resolved_by", found).where("outcome = 'UNRESOLVED'").select("agreement_id", "target_key", "step", "resolved_by")
 
 
@@ -169,8 +178,6 @@ FROM (SELECT *, (l_orderkey + l_linenumber) % 16 AS m FROM lineitem)"""
 
 def full_instruction(spark, sf_dir) -> DataFrame:
     """Instructions of every type, of few distinct values, so that guards hold and fail."""
-    from pyspark.sql import Window as W
-
     m, n, q = F.col("m"), F.col("l_linenumber"), F.col("l_quantity").cast("int")
     s = lambda c: c.cast("string")
     order = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
@@ -251,17 +258,20 @@ def sta_execution_states(spark, sf_dir):
     return states.withColumns({**lists, **{n: F.col("fields")[n] for n in ("threshold", "deadline")}}).drop("fields")
 
 
+_EFFECTIVE = "coalesce(i.field, CASE i.domain_effect " + " ".join(f"WHEN '{e}' THEN '{f}'" for e, f in RESOLVED_FIELD_OF_EFFECT.items()) + " END)"
+
+
 @query(
     "sta_resolved_by_match",
     _EXECUTION
-    + """SELECT u.agreement_id, u.target_key, u.step, min(a.step) AS resolved_by FROM e u JOIN full_instruction i ON i.agreement_id = u.agreement_id AND i.step = u.step
-LEFT JOIN (SELECT e.agreement_id, e.target_key, e.step, e.instruction_type, coalesce(i.field, i.domain_effect, '') AS wanted FROM e JOIN full_instruction i ON i.agreement_id = e.agreement_id AND i.step = e.step WHERE e.outcome = 'APPLIED') a
-  ON a.agreement_id = u.agreement_id AND a.target_key = u.target_key AND a.instruction_type = u.instruction_type AND a.wanted = coalesce(i.field, i.domain_effect, '') AND a.step > u.step
+    + f""", w AS (SELECT e.*, {_EFFECTIVE} AS wanted FROM e JOIN full_instruction i ON i.agreement_id = e.agreement_id AND i.step = e.step)
+SELECT u.agreement_id, u.target_key, u.step, min(a.step) AS resolved_by FROM w u
+LEFT JOIN w a ON a.outcome = 'APPLIED' AND a.instruction_type IN {CONSTRUCTIVE} AND a.agreement_id = u.agreement_id AND a.target_key = u.target_key AND a.instruction_type = u.instruction_type AND a.wanted IS NOT DISTINCT FROM u.wanted AND a.step > u.step
 WHERE u.outcome = 'UNRESOLVED' GROUP BY 1, 2, 3""",
     "full_instruction",
 )
 def sta_resolved_by_match(spark, sf_dir):
     """An unresolved instruction is resolved by the first later applied one of its type on the same field of the same target."""
     instructions = full_instruction(spark, sf_dir)
-    wanted = instructions.select("agreement_id", "step", F.coalesce("field", "domain_effect", F.lit("")).alias("wanted"))
+    wanted = instructions.select("agreement_id", "step", effective_field(F.col("field"), F.col("domain_effect")).alias("wanted"))
     return resolutions(execute(instructions).join(wanted, ["agreement_id", "step"]))
