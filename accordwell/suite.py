@@ -1,6 +1,6 @@
 """Importing this module registers every query of the library."""
 
-from .operators import addresses, bitemporal, chain_execution, compare, conservation, documents, evaluation, execution, extraction, gates, grammar, identity, ledger, lineage, mapping, ordering, registries, safety, state, temporal  # noqa: F401
+from .operators import addresses, bitemporal, chain_execution, compare, conservation, documents, evaluation, execution, extraction, gates, grammar, identity, ledger, lineage, mapping, ordering, promotion, registries, safety, state, temporal  # noqa: F401
 from .plans import chains  # noqa: F401
 from .sources import selection  # noqa: F401
 from .streaming import queries  # noqa: F401
