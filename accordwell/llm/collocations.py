@@ -155,28 +155,30 @@ def _merge(depth: int, least: int):
         total = np.add.reduceat(table.column("f").to_numpy(), at) if len(at) else np.empty(0, np.int64)
         return table.take(pa.array(at)).set_column(table.schema.get_field_index("f"), "f", pa.array(total, pa.int64()))
 
+    def check(table: pa.Table) -> None:
+        """Neighbours with one hash must be one word (or roots)."""
+        p, root = table.column("p1").to_numpy(), np.array(table.column("word").is_null())
+        if ((p[1:] == p[:-1]) & ~root[1:] & ~root[:-1]).any():
+            raise ValueError("two words share a hash: choose another seed")
+
     def kept(table: pa.Table) -> Iterator[pa.RecordBatch]:
         wanted = table.column("f").to_numpy() >= least
         if depth == 1:
-            root = np.array(table.column("word").is_null())
-            p = table.column("p1").to_numpy()[~root]
-            if (p[1:] == p[:-1]).any():
-                raise ValueError("two words share a hash: choose another seed")
-            wanted |= root
+            wanted |= np.array(table.column("word").is_null())
         yield from table.filter(pa.array(wanted)).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, before = None, None
+        waiting = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             table = pa.Table.from_batches([batch])
             table = merged(pa.concat_tables([waiting, table]) if waiting is not None else table)
-            if depth == 1 and before is not None and table.num_rows > 1:  # the hash of the last path that went out, for the check above
-                if table.column("p1")[0].as_py() == before and table.column("word")[0].is_valid:
-                    raise ValueError("two words share a hash: choose another seed")
-            waiting, out = table.slice(table.num_rows - 1), table.slice(0, table.num_rows - 1)
-            if out.num_rows:
-                before = out.column("p1")[-1].as_py() if out.column(keys[-1])[-1].is_valid else None
-                yield from kept(out)
+            if depth == 1:
+                check(table)
+            waiting = table.slice(table.num_rows - 1)
+            if table.num_rows > 1:
+                yield from kept(table.slice(0, table.num_rows - 1))
         if waiting is not None:
             yield from kept(waiting)
 
