@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import MONTHS
+from .text import MONTHS, plain_spaces
 
 # The wordings.
 RATIO = r"([\d.]+)\s*(?:to\s+|[:]\s*)1\.00"
@@ -33,6 +33,7 @@ def parts(text: Column, pattern: str, group: int = 1) -> Column:
 
 def written_date(text: Column) -> Column:
     """'June 30, 2023' (the comma may be missing) as '2023-06-30'; null for an unknown month."""
+    text = plain_spaces(text)
     pattern = r"^\s*([A-Za-z]+)\s+(\d{1,2}),?\s+(\d{4})"
     months = F.create_map(*[x for i, m in enumerate(MONTHS, 1) for x in (F.lit(m.lower()), F.lit(i))])
     month = F.try_element_at(months, F.lower(part(text, pattern)))
@@ -41,11 +42,13 @@ def written_date(text: Column) -> Column:
 
 def ratio_threshold(text: Column) -> Column:
     """The ratio that a text sets as a limit, or else names as a level."""
+    text = plain_spaces(text)
     return F.coalesce(part(text, LIMIT).try_cast("double"), part(text, LEVEL).try_cast("double"))
 
 
 def dollar_amount(text: Column) -> Column:
     """Whole dollars of the first amount in millions or billions, or else of the first amount."""
+    text = plain_spaces(text)
     scale = F.when(F.lower(part(text, SCALED, 2)) == "million", 1_000_000).otherwise(1_000_000_000)
     scaled = (part(text, SCALED).try_cast("decimal(20,6)") * scale).cast("long")
     return F.coalesce(scaled, F.split_part(F.replace(part(text, PLAIN_AMOUNT), F.lit(","), F.lit("")), F.lit("."), F.lit(1)).try_cast("long"))
@@ -53,12 +56,14 @@ def dollar_amount(text: Column) -> Column:
 
 def new_percentage(text: Column) -> Column:
     """The percentage after amending words, or else the only one; null where that isn't clear."""
+    text = plain_spaces(text)
     only = F.when(F.size(parts(text, PERCENT)) == 1, part(text, PERCENT))
     return F.coalesce(part(text, NEW_PERCENT), only).try_cast("double")
 
 
 def maturity_date(text: Column) -> Column:
     """The new maturity date: after amending words, or else the only date in the sentences that speak of it."""
+    text = plain_spaces(text)
     sentences = F.filter(F.split(text, r"(?<=[.])\s+"), lambda s: s.rlike(MATURITY))
     dates = F.flatten(F.transform(sentences, lambda s: parts(s, DATE)))
     only = F.when(F.size(dates) == 1, F.get(dates, F.lit(0)))
@@ -68,6 +73,7 @@ def maturity_date(text: Column) -> Column:
 
 def step_down_schedule(text: Column) -> Column:
     """struct(steps: array of (period_end, threshold), steady: the threshold thereafter); null without either, or where a date isn't one."""
+    text = plain_spaces(text)
     dates, values = parts(text, STEP, 1), parts(text, STEP, 2)
     steps = F.zip_with(dates, values, lambda d, v: F.struct(written_date(d).alias("period_end"), v.try_cast("double").alias("threshold")))
     steady = part(text, STEADY).try_cast("double")

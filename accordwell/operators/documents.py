@@ -15,29 +15,26 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import projections as P
+from ..functions.text import FREQUENT, character_references, plain_spaces
 from ..registry import query
 from .gates import first_match
 
-#: Entities that are resolved. Fixed values.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
-
-
 def html_to_text(html: Column) -> Column:
-    """Scripts, styles, comments and tags go, entities are resolved, lines are trimmed and blank ones dropped."""
+    """Scripts, styles, comments and tags go, character references are resolved, no-break and other spaces become plain, lines are trimmed and blank ones dropped."""
     out = F.regexp_replace(html, r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->", "")
-    out = F.regexp_replace(out, r"<[^>]*>", "\n")
-    for entity, char in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
+    out = plain_spaces(character_references(F.regexp_replace(out, r"<[^>]*>", "\n")))
     return F.array_join(F.filter(F.transform(F.split(out, "\n"), lambda s: F.trim(s)), lambda s: s != ""), "\n")
 
 
-_TEXT = "regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g'), '<[^>]*>', chr(10), 'g')"
-for _entity, _char in ENTITIES:
-    _TEXT = f"replace({_TEXT}, '{_entity}', '{_char.replace(chr(39), chr(39) * 2)}')"
+_BARE = "regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g'), '<[^>]*>', chr(10), 'g')"
+_NAMES = "MAP {" + ", ".join(f"'{n}': chr({ord(c)})" for n, c in FREQUENT.items()) + "}"
+_NAME = "regexp_extract(x, '^([A-Za-z][A-Za-z0-9]*);?', 1)"
+# names that may lack their semicolon are among the frequent ones in this SQL
+_TEXT = f"""translate(string_split({_BARE}, '&')[1] || array_to_string(list_transform(string_split({_BARE}, '&')[2:], lambda x: CASE WHEN names[{_NAME}] IS NOT NULL THEN names[{_NAME}] || regexp_replace(x, '^[A-Za-z0-9]+;?', '') ELSE '&' || x END), ''), chr(160), ' ')"""
 _TEXT = f"array_to_string(list_filter(list_transform(string_split({_TEXT}, chr(10)), lambda s: trim(s, ' ')), lambda s: s <> ''), chr(10))"
 
 
-@query("doc_html_to_text", f"SELECT page_id, sha256({_TEXT}) AS text_sha256, CAST(length({_TEXT}) AS INTEGER) AS n_chars FROM pages")
+@query("doc_html_to_text", f"WITH t AS (SELECT page_id, {_TEXT} AS text FROM pages, (SELECT {_NAMES} AS names)) SELECT page_id, sha256(text) AS text_sha256, CAST(length(text) AS INTEGER) AS n_chars FROM t")
 def doc_html_to_text(spark, sf_dir):
     text = P.read(spark, sf_dir, "pages").select("page_id", html_to_text(F.col("html")).alias("text"))
     return text.select("page_id", F.sha2("text", 256).alias("text_sha256"), F.length("text").alias("n_chars"))

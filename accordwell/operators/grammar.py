@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import projections as P
+from ..functions.text import plain_spaces
 from ..registry import query
 
 # Markers of segments.
@@ -70,7 +71,7 @@ def filing_segments(texts: DataFrame) -> DataFrame:
 
     The body goes from NOW, THEREFORE (else the beginning) to the signatures (else the end); the composite begins with the annex after it.
     """
-    t, n = F.col("text"), F.length("text")
+    t, n = plain_spaces(F.col("text")), F.length("text")
 
     def place(text: Column, pattern: str, after: Column) -> Column:
         rest = F.substring(text, after + 1, F.lit(2**31 - 1))
@@ -238,7 +239,7 @@ SIGNATURES = (
     ("incremental_amended_to_provide", r"is\s+hereby\s+amended\s+to\s+provide\s+as\s+follows"),
     ("incremental_amended_to_read", r"is\s+hereby\s+amended\s+to\s+read\s+as\s+follows"),
     ("incremental_section_modified", r"Section\s+[\d.]+\w*\s+(?:of\s+the\s+)?(?:Credit\s+Agreement\s+)?is\s+(?:hereby\s+)?modified"),
-    ("incremental_definition_amended", r'(?:definition|clause)\s+(?:of\s+)?["\x{93}\x{94}].+?["\x{93}\x{94}]\s+(?:in\s+)?Section\s+[\d.]+\w*\s+is\s+hereby\s+amended'),
+    ("incremental_definition_amended", r'(?:definition|clause)\s+(?:of\s+)?["\x93\x94].+?["\x93\x94]\s+(?:in\s+)?Section\s+[\d.]+\w*\s+is\s+hereby\s+amended'),
     ("incremental_agreement_amended_hereby", r"(?:Agreement|Credit\s+Agreement)\s+is\s+hereby\s+(?:amended|modified|supplemented)"),
     ("incremental_is_amended_by", r"Section\s+[\d.]+\w*\s+is\s+amended\s+by"),
     ("incremental_shall_be_amended", r"shall\s+be\s+amended\s+(?:to|by|as)"),
@@ -255,7 +256,7 @@ def filing_genre(texts: DataFrame) -> DataFrame:
 
     The first of the ending signatures decides alone; else all that match are evidence and the genre is incremental.
     """
-    head = F.substring(F.coalesce("text", F.lit("")), 1, HEAD_CHARS)
+    head = plain_spaces(F.substring(F.coalesce("text", F.lit("")), 1, HEAD_CHARS))
     hits = [head.rlike("(?is)" + p) for _, p in SIGNATURES]
     ended = F.coalesce(*[F.when(h, n) for h, (n, _) in zip(hits[:ENDING], SIGNATURES)])
     others = F.array_compact(F.array(*[F.when(h, n) for h, (n, _) in zip(hits[ENDING:], SIGNATURES[ENDING:])]))
@@ -271,19 +272,19 @@ _GENRE_TEXTS = (
     "delete the stricken text and add the double-underlined text", "a conformed copy of the Amended Credit Agreement", "Section 2.1 is hereby amended by replacing y", "it is hereby amended to delete the word",
     "it is hereby amended to delete the stricken text", "Section 3.2a is hereby amended to read as follows", "Section 3 is hereby amended to add the following", "Section 4 is hereby amended and restated",
     "The Credit Agreement is hereby amended as follows", "it is hereby amended to provide as follows", "Section 5.5 of the Credit Agreement is modified", 'the definition of "EBITDA" in Section 1.01 is hereby amended', "This Agreement is hereby supplemented",
-    "Section 6 is amended by adding", "it shall be amended to say", "Sections 7.1 and 7.2 are hereby amended", "changed by deleting a and inserting b", "nothing here", "annex  a",
+    "Section 6 is amended by adding", "it shall be amended to say", "Sections 7.1 and 7.2 are hereby amended", "changed by deleting a and inserting b", "nothing here", "annex  a", "Section\xa07.10 is\u2009hereby\xa0amended by replacing y",
 )
 P.SQL["genre_text"] = f"SELECT o_orderkey AS document_id, CASE o_orderkey % {len(_GENRE_TEXTS) + 1} " + " ".join(f"WHEN {k} THEN {_quoted(t)}" for k, t in enumerate(_GENRE_TEXTS)) + " END AS text FROM orders"
 
 
 def _re2(pattern: str) -> str:
     """The SQL engine has no look-ahead; the one signature with it is written as two tests."""
-    return pattern.replace(r"(?!the\s+stricken\s+text)", "").replace(r"\x{93}\x{94}", "")
+    return pattern.replace(r"(?!the\s+stricken\s+text)", "").replace(r"\x93\x94", "")
 
 
 @query(
     "doc_filing_genre",
-    "WITH s AS (SELECT document_id, coalesce(text, '') AS t FROM genre_text), h AS (SELECT document_id, regexp_matches(t, '(?i)Annex\\s+A') AS annex_a, "
+    "WITH s AS (SELECT document_id, translate(coalesce(text, ''), concat(chr(160), chr(8201)), '  ') AS t FROM genre_text), h AS (SELECT document_id, regexp_matches(t, '(?i)Annex\\s+A') AS annex_a, "
     + ", ".join(f"regexp_matches(t, {_quoted('(?is)' + _re2(p))})" + (" AND NOT regexp_matches(t, '(?i)delete\\s+the\\s+stricken')" if "(?!" in p else "") + f" AS h{k}" for k, (_, p) in enumerate(SIGNATURES))
     + " FROM s) SELECT document_id, CASE WHEN h0 THEN 'FULL_RESTATEMENT' WHEN h1 OR h2 THEN 'CONFORMED_COPY' WHEN "
     + " OR ".join(f"h{k}" for k in range(ENDING, len(SIGNATURES)))

@@ -6,94 +6,88 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import projections as P
+from ..functions.text import plain_spaces
 from ..registry import query
 
-# Priority (lower first), class, phrase. A space stands for any white space; the rest are regular expressions.
-ALIASES = """
-10 financial_covenant.leverage_ratio Total Funded Debt to EBITDA
-10 financial_covenant.leverage_ratio Core Leverage Ratio
-10 financial_covenant.leverage_ratio Total Debt to EBITDA
-10 financial_covenant.leverage_ratio Debt to EBITDAX
-10 financial_covenant.leverage_ratio Ratio of Debt to EBITDAX
-10 financial_covenant.leverage_ratio Senior Funded Debt to EBITDA
-10 financial_covenant.leverage_ratio Consolidated Leverage Ratio
-10 financial_covenant.leverage_ratio Total Leverage Ratio
-11 financial_covenant.leverage_ratio Total Leverage\b
-5 financial_covenant.leverage_ratio Maximum Total Leverage Ratio
-8 financial_covenant.leverage_ratio Maximum Leverage Ratio
-10 financial_covenant.leverage_ratio Long Term Debt to Long Term Capitalization
-50 financial_covenant.leverage_ratio Leverage Ratio
-10 financial_covenant.debt_service_coverage Debt Service Coverage
-5 financial_covenant.debt_service_coverage Debt Service Coverage Ratio
-10 financial_covenant.fixed_charge_coverage Fixed Charge Coverage
-5 financial_covenant.fixed_charge_coverage Fixed Charge Coverage Ratio
-10 financial_covenant.interest_coverage Interest Coverage
-10 financial_covenant.interest_coverage EBIT to Interest Ratio
-5 financial_covenant.interest_coverage Interest Coverage Ratio
-10 financial_covenant.current_ratio Current Ratio
-10 financial_covenant.tangible_net_worth Tangible Net Worth
-5 financial_covenant.tier_1_leverage_ratio Tier 1 Leverage Ratio
-10 financial_covenant.risk_based_capital_ratio Risk.Based Capital Ratio
-10 financial_covenant.texas_ratio Texas Ratio
-10 financial_covenant.return_on_average_assets Return on Average Assets
-10 facility.revolving_facility Revolving (?:Loan|Facility|Credit|Commitment)
-10 facility.revolving_facility Revolving Facility
-20 facility.term_loan Term Loan\b
-20 facility.term_loan Term Commitment
-10 facility.delayed_draw_term_loan Delayed Draw Term
-5 financial_covenant.tangible_net_worth Minimum Tangible Net Worth
-10 financial_covenant.tangible_net_worth Minimum Shareholders.? Equity
-10 financial_covenant.tangible_net_worth Minimum Stockholders.? Equity
-10 financial_covenant.leverage_ratio Funded Debt to EBITDA
-15 financial_covenant.leverage_ratio Debt to EBITDA\b
-8 financial_covenant.leverage_ratio Net Leverage Ratio
-8 financial_covenant.leverage_ratio First Lien Leverage Ratio
-8 financial_covenant.leverage_ratio Secured Leverage Ratio
-10 financial_covenant.debt_service_coverage Asset Coverage Ratio
-10 financial_covenant.current_ratio Minimum Working Capital
-10 financial_covenant.interest_coverage Minimum Liquidity(?: Ratio)?
-"""
-# Section, class.
-SECTIONS = r"""
-7\.10 financial_covenant.leverage_ratio
-7\.11 financial_covenant.leverage_ratio
-6\.10 financial_covenant.leverage_ratio
-6\.11 financial_covenant.leverage_ratio
-5\.0?1 financial_covenant.leverage_ratio
-9\.1\b financial_covenant.leverage_ratio
-10\.1\b financial_covenant.leverage_ratio
-7\.12 financial_covenant.fixed_charge_coverage
-6\.12 financial_covenant.fixed_charge_coverage
-7\.13 financial_covenant.interest_coverage
-6\.13 financial_covenant.interest_coverage
-7\.14 financial_covenant.current_ratio
-6\.14 financial_covenant.current_ratio
-7\.15 financial_covenant.tangible_net_worth
-6\.15 financial_covenant.tangible_net_worth
-7\.16 financial_covenant.debt_service_coverage
-6\.16 financial_covenant.debt_service_coverage
-2\.0?1\b facility.revolving_facility
-2\.0?2\b facility.term_loan
-2\.0?3\b facility.delayed_draw_term_loan
-7\.0?1\b facility.revolving_facility
-7\.0?2\b facility.term_loan
-6\.0?1\b facility.revolving_facility
-6\.0?2\b facility.term_loan
-6\.0?3\b facility.delayed_draw_term_loan
-"""
+# Priority (lower is tried first), class, pattern of a phrase.
+ALIASES = (
+    (10, "financial_covenant.leverage_ratio", r"Total\s+Funded\s+Debt\s+to\s+EBITDA"),
+    (10, "financial_covenant.leverage_ratio", r"Core\s+Leverage\s+Ratio"),
+    (10, "financial_covenant.leverage_ratio", r"Total\s+Debt\s+to\s+EBITDA"),
+    (10, "financial_covenant.leverage_ratio", r"Debt\s+to\s+EBITDAX"),
+    (10, "financial_covenant.leverage_ratio", r"Ratio\s+of\s+Debt\s+to\s+EBITDAX"),
+    (10, "financial_covenant.leverage_ratio", r"Senior\s+Funded\s+Debt\s+to\s+EBITDA"),
+    (10, "financial_covenant.leverage_ratio", r"Consolidated\s+Leverage\s+Ratio"),
+    (10, "financial_covenant.leverage_ratio", r"Total\s+Leverage\s+Ratio"),
+    (11, "financial_covenant.leverage_ratio", r"Total\s+Leverage"),
+    (5, "financial_covenant.leverage_ratio", r"Maximum\s+Total\s+Leverage\s+Ratio"),
+    (8, "financial_covenant.leverage_ratio", r"Maximum\s+Leverage\s+Ratio"),
+    (10, "financial_covenant.leverage_ratio", r"Long\s+Term\s+Debt\s+to\s+Long\s+Term\s+Capitalization"),
+    (50, "financial_covenant.leverage_ratio", r"Leverage\s+Ratio"),
+    (10, "financial_covenant.debt_service_coverage", r"Debt\s+Service\s+Coverage"),
+    (5, "financial_covenant.debt_service_coverage", r"Debt\s+Service\s+Coverage\s+Ratio"),
+    (10, "financial_covenant.fixed_charge_coverage", r"Fixed\s+Charge\s+Coverage"),
+    (5, "financial_covenant.fixed_charge_coverage", r"Fixed\s+Charge\s+Coverage\s+Ratio"),
+    (10, "financial_covenant.interest_coverage", r"Interest\s+Coverage"),
+    (10, "financial_covenant.interest_coverage", r"EBIT\s+to\s+Interest\s+Ratio"),
+    (5, "financial_covenant.interest_coverage", r"Interest\s+Coverage\s+Ratio"),
+    (10, "financial_covenant.current_ratio", r"Current\s+Ratio"),
+    (10, "financial_covenant.tangible_net_worth", r"Tangible\s+Net\s+Worth"),
+    (5, "financial_covenant.tier_1_leverage_ratio", r"Tier\s+1\s+Leverage\s+Ratio"),
+    (10, "financial_covenant.risk_based_capital_ratio", r"Risk.Based\s+Capital\s+Ratio"),
+    (10, "financial_covenant.texas_ratio", r"Texas\s+Ratio"),
+    (10, "financial_covenant.return_on_average_assets", r"Return\s+on\s+Average\s+Assets"),
+    (10, "facility.revolving_facility", r"Revolving\s+(?:Loan|Facility|Credit|Commitment)"),
+    (10, "facility.revolving_facility", r"Revolving\s+Facility"),
+    (20, "facility.term_loan", r"Term\s+Loan"),
+    (20, "facility.term_loan", r"Term\s+Commitment"),
+    (10, "facility.delayed_draw_term_loan", r"Delayed\s+Draw\s+Term"),
+    (5, "financial_covenant.tangible_net_worth", r"Minimum\s+Tangible\s+Net\s+Worth"),
+    (10, "financial_covenant.tangible_net_worth", r"Minimum\s+Shareholders.?\s+Equity"),
+    (10, "financial_covenant.tangible_net_worth", r"Minimum\s+Stockholders.?\s+Equity"),
+    (10, "financial_covenant.leverage_ratio", r"Funded\s+Debt\s+to\s+EBITDA"),
+    (15, "financial_covenant.leverage_ratio", r"Debt\s+to\s+EBITDA"),
+    (8, "financial_covenant.leverage_ratio", r"Net\s+Leverage\s+Ratio"),
+    (8, "financial_covenant.leverage_ratio", r"First\s+Lien\s+Leverage\s+Ratio"),
+    (8, "financial_covenant.leverage_ratio", r"Secured\s+Leverage\s+Ratio"),
+    (10, "financial_covenant.debt_service_coverage", r"Asset\s+Coverage\s+Ratio"),
+    (10, "financial_covenant.current_ratio", r"Minimum\s+Working\s+Capital"),
+    (10, "financial_covenant.interest_coverage", r"Minimum\s+Liquidity(?:\s+Ratio)?"),
+)
+# Pattern of a section's number, class.
+SECTIONS = (
+    (r"7\.10", "financial_covenant.leverage_ratio"),
+    (r"7\.11", "financial_covenant.leverage_ratio"),
+    (r"6\.10", "financial_covenant.leverage_ratio"),
+    (r"6\.11", "financial_covenant.leverage_ratio"),
+    (r"5\.0?1", "financial_covenant.leverage_ratio"),
+    (r"9\.1\b", "financial_covenant.leverage_ratio"),
+    (r"10\.1\b", "financial_covenant.leverage_ratio"),
+    (r"7\.12", "financial_covenant.fixed_charge_coverage"),
+    (r"6\.12", "financial_covenant.fixed_charge_coverage"),
+    (r"7\.13", "financial_covenant.interest_coverage"),
+    (r"6\.13", "financial_covenant.interest_coverage"),
+    (r"7\.14", "financial_covenant.current_ratio"),
+    (r"6\.14", "financial_covenant.current_ratio"),
+    (r"7\.15", "financial_covenant.tangible_net_worth"),
+    (r"6\.15", "financial_covenant.tangible_net_worth"),
+    (r"7\.16", "financial_covenant.debt_service_coverage"),
+    (r"6\.16", "financial_covenant.debt_service_coverage"),
+    (r"2\.0?1\b", "facility.revolving_facility"),
+    (r"2\.0?2\b", "facility.term_loan"),
+    (r"2\.0?3\b", "facility.delayed_draw_term_loan"),
+    (r"7\.0?1\b", "facility.revolving_facility"),
+    (r"7\.0?2\b", "facility.term_loan"),
+    (r"6\.0?1\b", "facility.revolving_facility"),
+    (r"6\.0?2\b", "facility.term_loan"),
+    (r"6\.0?3\b", "facility.delayed_draw_term_loan"),
+)
 PERCENT_CLASSES = ("financial_covenant.tier_1_leverage_ratio", "financial_covenant.risk_based_capital_ratio", "financial_covenant.texas_ratio", "financial_covenant.return_on_average_assets")
 BY_TEXT, BY_SECTION, BY_SECTION_IN_STATE = 0.95, 0.70, 0.60
 
 
-def _entries() -> list[tuple[str, str, int]]:
-    """(pattern, class, how: 0 text, 1 section) in the order in which they are tried."""
-    lines = [line.split(" ", 2) for line in ALIASES.strip().splitlines()]
-    aliases = [(phrase.replace(" ", r"\s+"), name, 0) for _, name, phrase in sorted(lines, key=lambda x: int(x[0]))]
-    sections = [line.split() for line in SECTIONS.strip().splitlines()]
-    return aliases + [(r"section\s+" + number, name, 1) for number, name in sections]
-
-
-REGISTRY = _entries()
+#: (pattern, class, how: 0 text, 1 section) in the order in which they are tried.
+REGISTRY = [(p, c, 0) for _, c, p in sorted(ALIASES, key=lambda a: a[0])] + [(r"section\s+" + p, c, 1) for p, c in SECTIONS]
 
 
 def class_unit(name: Column) -> Column:
@@ -104,7 +98,7 @@ def class_unit(name: Column) -> Column:
 
 def matching_entries(text: Column, section: Column) -> Column:
     """Numbers of the registry's entries that match, in the order in which they are tried: one projection, whatever the registry's size."""
-    subject = lambda how: F.coalesce(section if how else text, F.lit(""))
+    subject = lambda how: plain_spaces(F.coalesce(section if how else text, F.lit("")))
     return F.array_compact(F.array(*[F.when(subject(how).rlike("(?i)" + pattern), F.lit(k)) for k, (pattern, _, how) in enumerate(REGISTRY)]))
 
 
@@ -128,7 +122,7 @@ def resolve_mentions(mentions: DataFrame, state: DataFrame | None = None) -> Dat
     return chosen.withColumns({"canonical_id": F.get(names, number), "field_hint": F.when(number.isNotNull(), "threshold"), "confidence": sure}).drop("matches", "number")
 
 
-_PHRASES = ("the Maximum Total Leverage Ratio shall", "Tier 1  Leverage Ratio and Texas Ratio", "a Fixed Charge Coverage test, or Current Ratio", "interest coverage ratio", "Delayed Draw Term Loan", "Revolving Commitments", "Minimum Shareholders' Equity", "nothing of note", "Term Loans only", "Debt to EBITDAX", "risk-based capital ratio")
+_PHRASES = ("the Maximum Total Leverage Ratio shall", "Tier 1  Leverage Ratio and Texas Ratio", "a Fixed Charge Coverage test, or Current Ratio", "interest coverage ratio", "Delayed Draw Term Loan", "Revolving Commitments", "Minimum Shareholders' Equity", "nothing of note", "Term\xa0Loans only", "Debt to EBITDAX", "risk-based capital ratio")
 _PICK = "CASE CAST(o_orderkey % 13 AS INTEGER) " + " ".join(f"WHEN {k} THEN '{p.replace(chr(39), chr(39) * 2)}'" for k, p in enumerate(_PHRASES)) + " WHEN 11 THEN '' END"
 P.SQL["mention"] = f"""
 SELECT o_custkey % 25 AS agreement_id, o_orderkey AS mention_id, {_PICK} AS text, CASE WHEN o_custkey % 6 <> 0 THEN concat(CASE WHEN o_custkey % 2 = 0 THEN 'Section ' ELSE 'SECTION  ' END, CAST(o_custkey % 4 + 5 AS VARCHAR), '.', CAST(o_orderkey % 17 AS VARCHAR)) END AS section_ref FROM orders"""
@@ -151,7 +145,7 @@ def in_state(spark, sf_dir) -> DataFrame:
 _MATCH = (
     "WITH g(pattern, canonical_id, how, number) AS (VALUES " + ", ".join(f"('(?i){p}', '{c}', {h}, {k})" for k, (p, c, h) in enumerate(REGISTRY)) + """),
 s AS (SELECT DISTINCT text AS subject, 0 AS how FROM mention UNION SELECT DISTINCT section_ref, 1 FROM mention),
-hit AS (SELECT s.subject, s.how, g.canonical_id, g.number FROM s JOIN g ON g.how = s.how AND regexp_matches(s.subject, g.pattern)),
+hit AS (SELECT s.subject, s.how, g.canonical_id, g.number FROM s JOIN g ON g.how = s.how AND regexp_matches(translate(s.subject, chr(160), ' '), g.pattern)),
 m AS (SELECT mention_id, agreement_id, canonical_id, how, number FROM mention JOIN hit ON hit.subject = CASE WHEN hit.how = 0 THEN text ELSE section_ref END)
 """
 )
