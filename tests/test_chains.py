@@ -138,3 +138,13 @@ def test_awkward_chains(spark):
     assert sorted(twice) == [("APPLIED", "replace"), ("UNRESOLVED", "old value differs")]
     lost = some.events().where("target_key is null").collect()
     assert [r.outcome for r in lost] == ["UNRESOLVED"]
+
+
+def test_states_without_events_are_the_states_of_the_events(spark):
+    from accordwell.operators import execution as X
+
+    few = X.full_instruction(spark, "/root/testdata/sf0.001")
+    slow, fast = X.final_states(X.execute(few)), X.execute_to_states(few).select(*X.final_states(X.execute(few)).columns)
+    key = lambda r: (r.agreement_id, r.target_key)
+    assert sorted(map(repr, slow.collect())) == sorted(map(repr, fast.collect())) and len({key(r) for r in fast.collect()}) == fast.count()
+    assert X.execute_to_states(few.limit(0)).count() == 0
