@@ -173,7 +173,7 @@ def authorise(evidence: DataFrame, book: DataFrame, versions: DataFrame, id_colu
 
 
 P.SQL["evidence"] = """
-SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS evidence_id, l_suppkey % 30 AS agreement_id, CAST(date_diff('day', TIMESTAMP '1992-01-01', l_shipdate) AS INTEGER) AS amendment_number,
+SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_shipdate AS DATE)) AS evidence_id, l_suppkey % 30 AS agreement_id, CAST(date_diff('day', TIMESTAMP '1992-01-01', l_shipdate) AS INTEGER) AS amendment_number,
   CASE WHEN l_partkey % 29 <> 0 THEN concat('Section 7.', CAST(l_partkey % 25 AS VARCHAR), CASE l_linenumber WHEN 1 THEN '(a)' WHEN 2 THEN '(A)' WHEN 3 THEN '(a)(i)(x)' ELSE '' END) END AS section_ref,
   CASE WHEN l_orderkey % 11 > 0 THEN concat('shall be ', CAST(CAST(l_quantity AS INTEGER) % 4 AS VARCHAR), '.50 to 1.00') END AS source_text, CASE WHEN l_orderkey % 3 > 0 THEN CAST(l_shipdate AS DATE) END AS effective_date,
   CASE l_orderkey % 12 WHEN 0 THEN 'ADD' WHEN 1 THEN 'DELETE' WHEN 2 THEN 'ADD_COMMITMENT' WHEN 3 THEN 'RESTATE_SECTION' WHEN 4 THEN 'WAIVE_TEMPORARILY' WHEN 5 THEN 'REINSTATE' WHEN 6 THEN 'RENUMBER_REFERENCE' WHEN 7 THEN 'FIND_REPLACE_REFERENCE' WHEN 8 THEN 'UNRESOLVED' ELSE 'replace_value' END AS instruction_type,
@@ -195,7 +195,7 @@ def evidence_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     kind = F.coalesce(*[F.when(k % 12 == i, name) for i, name in enumerate(kinds)], F.lit("replace_value"))
     tail = F.when(n == 1, "(a)").when(n == 2, "(A)").when(n == 3, "(a)(i)(x)").otherwise("")
     evidence = P.read(spark, sf_dir, "lineitem").select(
-        F.concat_ws("-", k, n, p, s).alias("evidence_id"),
+        F.concat_ws("-", k, n, p, s, F.to_date("l_shipdate")).alias("evidence_id"),
         (s % 30).alias("agreement_id"),
         days(F.col("l_shipdate")).alias("amendment_number"),
         F.when(p % 29 != 0, F.concat(F.lit("Section 7."), text(p % 25), tail)).alias("section_ref"),
