@@ -29,7 +29,9 @@ from pyspark.sql.window import Window as W
 from .common import join_some_hot, materialise, portions
 
 #: Bytes of text behind one trie; a longer text is a trie of its own. Bits of the bitmaps.
-SHARD, BITS = 1 << 24, 26
+SHARD, BITS = 1 << 23, 26
+#: Bytes of text that are held as words at a time.
+TOGETHER = 1 << 20
 #: Hash seed, to be changed if two words share a hash.
 SEED = 0
 RANKING_GROUPS = 64
@@ -65,12 +67,23 @@ def _admitted(bitmap: np.ndarray, path: list[np.ndarray]) -> np.ndarray:
     return (bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
+def _numbered(texts: list[bytes], numbers: dict[bytes, int]) -> np.ndarray:
+    """The numbers of all words, one text after another, with 0 where a piece ends; only some texts at a time are held as words."""
+    parts, start, size = [np.empty(0, np.int32)], 0, 0
+    for k, text in enumerate(texts, 1):
+        size += len(text)
+        if size > TOGETHER or k == len(texts):
+            tokens = b".".join(texts[start:k]).translate(_FOLD).replace(b".", b" . ").split()
+            parts += [np.fromiter(map(numbers.__getitem__, tokens), np.int32, len(tokens)), np.zeros(1, np.int32)]
+            start, size = k, 0
+    return np.concatenate(parts)
+
+
 def count_trie(texts: list[bytes], lang: str, depth: int, bitmap: np.ndarray | None = None, seed: int = SEED) -> tuple[list[np.ndarray], np.ndarray, list[bytes]]:
     """The nodes of one depth of a trie: their paths (a column of hashes for each word) in sorted order, their counts, and at depth 1 their words."""
     numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
     numbers[b"."]  # the end of a piece, number 0
-    tokens = b".".join(texts).translate(_FOLD).replace(b".", b" . ").split()
-    ids = np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens))
+    ids = _numbered(texts, numbers)
     start = lang.encode("utf-8", "surrogatepass") + b"\0"
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(start + w, seed) for w in numbers), np.uint64, len(numbers))
     if depth == 1:
@@ -89,7 +102,7 @@ def count_trie(texts: list[bytes], lang: str, depth: int, bitmap: np.ndarray | N
         known[whole] = _admitted(bitmap, [hashes[ids[k : k + last + 1][whole]] for k in range(depth - 1)])
     at = np.flatnonzero(known[:-1] & known[1:])
     # level by level, a node is its parent's number and its word's; ``first`` is a place where it occurs
-    node = ids[at]
+    node = ids[at].astype(np.int64)
     for k in range(1, depth):
         _, first, node, n = np.unique(node * len(numbers) + ids[at + k], return_index=True, return_inverse=True, return_counts=True)
     path = [hashes[ids[at[first] + k]] for k in range(depth)]
