@@ -216,7 +216,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
     Turns are ordered by turn (null first), role, text; repeated rows are turns of their own. An unknown or null role is
     relabelled, a null text counts as empty. A null conv_id is a conversation of its own. Of equally cheap repairs the one
-    that comes first by the states system, user, assistant, from the end backwards, is taken. An empty table gives an empty result.
+    that comes first by the states system, user, assistant, from the end backwards, is taken. An empty table gives an empty result. A very long text is part of its turn's row, a conversation of very many turns is chained over tasks.
     """
     narrow = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")
@@ -234,6 +234,6 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
 
 def render_conversations(turns: DataFrame) -> DataFrame:
-    """conv_id, cost and the whole rendered text of each conversation, for conversations that fit a row."""
+    """conv_id, cost and the whole rendered text of each conversation, for conversations that fit a row (longer ones: ``format_conversations``). An empty table gives an empty result."""
     parts = format_conversations(turns).groupBy("conv_id").agg(F.sum("cost").alias("cost"), F.array_sort(F.collect_list(F.struct("ordinal", "rendered"))).alias("parts"))
     return parts.select("conv_id", "cost", F.array_join("parts.rendered", "").alias("text"))

@@ -186,7 +186,8 @@ def fit_language_model(docs: DataFrame, fit_docs: int = FIT_DOCS, steps: int = 4
     """Learn from text and lang of the rows that aren't held out and have both.
 
     About ``fit_docs`` documents, by a hash of doc_id and text, are taken with their whole texts: a bounded sample of rows, fitted in one task.
-    Of rows with equal doc_id and text the smallest lang counts. No such rows: a model without languages.
+    Of rows with equal doc_id and text the smallest lang counts. No such rows, or an empty table: a model without languages.
+    The sample is bounded in rows, not in characters: its whole texts meet in that task.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
     sample = fit_sample(known, fit_docs, known.count(), "doc_id", "text").select("hash_", "text", "lang")
@@ -244,7 +245,8 @@ def identify_languages(docs: DataFrame, model: ByteGRU, marks: bool = False) ->
     Per row of ``docs`` (doc_id, text; other columns are ignored): doc_id, held_out, lang_pred, score (mean
     probability of that language over the text's bytes); with ``marks`` also labels, a binary with the language
     number of every byte. A text that is null or has no letter is ``und`` with score 0, and so is every text if nothing
-    could be learned. Equal probabilities: the first language by name. Repeated rows are each labelled.
+    could be learned. Equal probabilities: the first language by name. Repeated rows are each labelled. A very long text is
+    labelled window by window, whole; it shares a batch with no other. An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +272,7 @@ def identify_languages(docs: DataFrame, model: ByteGRU, marks: bool = False) ->
 
 
 def keep_identified(docs: DataFrame, model: ByteGRU, least: float) -> DataFrame:
-    """The rows of ``docs`` whose text has a language with a score of at least ``least``; all columns are kept."""
+    """The rows of ``docs`` whose text has a language with a score of at least ``least``; all columns are kept, whatever their names. Null and letterless texts go; rows that repeat are judged alike; empty tables stay empty; long texts are read whole."""
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

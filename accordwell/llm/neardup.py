@@ -227,6 +227,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, bands:
     Documents are linked from a probability Jaccard similarity of ``threshold`` on; classes are the components, named by their smallest doc_id.
     Texts with the same words are equal; null texts and texts without words link nothing. Rows that repeat a
     doc_id are one document, which has all their texts. A null doc_id takes no part: its class is null. An empty table gives an empty result.
+    All shingles of a very long text count; elements arrive until none can change a band, so memory is in proportion to the text.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tkey", F.xxhash64("text"))
     signed = materialise(texts.mapInArrow(_sign(bands, rows), SIGNED))

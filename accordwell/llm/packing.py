@@ -142,7 +142,8 @@ def pack_documents(
     its ids as little-endian unsigned 32-bit, doc_tokens (with the end id), sequence_id, offset
     in the sequence; with ``keep_ids`` also the ids themselves (array of int). A null or
     empty text still has its end id. Repeated rows are packed once each; a null doc_id stays
-    null. An empty table gives an empty result.
+    null. An empty table gives an empty result. A very long text is cut into pieces, each of
+    a sequence at most; its ids are made in portions.
     """
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -242,7 +242,8 @@ def encode_documents(docs: DataFrame, model_path: str, digests: bool = False) ->
     ``docs`` needs doc_id and text; other columns are ignored. Returns per row doc_id,
     n_tokens, ids (decimal, comma-joined) and decoded; with ``digests`` the SHA-256 of the
     last two instead. A null text counts as empty: no ids, empty decoded text. A null
-    doc_id stays null, repeated rows are each encoded.
+    doc_id stays null, repeated rows are each encoded. A very long text is encoded whole, in
+    memory in proportion to it. An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -82,7 +82,8 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DO
     """Learn label ``quality`` from the rows of ``labels`` that aren't held out and have text.
 
     About ``fit_docs`` documents, by a hash of doc_id and text, are taken with their whole texts: a bounded sample of rows, fitted in one task.
-    A doc_id with several labels counts as 1 if one of them is 1. None if the sample has fewer than two kinds of label.
+    A doc_id with several labels counts as 1 if one of them is 1. None if the sample has fewer than two kinds of label, as that of an empty table has.
+    The sample is bounded in rows, not in characters: its whole texts meet in that task.
     """
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("truth_"))
     text = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(known, "doc_id")
@@ -102,6 +103,7 @@ def score_quality(docs: DataFrame, model: SubwordClassifier | None) -> DataFrame
 
     Per row: doc_id, held_out, score (probability of label 1), predicted (1 from 0.3 on). A text that is null
     or has no words gets the score of the constant alone; without a model every score is 0.5. Repeated rows are each scored.
+    A very long text is averaged over all its words. An empty table gives an empty result.
     """
     line, constant = model.line() if model else (np.zeros(REPEAT + 1), 0.0)
 

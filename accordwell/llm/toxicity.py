@@ -139,6 +139,7 @@ def fit_toxicity_model(docs: DataFrame, labels: DataFrame, fit_toxic: int = FIT_
     About ``fit_toxic`` and ``fit_unlabelled`` documents, by a hash of doc_id and text, are taken with their whole texts: bounded samples of rows.
     Their distinct words are found where the rows are; each of the ``seeds`` is fitted in one task. The class prior is the share of 1
     among all labels of such rows. Null texts are left out; a doc_id with several labels is toxic if one of them is 1. None without a toxic row.
+    The samples are bounded in rows, not in characters: the distinct words of their texts meet in each of those tasks.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic_"))
     seen = known.agg(F.count("*").alias("n"), F.sum("toxic_").alias("toxic")).first()
@@ -194,6 +195,7 @@ def score_toxicity(docs: DataFrame, model: PositiveUnlabelled | None) -> DataFra
 
     Per row: doc_id, held_out, score (probability of label 1), predicted (1 from 0.5 on). A text that is null
     or has no letters scores 0, and so does every text without a model. Repeated rows are each scored.
+    A very long text counts with all its distinct words. An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +219,7 @@ def score_toxicity(docs: DataFrame, model: PositiveUnlabelled | None) -> DataFra
 
 
 def drop_toxic(docs: DataFrame, model: PositiveUnlabelled | None, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose text scores below ``threshold``; all columns are kept."""
+    """The rows of ``docs`` whose text scores below ``threshold``; all columns are kept, whatever their names. Null and wordless texts stay; rows that repeat are judged alike; empty tables stay empty."""
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
