@@ -21,12 +21,12 @@ LEAST_LANGUAGE_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or in no learned language, go; so do null texts. Rows that repeat are judged alike. A null lang is just not learned from."""
+    """Documents without letters, or in no learned language, go; so do null texts. Rows that repeat are judged alike. A null lang is just not learned from. Long texts are read whole."""
     return langid.keep_identified(docs, langid.fit_language_model(docs), LEAST_LANGUAGE_SCORE)
 
 
 def toxic_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.5 or more for toxicity go. Null and wordless texts score 0. Without toxic labels nothing goes."""
+    """Documents that score 0.5 or more for toxicity go. Null and wordless texts score 0. Without toxic labels nothing goes. Long texts count with all their words."""
     return toxicity.drop_toxic(docs, toxicity.fit_toxicity_model(docs, table(spark, sf_dir, "labels")))
 
 
@@ -41,7 +41,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences of 4096 tokens; one row per piece."""
+    """Pack what is left into sequences of 4096 tokens; one row per piece. Null and empty texts still have their end id; rows that repeat are packed once each; columns beside doc_id and text, whatever their names, aren't read; very long texts are cut."""
     return packer.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
