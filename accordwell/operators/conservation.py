@@ -144,13 +144,3 @@ def con_ten_invariants(spark, sf_dir):
     """The invariants that each change breaks, of those that apply to its family."""
     rows = invariant_results(change(spark, sf_dir))
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "family", F.array_join("failed", ",").alias("failed"), "checked", "all_passed")
-
-
-@query(
-    "con_applicability_matrix",
-    "SELECT family, invariant FROM (VALUES " + ", ".join(f"('{f}', '{i}')" for i, names in APPLIES_TO.items() for f in names) + ") m(family, invariant)",
-)
-def con_applicability_matrix(spark, sf_dir):
-    """Which invariant applies to which family, as a table."""
-    rows = [F.struct(F.lit(i).alias("invariant"), F.array(*map(F.lit, names)).alias("families")) for i, names in APPLIES_TO.items()]
-    return spark.range(1).select(F.explode(F.array(*rows)).alias("m")).select(F.explode("m.families").alias("family"), "m.invariant")

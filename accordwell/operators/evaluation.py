@@ -71,20 +71,6 @@ def agg_exact_accuracy(spark, sf_dir):
 FORMATS = ("src0", "src1", "src2", "unknown")
 
 
-@query(
-    "agg_corpus_structure",
-    """
-SELECT f.format, CAST(count(d.doc_id) AS BIGINT) AS n, round(100.0 * count(d.doc_id) / (SELECT count(*) FROM documents), 4) AS percent
-FROM (VALUES ('src0'), ('src1'), ('src2'), ('unknown')) f(format) LEFT JOIN documents d ON d.source = f.format GROUP BY f.format""",
-)
-def agg_corpus_structure(spark, sf_dir):
-    """Counts and shares over a fixed list of formats, empty ones included; both come from one pass over the table."""
-    d = P.read(spark, sf_dir, "documents")
-    counted = d.agg(F.count("*").alias("total"), *[F.count_if(F.col("source") == f).alias(f) for f in FORMATS])
-    rows = counted.select("total", F.explode(F.array(*[F.struct(F.lit(f).alias("format"), F.col(f).alias("n")) for f in FORMATS])).alias("x"))
-    return rows.select("x.format", "x.n", F.round(100.0 * F.col("x.n") / F.col("total"), 4).alias("percent"))
-
-
 def corpus_structure(texts: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
     """Counts and shares of every format (column format) in the table; wanted formats that it lacks are rows of zero."""
     counted = texts.groupBy("format").agg(F.count("*").alias("n"))
@@ -102,7 +88,7 @@ SELECT coalesce(c.format, f.format) AS format, CAST(coalesce(c.n, 0) AS BIGINT)
 FROM c FULL JOIN (VALUES ('src0'), ('src1'), ('src2'), ('unknown')) f(format) ON c.format = f.format""",
 )
 def agg_corpus_structure_all(spark, sf_dir):
-    """Every document counts under its format, unlike in ``agg_corpus_structure``, which reports the listed formats only."""
+    """Every document counts under its format."""
     return corpus_structure(P.read(spark, sf_dir, "documents").select(F.col("source").alias("format")), FORMATS)
 
 
@@ -268,16 +254,6 @@ def agg_genre_distribution(spark, sf_dir):
     return c.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy()), 4))
 
 
-@query(
-    "agg_provenance_ids",
-    "SELECT o_orderpriority AS metric, CAST(count(*) AS BIGINT) AS n, coalesce(array_to_string(list_sort(list(CAST(o_orderkey AS VARCHAR)) FILTER (o_orderkey % 500 = 0)), ','), '') AS witnesses FROM orders GROUP BY 1",
-)
-def agg_provenance_ids(spark, sf_dir):
-    """From an aggregate back to rows: a metric's witnesses (every 500th), in order."""
-    witness = F.collect_list(F.when(F.col("o_orderkey") % 500 == 0, F.col("o_orderkey").cast("string")))
-    return P.read(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("metric")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(witness), ",").alias("witnesses"))
-
-
 def provenance_rows(rows: DataFrame) -> DataFrame:
     """(metric, n, id): a row for each of ``rows`` (metric, id), with the count of its metric. No metric's ids are gathered."""
     counted = rows.groupBy(F.col("metric").alias("counted")).agg(F.count("*").alias("n"))
@@ -286,7 +262,7 @@ def provenance_rows(rows: DataFrame) -> DataFrame:
 
 @query("agg_provenance_rows", "SELECT o_orderpriority AS metric, CAST(count(*) OVER (PARTITION BY o_orderpriority) AS BIGINT) AS n, o_orderkey AS id FROM orders")
 def agg_provenance_rows(spark, sf_dir):
-    """From an aggregate back to all its rows; ``agg_provenance_ids`` lists every 500th only."""
+    """From an aggregate back to all its rows."""
     return provenance_rows(P.read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("metric"), F.col("o_orderkey").alias("id")))
 
 

@@ -122,15 +122,6 @@ def doc_context_cascade(spark, sf_dir):
     return P.clause(spark, sf_dir).select("document_id", F.coalesce(*[F.when(c, v) for c, v in tests]).alias("confidence"))
 
 
-@query(
-    "doc_composite_detection",
-    "SELECT doc_id, regexp_matches(substring(text, 1, 2000), '(?i)license') AND regexp_matches(substring(text, 1, 500), '[A-Z]{2,}') AS composite FROM documents",
-)
-def doc_composite_detection(spark, sf_dir):
-    head = lambda n: F.substring("text", 1, n)
-    return P.read(spark, sf_dir, "documents").select("doc_id", (head(2000).rlike("(?i)license") & head(500).rlike("[A-Z]{2,}")).alias("composite"))
-
-
 def composite_segments(texts: DataFrame) -> DataFrame:
     """(doc_id, start, composite): where the segment of the first "license" begins in the whole text, counted from 0, and
     whether its first 500 characters have capitals in a row. No segment: null and false."""
@@ -146,7 +137,7 @@ WITH h AS (SELECT doc_id, text, regexp_extract(text, '(?s)(?i:license).{0,493}',
 SELECT doc_id, CASE WHEN head <> '' THEN CAST(strpos(text, head) - 1 AS INTEGER) END AS start, coalesce(regexp_matches(head, '[A-Z]{2,}'), false) AS composite FROM h""",
 )
 def doc_composite_segments(spark, sf_dir):
-    """The segment wherever it begins; ``doc_composite_detection`` looks at the text's first characters only."""
+    """The segment wherever it begins."""
     return composite_segments(P.read(spark, sf_dir, "documents"))
 
 

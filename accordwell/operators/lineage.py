@@ -80,24 +80,6 @@ def grf_lineage_trace(spark, sf_dir):
     return ancestor_paths(parent_edges(P.commitment_version(spark, sf_dir)))
 
 
-CYCLIC = "SELECT l_partkey % 50 AS node, (l_partkey % 50 * 7 + l_suppkey % 3) % 60 AS parent FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 50 < 40"
-
-
-@query(
-    "grf_cycle_check",
-    f"""
-WITH RECURSIVE e AS (SELECT DISTINCT * FROM ({CYCLIC})),
-t AS (SELECT node, parent FROM e UNION SELECT t.node, e.parent FROM t JOIN e ON e.node = t.parent)
-SELECT DISTINCT node FROM t WHERE node = parent""",
-)
-def grf_cycle_check(spark, sf_dir):
-    """Nodes that are their own ancestors, on a graph that has some."""
-    part, supp = F.col("l_partkey") % 50, F.col("l_suppkey") % 3
-    rows = P.read(spark, sf_dir, "lineitem").where((F.col("l_linenumber") == 1) & (part < 40))
-    edges = rows.select(part.alias("node"), ((part * 7 + supp) % 60).alias("parent"))
-    return ancestor_paths(edges).where("node = ancestor").select("node")
-
-
 def plant_cycles(versions: DataFrame) -> DataFrame:
     """All parent edges of ``versions``; every origin whose id is a multiple of 11 gets its key's third version as parent, or the last of fewer."""
     early = F.when(F.col("version_number") <= 3, F.struct("version_number", "version_id"))
@@ -115,7 +97,7 @@ WHERE origin % 11 = 0 AND version_number <= 3""",
     "commitment_version",
 )
 def grf_version_cycles(spark, sf_dir):
-    """Versions on cycles, over the whole lineage; ``grf_cycle_check`` runs on a small folded graph. The SQL knows where the cycles were planted."""
+    """Versions on cycles, over the whole lineage. The SQL knows where the cycles were planted."""
     return cycle_nodes(plant_cycles(P.commitment_version(spark, sf_dir)))
 
 
