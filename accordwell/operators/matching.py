@@ -56,7 +56,7 @@ def match_counts(gold: DataFrame, detected: DataFrame, matches: DataFrame) -> Da
 
 
 P.SQL["annotation"] = """
-SELECT l_orderkey % 500 AS document_id, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS id, l_returnflag AS instruction_type, concat('Section ', CAST(l_partkey % 5 AS VARCHAR)) AS target_ref,
+SELECT l_orderkey // 30 AS document_id, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS id, l_returnflag AS instruction_type, concat('Section ', CAST(l_partkey % 5 AS VARCHAR)) AS target_ref,
   CASE WHEN l_partkey % 9 > 0 OR l_linenumber > 3 THEN CAST(l_partkey * 7 % 3000 AS INTEGER) END AS b, CAST(l_partkey * 7 % 3000 + CAST(l_quantity AS INTEGER) * 40 AS INTEGER) AS e, l_linenumber <= 3 AS gold FROM lineitem"""
 
 
@@ -69,7 +69,7 @@ def annotation(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     lines = with_ordinals(P.read(spark, sf_dir, "lineitem").select(*order, "l_returnflag", "l_quantity"), *order, name="id")
     start = (p * 7 % 3000).cast("int")
     s = lines.select(
-        (F.col("l_orderkey") % 500).alias("document_id"),
+        F.expr("l_orderkey DIV 30").alias("document_id"),
         "id",
         F.col("l_returnflag").alias("instruction_type"),
         F.concat(F.lit("Section "), (p % 5).cast("string")).alias("target_ref"),
