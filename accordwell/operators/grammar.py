@@ -6,11 +6,12 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import projections as P
-from ..functions.text import plain_spaces
+from ..functions.text import OTHER_SPACES, plain_spaces
 from ..registry import query
 
 # Markers of segments.
@@ -66,42 +67,109 @@ CONTEXT = {"0.2": 450, "0.3": 500, "0.4": 500}
 INSTRUCTIONS = "document_id long, number int, instruction_type string, section string, start int, end int, old_text string, new_text string, context string"
 
 
+#: Letters beyond ASCII that patterns without regard to case take for i, k and s.
+ODD_LETTERS = "\u0130\u0131\u017f\u212a"
+_OTHER_SPACE = re.compile(f"[{OTHER_SPACES}]")
+_PLAIN = dict.fromkeys(map(ord, OTHER_SPACES), " ")
+
+
+def _small(text: str) -> str | None:
+    """``text`` in small letters, each at its place, in which plain patterns find what patterns without regard to case find in ``text``; None where that doesn't hold."""
+    low = text.lower()
+    return None if len(low) != len(text) or any(c in text for c in ODD_LETTERS) else low
+
+
+class _Marker:
+    """A marker of segments: searched among small letters, and only where its word is."""
+
+    def __init__(self, pattern: str, word: str) -> None:
+        pattern = pattern.replace(r"\b", r"(?u:\b)")
+        self.word, self.any_case, self.small = word, re.compile(pattern, re.A), re.compile(pattern.removeprefix("(?i)").lower(), re.A)
+
+    def place(self, text: str, low: str | None, after: int) -> int | None:
+        if low is not None and low.find(self.word, after) < 0:
+            return None
+        m = self.any_case.search(text, after) if low is None else self.small.search(low, after)
+        return m.start() if m else None
+
+
+_BODY, _SIGNED, _WITNESS, _ANNEXES = _Marker(BODY, "therefore"), _Marker(SIGNED, "signature"), _Marker(WITNESS, "whereof"), (_Marker(ANNEX, "annex"), _Marker(ANY_ANNEX, "annex"))
+_COMPOSITE, _LETTER = re.compile(COMPOSITE, re.A), re.compile(r"(?i)ANNEX\s+([A-Z])", re.A)
+
+
+def segments(text: str) -> tuple[int, int, int | None, str | None]:
+    """(body_start, body_end, composite_start, annex) of one filing; see ``filing_segments``."""
+    t = text.translate(_PLAIN) if _OTHER_SPACE.search(text) else text
+    low = _small(t)
+    start = _BODY.place(t, low, 0) or 0
+    end = min((k for k in (_SIGNED.place(t, low, start), _WITNESS.place(t, low, start)) if k is not None), default=len(t))
+    composite = next((k for m in _ANNEXES if (k := m.place(t, low, end)) is not None), None)
+    if composite is None or not _COMPOSITE.search(head := t[composite : composite + 500]):
+        return start, end, composite, None
+    m = _LETTER.search(head[:50])
+    return start, end, composite, m[1].upper() if m else "A"
+
+
+SEGMENTS = T.StructType([T.StructField(n, T.IntegerType()) for n in ("body_start", "body_end", "composite_start")] + [T.StructField("annex", T.StringType())])
+
+
+@F.arrow_udf(SEGMENTS)
+def _segments(texts: pa.Array) -> pa.Array:
+    found = [(0, None, None, None) if t is None else segments(t) for t in texts.to_pylist()]
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string())
+    return pa.StructArray.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], SEGMENTS.names)
+
+
 def filing_segments(texts: DataFrame) -> DataFrame:
     """``texts`` with body_start, body_end, composite_start (null without one) and annex (letter of a restated agreement, else null). Offsets count code points from 0.
 
     The body goes from NOW, THEREFORE (else the beginning) to the signatures (else the end); the composite begins with the annex after it.
     """
-    t, n = plain_spaces(F.col("text")), F.length("text")
+    return texts.withColumn("segments_", _segments("text")).withColumns({n: F.col("segments_")[n] for n in SEGMENTS.names}).drop("segments_")
 
-    def place(text: Column, pattern: str, after: Column) -> Column:
-        rest = F.substring(text, after + 1, F.lit(2**31 - 1))
-        at = F.regexp_instr(rest, F.lit(pattern))
-        return F.when(at > 0, after + at - 1)
 
-    zero = F.lit(0)
-    out = texts.withColumn("body_start", F.coalesce(place(t, BODY, zero), zero))
-    start = F.col("body_start")
-    out = out.withColumn("body_end", F.coalesce(F.least(place(t, SIGNED, start), place(t, WITNESS, start)), n))
-    end = F.col("body_end")
-    out = out.withColumn("composite_start", F.coalesce(place(t, ANNEX, end), place(t, ANY_ANNEX, end)))
-    head = F.substring(t, F.col("composite_start") + 1, F.lit(500))
-    return out.withColumn("annex", F.when(head.rlike(COMPOSITE), F.coalesce(F.nullif(F.upper(F.regexp_extract(F.substring(head, 1, 50), r"(?i)ANNEX\s+([A-Z])", 1)), F.lit("")), F.lit("A"))))
+#: How any wording begins: the places where patterns are tried at all; words and pairs of words say the same of small letters.
+BEGINNING = re.compile(r"(?:Section|Article|Schedule|Exhibit|compliance|the\s+requirement|is\s+hereby)\s", re.I)
+FIRST_WORDS, FIRST_PAIRS = ("section", "article", "schedule", "exhibit", "compliance"), re.compile(r"(?:the\s+requirement|is\s+hereby)\s")
+NEW_WORDING, NEW_WORDS = re.compile(r"replac|inserting|substituting", re.I), ("replac", "inserting", "substituting")
+#: Words that no match of a pattern is without, in the order of ``GRAMMARS``: a place that one of them doesn't follow isn't tried, as finding that out by the pattern takes long.
+_EARLY = (("delet", "replac"), ("entirety",), ("restated",), ("waived",), ("adding",))
+NEEDED = {
+    "0.2": _EARLY,
+    "0.3": _EARLY,
+    "0.4": (("amended", "delet"), ("entirety",), ("restated",), ("waived",), ("agreement", "amended"), ("agreement", "deleting"), ("agreement", "modifying"), ("follows",), ("deleted", "from")),
+}
 
 
-#: How any wording begins: the places where patterns are tried at all.
-BEGINNING = re.compile(r"(?:Section|Article|Schedule|Exhibit|compliance|the\s+requirement|is\s+hereby)\s", re.I)
-NEW_WORDING = re.compile(r"replac|inserting|substituting", re.I)
+def _places(body: str, low: str | None) -> list[int]:
+    """Where a wording may begin."""
+    if low is None:
+        return [m.start() for m in BEGINNING.finditer(body)]
+    out = [m.start() for m in FIRST_PAIRS.finditer(low)]
+    for word in FIRST_WORDS:
+        at = low.find(word)
+        while at >= 0:
+            end = at + len(word)
+            if low[end : end + 1].isspace():
+                out.append(at)
+            at = low.find(word, end)
+    return sorted(out)
 
 
-def _matches(patterns: list[tuple[str, re.Pattern]], body: str) -> list[tuple[int, int, str, dict]]:
+def _matches(patterns: list[tuple[str, re.Pattern]], needed: tuple[tuple[str, ...], ...], body: str) -> list[tuple[int, int, str, dict]]:
     """All matches, those of one pattern without overlaps; one pass finds the places, instead of one for each pattern."""
-    places, out = [m.start() for m in BEGINNING.finditer(body)], []
-    last = max((m.start() for m in NEW_WORDING.finditer(body)), default=-1)
-    for kind, pattern in patterns:
+    low = _small(body)
+    places, out = _places(body, low), []
+    if not places:
+        return out
+    for (kind, pattern), words in zip(patterns, needed):
+        last = len(body) if low is None else min(map(low.rfind, words))
+        if kind == "REPLACE_TEXT":
+            last = min(last, max((m.start() for m in NEW_WORDING.finditer(body)), default=-1) if low is None else max(map(low.rfind, NEW_WORDS)))
         free = 0
         for place in places:
-            if kind == "REPLACE_TEXT" and place > last:
-                break  # no new wording follows, and finding that out by the pattern takes long
+            if place > last:
+                break
             if place >= free and (m := pattern.match(body, place)):
                 free = m.end()
                 out.append((m.start(), free, kind, m.groupdict()))
@@ -123,7 +191,7 @@ def parse_instructions(texts: DataFrame, version: str = "0.4") -> DataFrame:
 
     0.2 reads the whole text, 0.3 and 0.4 the body of the filing; 0.4 drops overlaps. Null texts have none. Places count code points from 0.
     """
-    patterns = [(kind, re.compile(p, re.I | re.S)) for kind, p in GRAMMARS[version]]
+    patterns, needed = [(kind, re.compile(p, re.I | re.S)) for kind, p in GRAMMARS[version]], NEEDED[version]
     radius = CONTEXT[version]
     names = [c.split()[0] for c in INSTRUCTIONS.split(", ")]
     kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
@@ -131,8 +199,9 @@ def parse_instructions(texts: DataFrame, version: str = "0.4") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, text, begin, end in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                found = _matches(patterns, text[begin:end])
+            for doc, text in zip(*(batch.column(k).to_pylist() for k in range(2))):
+                begin, end = (0, len(text)) if version == "0.2" else segments(text)[:2]
+                found = _matches(patterns, needed, text[begin:end])
                 found = _without_overlaps(found) if version == "0.4" else sorted(found, key=lambda h: h[0])
                 for number, (a, b, kind, groups) in enumerate(found, 1):
                     context = text[max(0, begin + a - radius) : begin + b + radius].strip()
@@ -140,11 +209,7 @@ def parse_instructions(texts: DataFrame, version: str = "0.4") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
     known = texts.where("text is not null").select(F.col("document_id").cast("long").alias("document_id"), "text")
-    if version == "0.2":
-        bounded = known.select("document_id", "text", F.lit(0).alias("a"), F.length("text").alias("b"))
-    else:
-        bounded = filing_segments(known).select("document_id", "text", "body_start", "body_end")
-    return bounded.mapInArrow(run, INSTRUCTIONS)
+    return known.mapInArrow(run, INSTRUCTIONS)
 
 
 # Test filings ({n}: a digit): two instructions each; by hand, what 0.4 and 0.3 find in them, and the target.
@@ -177,12 +242,13 @@ SELECT o_orderkey AS document_id, CAST(o_custkey % 9 + 1 AS VARCHAR) AS n, o_ord
 
 
 def filing(spark, sf_dir) -> DataFrame:
+    """Filings made of keys, which are dealt over the cores first: a small file of keys is one split, but gives long texts."""
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     clauses = F.array(*[F.lit(c[0]) for c in _CLAUSES])
     one = lambda at: F.replace(F.get(clauses, at.cast("int")), F.lit("{n}"), (cust % 9 + 1).cast("string"))
     head = F.when(key % 4 > 0, _HEAD + "NOW, THEREFORE, ").otherwise("")
     text = F.concat(head, one(key % len(_CLAUSES)), F.lit(_FILL), one((key + cust) % len(_CLAUSES)), F.lit(_FILL + _END), F.when(key % 3 == 0, _ANNEX).otherwise(""))
-    return P.read(spark, sf_dir, "orders").select(key.alias("document_id"), text.alias("text"))
+    return P.spread(P.read(spark, sf_dir, "orders").select(key, cust), "o_orderkey").select(key.alias("document_id"), text.alias("text"))
 
 
 _LEAD, _THEREFORE = len(_HEAD), len("NOW, THEREFORE, ")
