@@ -149,5 +149,6 @@ def map_span_gold_match(spark, sf_dir):
     g, p = s.where("l_linenumber <= 3").alias("g"), s.where("l_linenumber > 3").alias("p")
     on = (F.col("g.document_id") == F.col("p.document_id")) & (F.col("g.kind") == F.col("p.kind")) & (F.col("g.b") < F.col("p.e")) & (F.col("p.b") < F.col("g.e"))
     m = g.join(p, on).select(F.col("g.document_id").alias("document_id"), F.col("g.id").alias("gold_id"), F.col("p.id").alias("pred_id"), F.abs(F.col("g.b") - F.col("p.b")).alias("gap"))
+    m = m.groupBy("document_id", "gold_id", "pred_id").agg(F.min("gap").alias("gap"))  # ids that repeat in a document are one span here, else each side may take another copy and the match be lost
     nearest = lambda own, other: F.row_number().over(W.partitionBy("document_id", own).orderBy("gap", other))
     return m.withColumns({"rg": nearest("gold_id", "pred_id"), "rp": nearest("pred_id", "gold_id")}).where("rg = 1 and rp = 1").select("document_id", "gold_id", "pred_id")
