@@ -2,12 +2,19 @@
 
 A pair that is the best of both its sides will be taken whatever else is, so all such pairs are taken at once, and the pairs that
 they rule out go; this is repeated until no pair is left. Ties are ordered by the sides' ids, so the result is the sequential one.
+
+Spans compete only within one document and type. Such a group is matched where its spans are, so that spans are shuffled and not
+pairs; groups with very many pairs go by rounds over all tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +55,82 @@ def span_pairs(gold: DataFrame, detected: DataFrame, width: int = 512) -> DataFr
     return spans.unionAll(bare.select("document_id", "gold_id", "detected_id", F.lit(0.0)))
 
 
+GROUP = ["document_id", "instruction_type"]
+MOST_PAIRS, MOST_SPANS = 1 << 20, 1 << 16  # of a group that one task matches; larger ones go by rounds
+_MATCH = pa.schema([("document_id", pa.int64()), ("gold_id", pa.int64()), ("detected_id", pa.int64()), ("score", pa.float64())])
+
+
+def _pairs(gold: np.ndarray, b: np.ndarray, e: np.ndarray, known: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of both sides and score of every pair of a group, as ``span_pairs`` has them."""
+    spans = known & (b < e)
+    g, d = np.flatnonzero(gold & spans), np.flatnonzero(~gold & spans)
+    low, high = np.maximum(b[g][:, None], b[d]), np.minimum(e[g][:, None], e[d])
+    i, j = np.nonzero(low < high)
+    covered = np.maximum(e[g[i]], e[d[j]]) - np.minimum(b[g[i]], b[d[j]])
+    score = (high[i, j] - low[i, j]).astype("float64") / covered
+    bare, every = np.flatnonzero(gold & ~known & (ref >= 0)), np.flatnonzero(~gold)
+    k, m = np.nonzero(ref[bare][:, None] == ref[every]) if len(bare) else (np.empty(0, "int64"),) * 2
+    return np.concatenate([g[i], bare[k]]), np.concatenate([d[j], every[m]]), np.concatenate([score, np.zeros(len(k))])
+
+
+def _match_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The matches of groups that follow one another; only the last group of a batch waits for the next."""
+
+    def matched(table: pa.Table) -> tuple[pa.RecordBatch, int]:
+        """Matches of all groups but the last, and where that begins."""
+        code = lambda name: pc.fill_null(pc.dictionary_encode(table[name].combine_chunks()).indices, -1).to_numpy(zero_copy_only=False)
+        whole = lambda name: pc.fill_null(pc.cast(table[name], pa.int64()), 0).to_numpy()
+        doc, kind, ref, ids, b, e = table["document_id"].to_numpy(), code("instruction_type"), code("target_ref"), whole("id"), whole("b"), whole("e")
+        gold = table["gold"].to_numpy()
+        known = pc.and_(pc.is_valid(table["b"]), pc.is_valid(table["e"])).to_numpy()
+        ends = [0, *(np.flatnonzero((doc[1:] != doc[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist()]
+        out = []
+        for a, z in zip(ends, ends[1:]):
+            if not 0 < (n := np.count_nonzero(gold[a:z])) < z - a:
+                continue
+            own = ids[a:z]
+            left, right, score = _pairs(gold[a:z], b[a:z], e[a:z], known[a:z], ref[a:z])
+            best = np.lexsort((own[right], own[left], -score))
+            used: set[int] = set()
+            for g, d, s in zip(left[best].tolist(), right[best].tolist(), score[best].tolist()):
+                if g not in used and d not in used:
+                    used.update((g, d))
+                    out.append((doc[a], own[g], own[d], s))
+                    n -= 1
+                    if not n:
+                        break
+        columns = zip(*out) if out else ((),) * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _MATCH)], schema=_MATCH), ends[-1]
+
+    held = None
+    for batch in batches:
+        if batch.num_rows:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            found, begin = matched(table)
+            held = table.slice(begin)
+            yield found
+    if held is not None:
+        closing = pa.table({n: pa.concat_arrays([held[n].combine_chunks(), pa.array([-1 - held["document_id"][0].as_py() if n == "document_id" else True if n == "gold" else None], held[n].type)]) for n in held.column_names})
+        yield matched(closing)[0]
+
+
+def match_spans(gold: DataFrame, detected: DataFrame) -> DataFrame:
+    """The matches that ``greedy_matching`` makes of ``span_pairs``, with one shuffle of spans and no pair shuffled, whatever number of rounds that would take. Ids are whole numbers, each unique."""
+    side = lambda rows, name, own: rows.where("document_id is not null and instruction_type is not null").select(*GROUP, F.lit(own).alias("gold"), F.col(name).alias("id"), "target_ref", "b", "e")
+    spans = side(gold, "gold_id", True).unionAll(side(detected, "detected_id", False))
+    sizes = spans.groupBy(*GROUP).agg(F.count_if("gold").alias("g"), F.count("*").alias("n"))
+    large = materialise(sizes.where((F.col("g") * (F.col("n") - F.col("g")) > MOST_PAIRS) | (F.col("n") > MOST_SPANS)).select(*GROUP))
+    if large.isEmpty():
+        return _in_groups(spans)
+    of = lambda rows, how: rows.join(large, GROUP, how)
+    return _in_groups(of(spans, "left_anti")).unionAll(greedy_matching(span_pairs(of(gold, "left_semi"), of(detected, "left_semi"))))
+
+
+def _in_groups(spans: DataFrame) -> DataFrame:
+    return spans.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(_match_groups, "document_id long, gold_id long, detected_id long, score double")
+
+
 def match_counts(gold: DataFrame, detected: DataFrame, matches: DataFrame) -> DataFrame:
     """(document_id, tp, fp, fn) of every document that has annotations or detections."""
     tags = matches.select("document_id", F.lit(1).alias("tp"), F.lit(0).alias("g"), F.lit(0).alias("d"))
@@ -66,7 +149,7 @@ def annotation(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
     p, n = F.col("l_partkey"), F.col("l_linenumber")
     order = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-    lines = with_ordinals(P.read(spark, sf_dir, "lineitem").select(*order, "l_returnflag", "l_quantity"), *order, name="id")
+    lines = with_ordinals(P.read(spark, sf_dir, "lineitem").select(*order, "l_returnflag", "l_quantity"), *order, name="id", kept=("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_quantity"))
     start = (p * 7 % 3000).cast("int")
     s = lines.select(
         F.expr("l_orderkey DIV 30").alias("document_id"),
@@ -97,7 +180,7 @@ t AS (
 @query("map_greedy_gold_match", _MATCHED + "SELECT document_id, gold_id, detected_id, score FROM t WHERE gold_id IS NOT NULL", "annotation")
 def map_greedy_gold_match(spark, sf_dir):
     """One-to-one matches of annotated and detected spans, the best pair first; ``map_span_gold_match`` stops after one round."""
-    return greedy_matching(span_pairs(*annotation(spark, sf_dir)))
+    return match_spans(*annotation(spark, sf_dir))
 
 
 @query(
@@ -108,4 +191,4 @@ def map_greedy_gold_match(spark, sf_dir):
 def agg_gold_match_counts(spark, sf_dir):
     """True and false positives and misses of each document, from the greedy matches."""
     gold, detected = annotation(spark, sf_dir)
-    return match_counts(gold, detected, greedy_matching(span_pairs(gold, detected)))
+    return match_counts(gold, detected, match_spans(gold, detected))

@@ -1,8 +1,14 @@
 """What made queries grow faster than their input: work that one task did, rounds, and rows that were shuffled more than once."""
 
 import os
+import random
 
+import pytest
+from pyspark.sql import functions as F
+
+from accordwell import registry, suite  # noqa: F401
 from accordwell.operators import grammar as G
+from accordwell.operators import matching as M
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -31,3 +37,32 @@ def test_places_of_segments_count_code_points(spark):
     for t in (text, odd):
         got = G.filing_segments(spark.createDataFrame([(1, t)], "document_id long, text string")).first()
         assert (got.body_start, got.body_end, got.composite_start, got.annex) == (2, t.index("IN WITNESS"), t.index("ANNEX"), None)
+
+
+def test_spans_whose_id_repeats_keep_their_match(spark, tmp_path):
+    rows = [(doc, 7 * doc + k % 2, 4 - 3 * (k == 0), 20.0 + k, "N") for doc in range(400) for k in range(5)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_returnflag string")
+    lines.orderBy(F.rand(1)).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = registry.QUERIES["map_span_gold_match"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(d, 70 * d + 1, 70 * d + 4) for d in range(400)]
+
+
+@pytest.mark.parametrize("most", [M.MOST_PAIRS, 20])
+def test_spans_are_matched_in_groups_as_by_rounds(spark, monkeypatch, most):
+    rnd = random.Random(5)
+    rows = [(rnd.randrange(12), rnd.choice("AB"), f"s{rnd.randrange(3)}" if rnd.random() > 0.1 else None, b if rnd.random() > 0.2 else None, b + rnd.randint(-5, 60), n) for n in range(600) for b in [rnd.randrange(300)]]
+    rows += [(None, "A", "s1", 0, 10, 600), (3, None, "s1", 0, 10, 601)]
+    spans = spark.createDataFrame(rows, "document_id long, instruction_type string, target_ref string, b int, e int, n long")
+    gold, detected = spans.where("n % 2 = 0").withColumnRenamed("n", "gold_id"), spans.where("n % 2 = 1").withColumnRenamed("n", "detected_id")
+    wanted = sorted(map(tuple, M.greedy_matching(M.span_pairs(gold, detected)).collect()))
+    monkeypatch.setattr(M, "MOST_PAIRS", most)
+    assert wanted and sorted(map(tuple, M.match_spans(gold, detected).collect())) == wanted
+    assert M.match_spans(gold.limit(0), detected).count() == 0
+
+
+def test_matching_takes_no_rounds(spark, monkeypatch):
+    def rounds(*_):
+        raise AssertionError("rounds over all pairs")
+
+    monkeypatch.setattr(M, "greedy_matching", rounds)
+    assert registry.QUERIES["map_greedy_gold_match"](spark, DATA).count() > 0
