@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import projections as P
 from ..registry import query
+from ..storage import materialise
 from .addresses import _BOOK, _book, resolve_addresses
 
 # The fields of a commitment, the families of instruction types, families without extracted values, families whose declared old value is checked.
@@ -63,16 +64,16 @@ def as_of(asked: DataFrame, history: DataFrame, keys: Sequence[str], order: str,
     Union and carry: both tables in one sort by key and order, and the last value seen goes down to those who ask. No range
     join; a key's rows pass one after another and aren't held. Of rows with equal ``order`` the one with the greatest ``tie`` counts. Null keys find nothing.
     """
-    payload = F.struct(*columns)
-    ask = asked.select(*keys, F.col(order).alias("o_"), F.lit(0).alias("late_"), F.lit(None).alias("t_"), F.struct(*asked.columns).alias("ask_"), F.lit(None).alias("v_"))
-    have = history.select(*keys, F.col(order).alias("o_"), F.lit(1).alias("late_"), F.col(tie).alias("t_"), F.lit(None).alias("ask_"), payload.alias("v_"))
-    one = ask.unionByName(have)
-    carried = F.last("v_", ignorenulls=True).over(W.partitionBy(*keys).orderBy("o_", "late_", "t_").rowsBetween(W.unboundedPreceding, 0))
-    missing = F.lit(False)
+    have = history.select(*keys, order, F.lit(True).alias("had_"), F.col(tie).alias("t_"), F.struct(*columns).alias("v_"))
+    lost = F.col(order).isNull()
     for k in keys:
-        missing = missing | F.col(f"ask_.{k}").isNull()
-    seen = one.withColumn("v_", carried).where("ask_ is not null").withColumn("v_", F.when(~missing & F.col("ask_")[order].isNotNull(), F.col("v_")))
-    return seen.select("ask_.*", *[F.col("v_")[c].alias(c) for c in columns], F.col("v_").isNotNull().alias("found"))
+        lost = lost | F.col(k).isNull()
+    # rows that find nothing whatever the history are dealt over all tasks; columns stay apart, so that those not used later aren't shuffled
+    ask = asked.withColumns({"had_": F.lit(False), "deal_": F.when(lost, F.monotonically_increasing_id() % 4096)})
+    one = ask.unionByName(have, allowMissingColumns=True)
+    carried = F.last("v_", ignorenulls=True).over(W.partitionBy(*keys, "deal_").orderBy(order, "had_", "t_").rowsBetween(W.unboundedPreceding, 0))
+    seen = one.withColumn("v_", carried).where("not had_").withColumn("v_", F.when(F.col("deal_").isNull(), F.col("v_")))
+    return seen.select(*asked.columns, *[F.col("v_")[c].alias(c) for c in columns], F.col("v_").isNotNull().alias("found"))
 
 
 def family_of_evidence() -> Column:
@@ -116,59 +117,75 @@ def corroborated(text: Column, value: Column) -> Column:
     return value.isNull() | text.contains(F.when(number, short).otherwise(value))
 
 
-def authorise(evidence: DataFrame, book: DataFrame, versions: DataFrame, id_column: str) -> DataFrame:
-    """The outcome for each row of ``evidence``: where it is refused (``step``), or ``authorized`` with everything that the transformation consists of.
+def authorise(evidence: DataFrame, book: DataFrame, versions: DataFrame, id_column: str, carried: Sequence[str] = ()) -> DataFrame:
+    """The outcome for each row of ``evidence``: where it is refused (``step``), or ``authorized`` with everything that the transformation consists of. Columns ``carried`` come along.
 
     ``evidence``: ``id_column``, agreement_id, amendment_number and EVIDENCE. ``book``: see ``addresses.address_book``. ``versions``: agreement_id, commitment_id,
     amendment_number, version_id and fields (a map). Steps that refuse: target_identity, predecessor_lookup, transformation_type, affected_fields, value_extraction, value_provenance, old_value_consistency.
+    All that doesn't need the predecessor is judged before its sort, and texts stay behind. Resolved addresses are written once, so that Spark knows their size.
     """
     c = F.col
-    found = resolve_addresses(evidence.select("agreement_id", "section_ref"), book).drop("tier")
-    named = evidence.join(found, ["agreement_id", "section_ref"], "left")
-    past = as_of(named, versions, ["agreement_id", "commitment_id"], "amendment_number", ["version_id", "fields"], "version_id")
+    addresses = materialise(resolve_addresses(evidence.select("agreement_id", "section_ref"), book).drop("tier"))
+    named = evidence.join(addresses, ["agreement_id", "section_ref"], "left")
     given = lambda name: F.coalesce(c(name), F.lit("")) != ""
     add = lambda conf, test, n: F.least(F.lit(MOST), conf + F.when(test, n).otherwise(0))
     confidence = add(add(add(F.lit(ADDRESS), given("alias_match"), ALIAS), given("text_match"), TEXT), c("canonical_key_hint") == c("commitment_id"), HINT)
     confidence = F.when(c("commitment_id").isNotNull(), confidence).otherwise(F.when(given("alias_match"), 30).otherwise(0)).cast("int")
-    seen = past.withColumn("family", family_of_evidence()).withColumn("affected", affected_fields(F.col("family")))
-    pairs = F.transform("affected", lambda n: F.struct(n.alias("field"), F.try_element_at(c("fields"), n).alias("old_value"), new_value_of(c("family"), n).alias("new_value")))
-    valued = seen.withColumn("values", pairs)
-    empty = F.exists("values", lambda v: v["new_value"].isNull())
-    carries = ~c("family").isin(*WITHOUT_VALUES)
+    told = named.withColumns({"family_": family_of_evidence(), "confidence": confidence}).withColumn("affected", affected_fields(c("family_")))
+    valued = told.withColumn("set_", F.transform("affected", lambda n: F.struct(n.alias("field"), new_value_of(c("family_"), n).alias("new_value"))))
+    empty = F.exists("set_", lambda v: v["new_value"].isNull())
+    carries = ~c("family_").isin(*WITHOUT_VALUES)
     text = F.coalesce("source_text", F.lit(""))
     provenance = (
         F.when(c("value_provenance") == "PARSER_EXTRACTED", text != "")
-        .when(c("value_provenance") == "UNKNOWN", F.forall("values", lambda v: v["new_value"].isNull()))
+        .when(c("value_provenance") == "UNKNOWN", F.forall("set_", lambda v: v["new_value"].isNull()))
         .when(c("value_provenance") == "CURATOR_PROVIDED", (text != "") & corroborated(text, c("new_value")))
         .otherwise(False)
     )
-    held, declared = F.try_element_at(c("fields"), c("target_field")), c("declared_old_value")
+    refusal = (
+        F.when(c("family_").isNull(), "transformation_type")
+        .when(c("affected").isNull(), "affected_fields")
+        .when(carries & empty, "value_extraction")
+        .when(carries & ~provenance, "value_provenance")
+    )
+    unchecked = c("declared_old_value").isNull() | ~c("family_").isin(*CHECKED_OLD_VALUE) | c("target_field").isNull()
+    judged = valued.withColumn("refusal_", refusal)
+    going = judged.select(
+        id_column,
+        "agreement_id",
+        "amendment_number",
+        "commitment_id",
+        "confidence",
+        "refusal_",
+        *carried,
+        *[F.when(c("refusal_").isNull(), x).alias(n) for n, x in {"family_": c("family_"), "set_": c("set_"), "declared_": F.when(~unchecked, c("declared_old_value")), "checked_": F.when(~unchecked, c("target_field"))}.items()],
+    )
+    past = as_of(going, versions, ["agreement_id", "commitment_id"], "amendment_number", ["version_id", "fields"], "version_id")
+    held, declared = F.try_element_at(c("fields"), c("checked_")), c("declared_")
     number = lambda x: x.try_cast("double")
     same = F.coalesce(F.when(number(held).isNotNull() & number(declared).isNotNull(), number(held) == number(declared)).otherwise(held == declared), F.lit(False))
-    consistent = declared.isNull() | ~c("family").isin(*CHECKED_OLD_VALUE) | c("target_field").isNull() | same
     step = (
         F.when(c("commitment_id").isNull(), "target_identity")
         .when(~c("found"), "predecessor_lookup")
-        .when(c("family").isNull(), "transformation_type")
-        .when(c("affected").isNull(), "affected_fields")
-        .when(carries & empty, "value_extraction")
-        .when(carries & ~provenance, "value_provenance")
-        .when(~consistent, "old_value_consistency")
+        .when(c("refusal_").isNotNull(), c("refusal_"))
+        .when(declared.isNotNull() & ~same, "old_value_consistency")
         .otherwise("authorized")
     )
-    judged = valued.withColumns({"confidence": confidence, "step": step})
+    ended = past.withColumn("step", step)
     ok = c("step") == "authorized"
-    preserved = F.array_except(F.array(*map(F.lit, SEMANTIC_FIELDS)), "affected")
-    return judged.select(
+    values = F.transform("set_", lambda v: F.struct(v["field"].alias("field"), F.try_element_at(c("fields"), v["field"]).alias("old_value"), v["new_value"].alias("new_value")))
+    preserved = F.array_except(F.array(*map(F.lit, SEMANTIC_FIELDS)), F.transform("set_", lambda v: v["field"]))
+    return ended.select(
         id_column,
         "agreement_id",
         "step",
         "confidence",
         F.when(c("step") != "target_identity", c("commitment_id")).alias("commitment_id"),
         F.when(~c("step").isin("target_identity", "predecessor_lookup"), c("version_id")).alias("predecessor"),
-        F.when(ok, c("family")).alias("family"),
-        F.when(ok, c("values")).alias("values"),
+        F.when(ok, c("family_")).alias("family"),
+        F.when(ok, values).alias("values"),
         F.when(ok, preserved).alias("preserved"),
+        *carried,
     )
 
 
@@ -264,5 +281,5 @@ def eng_authorisations(spark, sf_dir):
 def eng_refusals(spark, sf_dir):
     """How often each step refuses, by family of the evidence."""
     evidence, versions = evidence_tables(spark, sf_dir)
-    done = authorise(evidence, _book(spark, sf_dir), versions, "evidence_id").select("evidence_id", "step")
-    return evidence.withColumn("family", F.coalesce(family_of_evidence(), F.lit("none"))).join(done, "evidence_id").groupBy("step", "family").agg(F.count("*").alias("n"))
+    kinds = evidence.withColumn("kind", F.coalesce(family_of_evidence(), F.lit("none")))
+    return authorise(kinds, _book(spark, sf_dir), versions, "evidence_id", ["kind"]).groupBy("step", F.col("kind").alias("family")).agg(F.count("*").alias("n"))

@@ -104,7 +104,16 @@ def rows_behind(bitmaps: DataFrame, metric: str) -> DataFrame:
 
 def metric_values(bitmaps: DataFrame) -> DataFrame:
     """(metric, n, denominator, rate): every metric with its count (0 where no row counts for it), and every rate with both its counts."""
-    counts = bitmaps.groupBy("metric").agg(F.sum(F.bitmap_count("rows")).alias("n"))
+    return _values(bitmaps.groupBy("metric").agg(F.sum(F.bitmap_count("rows")).alias("n")))
+
+
+def ledger_metrics(ledger: DataFrame) -> DataFrame:
+    """The same as ``metric_values`` from the ledger itself, whose rows need no ids then: one aggregation, nothing shuffled but its counts."""
+    row = ledger.agg(*[F.count_if(F.expr(c)).alias(n) for n, c in METRICS.items()])
+    return _values(row.select(F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("n")) for n in METRICS]))))
+
+
+def _values(counts: DataFrame) -> DataFrame:
     # a row for each metric, whatever the ledger's size: one struct of all counts
     whole = counts.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("metric", "n"))).alias("c"))
     count = lambda name: F.coalesce(F.try_element_at("c", F.lit(name)), F.lit(0).cast("long"))
@@ -147,30 +156,39 @@ SELECT row_number() OVER (ORDER BY evidence_id) AS candidate, agreement_id AS ch
 )
 
 
+#: What METRICS read of a ledger.
+MEASURED = ("target", "origin", "disposition", "legacy_attempted", "legacy_disposition", "state_mutated", "authority_promoted", "gold_available", "correctness")
+
+
 def candidate_ledger(spark, sf_dir) -> DataFrame:
-    """The ledger of all evidence of ``eng_authorisations``: where each candidate ended, and whether that can be scored."""
+    """The ledger of all evidence of ``eng_authorisations``: where each candidate ended, and whether that can be scored. Not numbered, see ``numbered``."""
     evidence, versions = evidence_tables(spark, sf_dir)
-    done = authorise(evidence, _book(spark, sf_dir), versions, "evidence_id").select("evidence_id", "step", "confidence", "commitment_id")
-    more = evidence.select("evidence_id", F.col("agreement_id").alias("chain_id"), family_of_evidence().alias("family"), "value_provenance", "declared_old_value", "canonical_key_hint")
     c = F.col
+    origin = F.when(c("value_provenance") == "PARSER_EXTRACTED", "parser").otherwise("extraction")
+    more = evidence.withColumns({"kind": family_of_evidence(), "origin": origin, "gold_available": c("declared_old_value").isNotNull(), "hint": c("canonical_key_hint")})
+    done = authorise(more, _book(spark, sf_dir), versions, "evidence_id", ["kind", "origin", "gold_available", "hint"])
     tried = (c("step") != "authorized") & c("commitment_id").isNotNull()
     disposition = F.when(c("step") == "authorized", "promoted").when(c("step").isin("target_identity", "predecessor_lookup", "old_value_consistency"), "rejected").otherwise("routed")
-    correct: Column = F.when(c("declared_old_value").isNull(), "not_scorable").when(c("canonical_key_hint") == c("commitment_id"), "correct").otherwise("incorrect")
-    rows = done.join(more, "evidence_id").select(
+    correct: Column = F.when(~c("gold_available"), "not_scorable").when(c("hint") == c("commitment_id"), "correct").otherwise("incorrect")
+    return done.select(
         "evidence_id",
-        "chain_id",
-        "family",
+        c("agreement_id").alias("chain_id"),
+        c("kind").alias("family"),
         c("commitment_id").alias("target"),
-        F.when(c("value_provenance") == "PARSER_EXTRACTED", "parser").otherwise("extraction").alias("origin"),
+        "origin",
         disposition.alias("disposition"),
         tried.alias("legacy_attempted"),
         F.when(tried, F.when(c("step") == "value_provenance", "applied").otherwise("unresolved")).alias("legacy_disposition"),
         c("step").isin("authorized", "value_provenance").alias("state_mutated"),
         ((c("step") == "authorized") & (c("confidence") >= 95)).alias("authority_promoted"),
-        c("declared_old_value").isNotNull().alias("gold_available"),
+        "gold_available",
         correct.alias("correctness"),
     )
-    return with_ordinals(rows, "evidence_id", name="candidate").drop("evidence_id")
+
+
+def numbered(ledger: DataFrame) -> DataFrame:
+    """What metrics read of a ledger, with candidates numbered in the order of their evidence: ids for bitmaps. Counts alone don't need them."""
+    return with_ordinals(ledger, "evidence_id", name="candidate", kept=MEASURED)
 
 
 _WITH = _AUTHORISED + f", ledger AS ({_LEDGER})\n"
@@ -188,13 +206,13 @@ _NAMES = "names AS (SELECT unnest([" + ", ".join(f"'{n}'" for n in METRICS) + "]
 )
 def agg_evaluation_metrics(spark, sf_dir):
     """All metrics and rates of the candidates' ledger."""
-    return metric_values(provenance(candidate_ledger(spark, sf_dir)))
+    return ledger_metrics(candidate_ledger(spark, sf_dir))
 
 
 @query("agg_metric_provenance", _WITH + f", {_MEMBERS} SELECT metric, (candidate - 1) // 32768 + 1 AS bucket, CAST(count(*) AS BIGINT) AS n FROM m WHERE metric IS NOT NULL GROUP BY ALL", _TABLES)
 def agg_metric_provenance(spark, sf_dir):
     """How many rows each bitmap of each metric has."""
-    return provenance(candidate_ledger(spark, sf_dir)).select("metric", "bucket", F.bitmap_count("rows").alias("n"))
+    return provenance(numbered(candidate_ledger(spark, sf_dir))).select("metric", "bucket", F.bitmap_count("rows").alias("n"))
 
 
 @query("agg_family_counters", _WITH + "SELECT coalesce(family, 'none') AS family, " + ", ".join(f"CAST(count(*) FILTER ({c}) AS BIGINT) AS {n}" for n, c in INVENTORY.items()) + " FROM ledger GROUP BY 1", _TABLES)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from accordwell import registry, suite  # noqa: F401
 from accordwell.operators import grammar as G
 from accordwell.operators import matching as M
+from accordwell.operators import reconciliation as R
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -66,3 +67,16 @@ def test_matching_takes_no_rounds(spark, monkeypatch):
 
     monkeypatch.setattr(M, "greedy_matching", rounds)
     assert registry.QUERIES["map_greedy_gold_match"](spark, DATA).count() > 0
+
+
+def test_ledgers_are_counted_without_ids_or_a_join_back(spark, monkeypatch):
+    def ordered(*_, **__):
+        raise AssertionError("ids for counts")
+
+    monkeypatch.setattr(R, "with_ordinals", ordered)
+    ledger = R.candidate_ledger(spark, DATA)
+    plan = ledger._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # of evidence with addresses
+    assert "source_text" not in plan[: plan.index("Window")]  # texts stay behind the sort
+    metrics = {r.metric: r.n for r in R.ledger_metrics(ledger).collect()}
+    assert metrics["mapped"] == ledger.count() and list(metrics) == [*R.METRICS, *R.RATES]
