@@ -3,10 +3,12 @@
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from accordwell import registry, suite  # noqa: F401
+from accordwell.operators import clauses as C
 from accordwell.operators import grammar as G
 from accordwell.operators import matching as M
 from accordwell.operators import reconciliation as R
@@ -80,3 +82,20 @@ def test_ledgers_are_counted_without_ids_or_a_join_back(spark, monkeypatch):
     assert "source_text" not in plan[: plan.index("Window")]  # texts stay behind the sort
     metrics = {r.metric: r.n for r in R.ledger_metrics(ledger).collect()}
     assert metrics["mapped"] == ledger.count() and list(metrics) == [*R.METRICS, *R.RATES]
+
+
+def test_sections_without_clauses_are_found_by_all_cores(spark, monkeypatch):
+    assert C.agreement_text(spark, DATA).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    tried = []
+    monkeypatch.setattr(C, "clause_tree", lambda text: tried.append(text) or [])
+    text = "Section 7.11 Financial Covenants. It holds:\n(a) One."
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["document_id", "text"])
+    (without,), (whole,) = C._run(iter([batch]), clauses=False), C._run(iter([batch]), clauses=True)
+    assert without.column(1) == whole.column(1) and tried == [text]
+
+
+def test_headings_labels_and_verbs_are_tried_only_where_they_may_begin():
+    assert [m["number"] for m in C._headings("Section 1 One\nSection 2 Two. Section 3 Three.\tSection 4 Four Section 5 Five.Section 6 Six")] == ["1", "2", "3", "4"]
+    assert [m["label"] for m in C._labels("(a) x and (b) y band (c) z\n \n (d) w; (e) v (f) u or(g) t")] == ["a", "b", "d", "e", "g"]
+    assert C._states_covenant("It ſhall exceed", values=False) and not C._states_covenant("It shall stay at 5%", values=False)
+    assert C._states_covenant("It shall stay at 5%", values=True)
