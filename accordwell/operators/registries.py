@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,10 +98,18 @@ def class_unit(name: Column) -> Column:
     return F.when(~name.isin(*known), None).when(name.startswith("facility."), "usd").when(name.isin(*PERCENT_CLASSES), "percent").otherwise("ratio")
 
 
+def rare_word(pattern: str) -> str:
+    """Small letters that every match of an entry's pattern has: a run of plain characters outside of groups and of what may be missing; one with a dot, else the longest."""
+    plain = re.sub(r"\(\?:.*?\)\??", " ", pattern)
+    plain = re.sub(r"(?:\\[sb]|.)[?*+]", " ", plain).replace("\\b", " ").replace("\\.", "\0")
+    return max(re.split(r"[ .]", plain), key=lambda run: ("\0" in run, len(run))).replace("\0", ".").lower()
+
+
 def matching_entries(text: Column, section: Column) -> Column:
-    """Numbers of the registry's entries that match, in the order in which they are tried: one projection, whatever the registry's size."""
+    """Numbers of the registry's entries that match, in the order in which they are tried: one projection, whatever the registry's size. A pattern is tried only where its rarest word is."""
     subject = lambda how: plain_spaces(F.coalesce(section if how else text, F.lit("")))
-    return F.array_compact(F.array(*[F.when(subject(how).rlike("(?i)" + pattern), F.lit(k)) for k, (pattern, _, how) in enumerate(REGISTRY)]))
+    hits = [F.when(F.lower(subject(how)).contains(rare_word(pattern)) & subject(how).rlike("(?i)" + pattern), F.lit(k)) for k, (pattern, _, how) in enumerate(REGISTRY)]
+    return F.array_compact(F.array(*hits))
 
 
 def resolve_mentions(mentions: DataFrame, state: DataFrame | None = None) -> DataFrame:
@@ -114,7 +124,8 @@ def resolve_mentions(mentions: DataFrame, state: DataFrame | None = None) -> Dat
     if state is None:
         chosen = found.withColumn("number", F.get("matches", F.lit(0)))
     else:
-        rows = found.select("mention_id", "agreement_id", F.explode("matches").alias("number")).withColumn("canonical_key", F.get(names, number))
+        # outer: else a filter on the size of matches is inferred, and computes them once more where the texts are read
+        rows = found.select("mention_id", "agreement_id", F.explode_outer("matches").alias("number")).withColumn("canonical_key", F.get(names, number))
         first = rows.join(state.select("agreement_id", "canonical_key").distinct(), ["agreement_id", "canonical_key"], "left_semi").groupBy("mention_id").agg(F.min("number").alias("number"))
         chosen = found.join(first, "mention_id", "left")
     by_text = sum(how == 0 for _, _, how in REGISTRY)
@@ -133,7 +144,7 @@ def mention(spark, sf_dir) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     text = F.get(F.array(*map(F.lit, (*_PHRASES, ""))), (k % 13).cast("int"))
     ref = F.concat(F.when(c % 2 == 0, "Section ").otherwise("SECTION  "), (c % 4 + 5).cast("string"), F.lit("."), (k % 17).cast("string"))
-    return P.read(spark, sf_dir, "orders").select((c % 25).alias("agreement_id"), k.alias("mention_id"), text.alias("text"), F.when(c % 6 != 0, ref).alias("section_ref"))
+    return P.spread(P.read(spark, sf_dir, "orders").select(k, c), "o_orderkey").select((c % 25).alias("agreement_id"), k.alias("mention_id"), text.alias("text"), F.when(c % 6 != 0, ref).alias("section_ref"))
 
 
 def in_state(spark, sf_dir) -> DataFrame:

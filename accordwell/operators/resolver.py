@@ -173,7 +173,7 @@ def resolver_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Instructions of every outcome; the threshold in force is 4 in every other agreement."""
     from .registries import in_state
 
-    o = P.read(spark, sf_dir, "orders")
+    o = P.spread(P.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
     k = (F.col("o_orderkey") % len(_CASES)).cast("int")
     of = lambda n: F.get(F.array(*[F.lit(c[n]).cast("string") for c in _CASES]), k)
     asked = o.select(F.col("o_orderkey").alias("mention_id"), (F.col("o_custkey") % 25).alias("agreement_id"), of(0).alias("text"), of(1).alias("section_ref"), of(2).alias("instruction_type"))

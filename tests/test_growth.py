@@ -12,6 +12,8 @@ from accordwell.operators import clauses as C
 from accordwell.operators import grammar as G
 from accordwell.operators import matching as M
 from accordwell.operators import reconciliation as R
+from accordwell.operators import registries as Y
+from accordwell.operators import resolver as V
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -99,3 +101,19 @@ def test_headings_labels_and_verbs_are_tried_only_where_they_may_begin():
     assert [m["label"] for m in C._labels("(a) x and (b) y band (c) z\n \n (d) w; (e) v (f) u or(g) t")] == ["a", "b", "d", "e", "g"]
     assert C._states_covenant("It ſhall exceed", values=False) and not C._states_covenant("It shall stay at 5%", values=False)
     assert C._states_covenant("It shall stay at 5%", values=True)
+
+
+def test_entries_are_tried_only_where_their_word_is(spark):
+    assert [Y.rare_word(p) for p in (r"Minimum\s+Liquidity(?:\s+Ratio)?", r"Minimum\s+Shareholders.?\s+Equity", r"section\s+5\.0?1", r"section\s+10\.1\b")] == ["liquidity", "shareholders", "5.", "10.1"]
+    texts = ["MINIMUM \t LIQUIDITY", "minimum shareholders' equity of a Term\xa0Loan", "Tier 1 Leverage Ratio", "Revolving  Credit", "Section 5.1", "SECTION 10.10", "section\n6.012", "Kelvin", "", None]
+    asked = spark.createDataFrame([(a, b) for a in texts for b in texts], "t string, s string")
+    plain = lambda c: Y.plain_spaces(F.coalesce(F.col(c), F.lit("")))
+    tried = F.array_compact(F.array(*[F.when(plain("s" if how else "t").rlike("(?i)" + p), F.lit(k)) for k, (p, _, how) in enumerate(Y.REGISTRY)]))
+    assert all(r.a == r.b for r in asked.select(tried.alias("a"), Y.matching_entries(F.col("t"), F.col("s")).alias("b")).collect())
+    assert Y.mention(spark, DATA).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert V.resolver_tables(spark, DATA)[0].rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_entries_are_tried_once(spark):
+    plan = Y.resolve_mentions(Y.mention(spark, DATA), Y.in_state(spark, DATA))._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("RLIKE" in line and "Filter" in line for line in plan.splitlines())
