@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property, partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -88,14 +89,21 @@ def _columns(state: dict | None) -> tuple:
     return state["status"], state["valid_from"], state["valid_to"], start, end, list(state["fields"].items()), state["exceptions"], state["party"]
 
 
-def _schema() -> pa.Schema:
+#: Columns of events, restores and errors, and of states.
+_OF_EVENTS = [c.split()[0] for c in RESULT.split(", ")][:12]
+_OF_STATES = ["kind", "chain_id", "target_key", "action", *[c.split()[0] for c in STATE.split(", ")]]
+_TYPES = dict(c.split() for c in RESULT.split(", "))
+
+
+def _schema(names: list[str]) -> pa.Schema:
     text = pa.string()
     kinds = {"string": text, "long": pa.int64(), "int": pa.int32(), "map<string,string>": pa.map_(text, text), "array<string>": pa.list_(text)}
-    return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in RESULT.split(", ")])
+    return pa.schema([(n, kinds[_TYPES[n]]) for n in names])
 
 
-def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema, key, kept = _schema(), None, Key()
+def _run(batches: Iterator[pa.RecordBatch], states: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of states, or of everything else: only what is asked for leaves the task."""
+    schema, key, kept = _schema(_OF_STATES if states else _OF_EVENTS), None, Key()
     for batch in batches:
         rows = []
         for values in zip(*(c.to_pylist() for c in batch.columns)):
@@ -108,16 +116,19 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if i["amendment_number"] == COMPARISON:
                 error = kept.close()
-                if error:
-                    rows.append((*("error", *own), None, None, None, None, "ERROR", error, *(None,) * 11))
-                restored = kept.restore(i["at"])
-                rows.append(("state", *own, None, None, None, None, None, "restore" if restored else None, None, None, None, *_columns(kept.now)))
+                if states:
+                    restored = kept.restore(i["at"])
+                    rows.append(("state", *own, "restore" if restored else None, *_columns(kept.now)))
+                elif error:
+                    rows.append(("error", *own, None, None, None, None, "ERROR", error, None, None, None))
                 continue
             if i["payload"] is not None:
                 i["payload"] = dict(i["payload"])
             for e in kept.read(i):
+                if states:
+                    continue
                 event = e["kind"] == "event"
-                rows.append((e["kind"], *own, i["amendment_number"], e.get("instruction_order"), e.get("instruction_type"), i["field"] if event else None, e["outcome"], e["action"], e.get("field"), e.get("old"), e.get("new"), *(None,) * 8))
+                rows.append((e["kind"], *own, i["amendment_number"], e.get("instruction_order"), e.get("instruction_type"), i["field"] if event else None, e["outcome"], e["action"], e.get("field"), e.get("old"), e.get("new")))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
 
@@ -138,7 +149,7 @@ class Chains:
 
     ``amendments``: chain_id, amendment_number (1 or more), at (effective time). ``instructions``: chain_id, amendment_number, instruction_order and the
     columns of ROW that they have. ``origins``: chain_id, target_key, payload (fields, with lists joined by "|"). ``chains``: chain_id, comparison_at.
-    Instructions whose amendment is unknown have no effective time, so they wait for no restore.
+    Instructions whose amendment is unknown have no effective time, so they wait for no restore. States and events are each made by a run of their own.
     """
 
     def __init__(self, amendments: DataFrame, instructions: DataFrame, origins: DataFrame, chains: DataFrame) -> None:
@@ -149,26 +160,35 @@ class Chains:
         ends = keys.join(chains.select("chain_id", F.col("comparison_at").alias("at")), "chain_id", "left").withColumn("amendment_number", F.lit(COMPARISON))
         rows = timed.withColumn("field", effective_field(F.col("field"), F.col("domain_effect"))).unionAll(opening).unionAll(prepared(ends))
         order = ["chain_id", "target_key", "amendment_number", "instruction_order", *[n for n in _NAMES if n not in ("chain_id", "target_key", "amendment_number", "instruction_order", "payload")]]
-        self.results = materialise(rows.repartition("chain_id", "target_key").sortWithinPartitions(*order).mapInArrow(_run, RESULT))
+        self.rows = rows.repartition("chain_id", "target_key").sortWithinPartitions(*order)
+
+    def _of(self, states: bool) -> DataFrame:
+        names = _OF_STATES if states else _OF_EVENTS
+        return self.rows.mapInArrow(partial(_run, states=states), ", ".join(f"{n} {_TYPES[n]}" for n in names))
+
+    @cached_property
+    def _outcomes(self) -> DataFrame:
+        """What ``resolved`` and ``steps`` read of the events, more than once: written once."""
+        return materialise(self._of(states=False).where("kind = 'event'").select("chain_id", "target_key", "amendment_number", "instruction_type", "outcome", "wanted"))
 
     def events(self) -> DataFrame:
         """What each instruction did or why it stays unresolved; restores, before the amendment that finds them due; errors of plans."""
-        return self.results.where("kind <> 'state'").select("kind", "chain_id", "target_key", "amendment_number", "instruction_order", "instruction_type", "outcome", "action", F.col("field_").alias("field"), "old", "new")
+        return self._of(states=False).select("kind", "chain_id", "target_key", "amendment_number", "instruction_order", "instruction_type", "outcome", "action", F.col("field_").alias("field"), "old", "new")
 
     def states(self) -> DataFrame:
         """Every target's state at its chain's comparison, and whether a restore came after the last amendment."""
         times = {n: F.timestamp_micros(n).cast("timestamp_ntz") for n in ("valid_from", "valid_to", "waived_from", "waived_to")}
-        return self.results.where("kind = 'state'").withColumns(times).select("chain_id", "target_key", *[c.strip().split()[0] for c in STATE.split(", ")], F.col("action").isNotNull().alias("restored"))
+        return self._of(states=True).withColumns(times).select("chain_id", "target_key", *[c.strip().split()[0] for c in STATE.split(", ")], F.col("action").isNotNull().alias("restored"))
 
     def resolved(self) -> DataFrame:
         """What stayed unresolved, and the first later amendment that resolved it: (chain_id, target_key, amendment_number, resolved_by)."""
-        e = self.results.where("kind = 'event'").select(F.col("chain_id").alias("agreement_id"), "target_key", F.col("amendment_number").alias("step"), "instruction_type", "outcome", "wanted")
+        e = self._outcomes.select(F.col("chain_id").alias("agreement_id"), "target_key", F.col("amendment_number").alias("step"), "instruction_type", "outcome", "wanted")
         return resolutions(e).select(F.col("agreement_id").alias("chain_id"), "target_key", F.col("step").alias("amendment_number"), "resolved_by")
 
     def steps(self) -> DataFrame:
         """Each amendment: applied, unresolved, status, outstanding (what it and those before left open and nothing resolved yet), and authoritative."""
         keys = ["chain_id", "amendment_number"]
-        done = self.results.where("kind = 'event'").groupBy(*keys).agg(F.count_if(F.col("outcome") == "APPLIED").alias("applied"), F.count_if(F.col("outcome") != "APPLIED").alias("unresolved"))
+        done = self._outcomes.groupBy(*keys).agg(F.count_if(F.col("outcome") == "APPLIED").alias("applied"), F.count_if(F.col("outcome") != "APPLIED").alias("unresolved"))
         open_ = self.resolved()
         moves = open_.select(*keys, F.lit(1).alias("n")).unionAll(open_.where("resolved_by is not null").select("chain_id", F.col("resolved_by").alias("amendment_number"), F.lit(-1).alias("n"))).groupBy(*keys).agg(F.sum("n").alias("n"))
         zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)

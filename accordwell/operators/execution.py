@@ -36,6 +36,7 @@ EVENT = (
     "agreement_id long, target_key string, step int, instruction_type string, outcome string, action string, field string, old string, new string, "
     "status string, valid_from timestamp_ntz, valid_to timestamp_ntz, fields map<string,string>, exceptions array<string>, party array<string>"
 )
+OUTCOME = "agreement_id long, target_key string, step int, instruction_type string, wanted string, outcome string, action string"
 
 
 class Refused(Exception):
@@ -124,7 +125,7 @@ def _schema(columns: str) -> pa.Schema:
 
 def _instructions(batch: pa.RecordBatch) -> Iterator[dict]:
     """Rows from columns; times as microseconds, which cost less than objects."""
-    columns = [c.cast(pa.int64()) if pa.types.is_timestamp(c.type) else c for c in batch.columns]
+    columns = [c.cast(pa.int64()) if pa.types.is_timestamp(c.type) else c for c in batch.columns[: len(_NAMES)]]
     for values in zip(*(c.to_pylist() for c in columns)):
         i = dict(zip(_NAMES, values))
         if i["payload"] is not None:
@@ -172,9 +173,22 @@ def _run_to_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch([(*key, *counts, *_state_values(state))], schema)
 
 
-def _in_order(instructions: DataFrame) -> DataFrame:
+def _run_to_outcomes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema, key, state = _schema(OUTCOME), None, None
+    for batch in batches:
+        outcomes, actions = [], []
+        for i in _instructions(batch):
+            if (own := (i["agreement_id"], i["target_key"])) != key:
+                key, state = own, None
+            state, event = step(state, i)
+            outcomes.append(event["outcome"])
+            actions.append(event["action"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], batch.column(len(_NAMES)), pa.array(outcomes, pa.string()), pa.array(actions, pa.string())], schema=schema)
+
+
+def _in_order(instructions: DataFrame, *more: Column) -> DataFrame:
     types = dict(c.split() for c in INSTRUCTION.split(", "))
-    full = instructions.select(*[(F.col(n) if n in instructions.columns else F.lit(None)).cast(types[n]).alias(n) for n in _NAMES])
+    full = instructions.select(*[(F.col(n) if n in instructions.columns else F.lit(None)).cast(types[n]).alias(n) for n in _NAMES], *more)
     order = ["agreement_id", "target_key", "step", *[n for n in _NAMES[3:] if n != "payload"]]
     return full.repartition("agreement_id", "target_key").sortWithinPartitions(*order)
 
@@ -185,6 +199,12 @@ def execute_to_states(instructions: DataFrame) -> DataFrame:
     return done.select("agreement_id", "target_key", *_STATE_COLUMNS, "applied", "unresolved", execution_status(F.col("applied"), F.col("unresolved")).alias("outcome"))
 
 
+def execute_to_outcomes(instructions: DataFrame) -> DataFrame:
+    """``execute`` without states and values: what became of each instruction, and the effective field that it is about (``wanted``)."""
+    field, effect = (F.col(n) if n in instructions.columns else F.lit(None).cast("string") for n in ("field", "domain_effect"))
+    return _in_order(instructions, effective_field(field, effect).alias("wanted")).mapInArrow(_run_to_outcomes, OUTCOME)
+
+
 def execute(instructions: DataFrame) -> DataFrame:
     """An event for each instruction, in the order of ``step`` for each (agreement_id, target_key), with the state after it.
 
@@ -293,7 +313,7 @@ e AS (SELECT *, CASE WHEN result IN ('reference_change', 'add', 'replace', 'waiv
 @query("sta_execution_events", _EXECUTION + "SELECT agreement_id, target_key, step, instruction_type, outcome, result AS action FROM e", "full_instruction")
 def sta_execution_events(spark, sf_dir):
     """The event log: what each instruction did, or why it stays unresolved."""
-    return execute(full_instruction(spark, sf_dir)).select("agreement_id", "target_key", "step", "instruction_type", "outcome", "action")
+    return execute_to_outcomes(full_instruction(spark, sf_dir)).drop("wanted")
 
 
 @query(
@@ -325,6 +345,4 @@ WHERE u.outcome = 'UNRESOLVED' GROUP BY 1, 2, 3""",
 )
 def sta_resolved_by_match(spark, sf_dir):
     """An unresolved instruction is resolved by the first later applied one of its type on the same field of the same target."""
-    instructions = full_instruction(spark, sf_dir)
-    wanted = instructions.select("agreement_id", "step", effective_field(F.col("field"), F.col("domain_effect")).alias("wanted"))
-    return resolutions(execute(instructions).join(wanted, ["agreement_id", "step"]))
+    return resolutions(execute_to_outcomes(full_instruction(spark, sf_dir)))

@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from accordwell import registry, suite  # noqa: F401
+from accordwell.operators import chain_execution as H
 from accordwell.operators import clauses as C
+from accordwell.operators import execution as E
 from accordwell.operators import grammar as G
 from accordwell.operators import matching as M
 from accordwell.operators import reconciliation as R
@@ -117,3 +119,20 @@ def test_entries_are_tried_only_where_their_word_is(spark):
 def test_entries_are_tried_once(spark):
     plan = Y.resolve_mentions(Y.mention(spark, DATA), Y.in_state(spark, DATA))._jdf.queryExecution().optimizedPlan().toString()
     assert not any("RLIKE" in line and "Filter" in line for line in plan.splitlines())
+
+
+def test_only_what_is_asked_for_leaves_the_tasks(spark, monkeypatch):
+    chains = H.Chains(*H.chain_tables(spark, DATA))
+    assert "fields" not in chains._of(states=False).columns and "old" not in chains._of(states=True).columns
+    written = []
+    monkeypatch.setattr(H, "materialise", lambda df: written.append(df.columns) or df)
+    H.Chains(*H.chain_tables(spark, DATA)).states(), H.Chains(*H.chain_tables(spark, DATA)).events(), H.Chains(*H.chain_tables(spark, DATA)).steps()
+    assert written == [["chain_id", "target_key", "amendment_number", "instruction_type", "outcome", "wanted"]]
+
+
+def test_outcomes_are_resolved_without_a_join(spark):
+    plan = registry.QUERIES["sta_resolved_by_match"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    bare = spark.createDataFrame([(1, "k", 1, "SUSPEND"), (1, "k", 2, "ADD")], "agreement_id long, target_key string, step int, instruction_type string")
+    got = E.execute_to_outcomes(bare)
+    assert sorted(map(tuple, got.collect())) == sorted((r.agreement_id, r.target_key, r.step, r.instruction_type, None, r.outcome, r.action) for r in E.execute(bare).collect())
