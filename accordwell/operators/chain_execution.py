@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import projections as P
+from ..functions.columns import python_values
 from ..registry import query
 from ..storage import materialise
 from .execution import LISTS, effective_field, resolutions, step
@@ -106,7 +107,7 @@ def _run(batches: Iterator[pa.RecordBatch], states: bool) -> Iterator[pa.RecordB
     schema, key, kept = _schema(_OF_STATES if states else _OF_EVENTS), None, Key()
     for batch in batches:
         rows = []
-        for values in zip(*(c.to_pylist() for c in batch.columns)):
+        for values in zip(*map(python_values, batch.columns)):
             i = dict(zip(_NAMES, values))
             own = i["chain_id"], i["target_key"]
             if own != key:
