@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import projections as P
+from ..functions.columns import python_values
 from ..registry import query
 from .state import _OUTCOME, execution_status
 
@@ -126,7 +127,7 @@ def _schema(columns: str) -> pa.Schema:
 def _instructions(batch: pa.RecordBatch) -> Iterator[dict]:
     """Rows from columns; times as microseconds, which cost less than objects."""
     columns = [c.cast(pa.int64()) if pa.types.is_timestamp(c.type) else c for c in batch.columns[: len(_NAMES)]]
-    for values in zip(*(c.to_pylist() for c in columns)):
+    for values in zip(*map(python_values, columns)):
         i = dict(zip(_NAMES, values))
         if i["payload"] is not None:
             i["payload"] = dict(i["payload"])
