@@ -8,12 +8,14 @@ A commitment's operations are read in order, past a small state; nothing is gath
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import projections as P
+from ..functions.columns import python_values
 from ..registry import query
 
 OPERATION = "commitment_id long, seq long, op string, writer string, expected int, entry long, tombstone boolean"
@@ -44,23 +46,37 @@ def _apply(versions: list[tuple[int, bool]], staged: dict[str, tuple[int, int, b
     return "promoted"
 
 
-def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _run(batches: Iterator[pa.RecordBatch], ends: bool = False) -> Iterator[pa.RecordBatch]:
+    """A row for each operation; with ``ends`` only the last of each key."""
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
     schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in RESULT.split(", ")])
     names, key = [c.split()[0] for c in OPERATION.split(", ")], None
     versions: list[tuple[int, bool]] = []
     staged: dict[str, tuple[int, int, bool]] = {}
+    op, outcome = None, ""
+
+    def row() -> tuple:
+        entry, deleted = versions[-1] if versions else (None, None)
+        return key, op["seq"], op["op"], outcome, len(versions), entry, deleted
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+
     for batch in batches:
         rows = []
-        for values in zip(*(c.to_pylist() for c in batch.columns)):
+        for values in zip(*map(python_values, batch.columns)):
+            if values[0] != key:
+                if ends and op is not None:
+                    rows.append(row())
+                key, versions, staged = values[0], [], {}
             op = dict(zip(names, values))
-            if op["commitment_id"] != key:
-                key, versions, staged = op["commitment_id"], [], {}
             outcome = _apply(versions, staged, op)
-            entry, deleted = versions[-1] if versions else (None, None)
-            rows.append((key, op["seq"], op["op"], outcome, len(versions), entry, deleted))
+            if not ends:
+                rows.append(row())
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+            yield made(rows)
+    if ends and op is not None:
+        yield made([row()])
 
 
 def replay(operations: DataFrame) -> DataFrame:
@@ -69,9 +85,18 @@ def replay(operations: DataFrame) -> DataFrame:
     STAGE with ``expected`` fails (stale) unless that is the current version's number, 0 before there is any; a writer's later stage replaces the earlier. PROMOTE is a conflict if the version
     changed since the stage. Equal ``seq`` are taken in the order of the other columns.
     """
+    return _in_order(operations).mapInArrow(_run, RESULT)
+
+
+def replay_to_ends(operations: DataFrame) -> DataFrame:
+    """The rows of ``replay`` for the last operation of each commitment; only these leave the tasks."""
+    return _in_order(operations).mapInArrow(partial(_run, ends=True), RESULT)
+
+
+def _in_order(operations: DataFrame) -> DataFrame:
     names = [c.split()[0] for c in OPERATION.split(", ")]
     full = operations.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in OPERATION.split(", ")])
-    return full.repartition("commitment_id").sortWithinPartitions(*names).mapInArrow(_run, RESULT)
+    return full.repartition("commitment_id").sortWithinPartitions(*names)
 
 
 def snapshot(results: DataFrame, seq: int | None = None) -> DataFrame:
@@ -136,4 +161,5 @@ def tmp_promotion_log(spark, sf_dir):
 )
 def tmp_promotion_snapshot(spark, sf_dir):
     """The current version of every commitment that has one and isn't deleted."""
-    return snapshot(replay(kernel_operation(spark, sf_dir)))
+    ends = replay_to_ends(kernel_operation(spark, sf_dir))
+    return ends.where("version > 0 and not deleted").select("commitment_id", "version", "current")
