@@ -14,9 +14,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """Narrow ``rows`` dealt over all cores by ``keys``, a few portions for each, before costly work on each row; how many splits a file has doesn't matter then."""
-    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+def spread(rows: DataFrame, *keys: str, portions: int = 4) -> DataFrame:
+    """Narrow ``rows`` dealt over all cores by ``keys``, ``portions`` for each, before costly work on each row; how many splits a file has doesn't matter then."""
+    return rows.repartition(portions * rows.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
 SQL: dict[str, str] = {}
