@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import projections as P
+from ..functions.columns import python_values
 from ..functions.text import OTHER_SPACES, plain_spaces
 from ..registry import query
 
@@ -76,33 +77,54 @@ _PLAIN = dict.fromkeys(map(ord, OTHER_SPACES), " ")
 def _small(text: str) -> str | None:
     """``text`` in small letters, each at its place, in which plain patterns find what patterns without regard to case find in ``text``; None where that doesn't hold."""
     low = text.lower()
+    if text.isascii():
+        return low
     return None if len(low) != len(text) or any(c in text for c in ODD_LETTERS) else low
 
 
+def _spaces_from(text: str, at: int) -> int:
+    """Where the spaces before ``at`` begin."""
+    while at > 0 and text[at - 1].isspace():
+        at -= 1
+    return at
+
+
 class _Marker:
-    """A marker of segments: searched among small letters, and only where its word is."""
+    """A marker of segments: searched among small letters, from its word on; before the spaces that lead to the word, the marker has at most ``lead`` characters."""
 
-    def __init__(self, pattern: str, word: str) -> None:
+    def __init__(self, pattern: str, word: str, lead: int = 0) -> None:
         pattern = pattern.replace(r"\b", r"(?u:\b)")
-        self.word, self.any_case, self.small = word, re.compile(pattern, re.A), re.compile(pattern.removeprefix("(?i)").lower(), re.A)
+        self.word, self.lead, self.any_case, self.small = word, lead, re.compile(pattern, re.A), re.compile(pattern.removeprefix("(?i)").lower(), re.A)
 
     def place(self, text: str, low: str | None, after: int) -> int | None:
-        if low is not None and low.find(self.word, after) < 0:
+        if low is None:
+            m = self.any_case.search(text, after)
+        elif (at := low.find(self.word, after)) < 0:
             return None
-        m = self.any_case.search(text, after) if low is None else self.small.search(low, after)
+        else:
+            m = self.small.search(low, max(after, _spaces_from(low, at) - self.lead))
         return m.start() if m else None
 
 
-_BODY, _SIGNED, _WITNESS, _ANNEXES = _Marker(BODY, "therefore"), _Marker(SIGNED, "signature"), _Marker(WITNESS, "whereof"), (_Marker(ANNEX, "annex"), _Marker(ANY_ANNEX, "annex"))
+_BODY, _SIGNED, _WITNESS, _ANNEXES = _Marker(BODY, "therefore", len("NOW,")), _Marker(SIGNED, "signature", len("[")), _Marker(WITNESS, "witness", len("IN")), (_Marker(ANNEX, "annex"), _Marker(ANY_ANNEX, "annex"))
 _COMPOSITE, _LETTER = re.compile(COMPOSITE, re.A), re.compile(r"(?i)ANNEX\s+([A-Z])", re.A)
 
 
+def _plain(text: str) -> str:
+    return text if text.isascii() or not _OTHER_SPACE.search(text) else text.translate(_PLAIN)
+
+
+def _body(t: str, low: str | None) -> tuple[int, int]:
+    """Beginning and end of the body."""
+    start = _BODY.place(t, low, 0) or 0
+    return start, min((k for k in (_SIGNED.place(t, low, start), _WITNESS.place(t, low, start)) if k is not None), default=len(t))
+
+
 def segments(text: str) -> tuple[int, int, int | None, str | None]:
     """(body_start, body_end, composite_start, annex) of one filing; see ``filing_segments``."""
-    t = text.translate(_PLAIN) if _OTHER_SPACE.search(text) else text
+    t = _plain(text)
     low = _small(t)
-    start = _BODY.place(t, low, 0) or 0
-    end = min((k for k in (_SIGNED.place(t, low, start), _WITNESS.place(t, low, start)) if k is not None), default=len(t))
+    start, end = _body(t, low)
     composite = next((k for m in _ANNEXES if (k := m.place(t, low, end)) is not None), None)
     if composite is None or not _COMPOSITE.search(head := t[composite : composite + 500]):
         return start, end, composite, None
@@ -115,7 +137,7 @@ SEGMENTS = T.StructType([T.StructField(n, T.IntegerType()) for n in ("body_start
 
 @F.arrow_udf(SEGMENTS)
 def _segments(texts: pa.Array) -> pa.Array:
-    found = [(0, None, None, None) if t is None else segments(t) for t in texts.to_pylist()]
+    found = [(0, None, None, None) if t is None else segments(t) for t in python_values(texts)]
     kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string())
     return pa.StructArray.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], SEGMENTS.names)
 
@@ -130,7 +152,7 @@ def filing_segments(texts: DataFrame) -> DataFrame:
 
 #: How any wording begins: the places where patterns are tried at all; words and pairs of words say the same of small letters.
 BEGINNING = re.compile(r"(?:Section|Article|Schedule|Exhibit|compliance|the\s+requirement|is\s+hereby)\s", re.I)
-FIRST_WORDS, FIRST_PAIRS = ("section", "article", "schedule", "exhibit", "compliance"), re.compile(r"(?:the\s+requirement|is\s+hereby)\s")
+FIRST_WORDS, FIRST_PAIRS = ("section", "article", "schedule", "exhibit", "compliance"), (("the", "requirement"), ("is", "hereby"))
 NEW_WORDING, NEW_WORDS = re.compile(r"replac|inserting|substituting", re.I), ("replac", "inserting", "substituting")
 #: Words that no match of a pattern is without, in the order of ``GRAMMARS``: a place that one of them doesn't follow isn't tried, as finding that out by the pattern takes long.
 _EARLY = (("delet", "replac"), ("entirety",), ("restated",), ("waived",), ("adding",))
@@ -139,13 +161,22 @@ NEEDED = {
     "0.3": _EARLY,
     "0.4": (("amended", "delet"), ("entirety",), ("restated",), ("waived",), ("agreement", "amended"), ("agreement", "deleting"), ("agreement", "modifying"), ("follows",), ("deleted", "from")),
 }
+#: The same for where a pattern is tried: by its place in ``GRAMMARS``, of patterns that begin with their target (``TARGETS``), words of which one begins at most so many characters after it.
+TARGETS = {v: re.compile(TARGET if v == "0.4" else SECTION, re.I) for v in GRAMMARS}
+_EVERYWHERE = ((), 0)
+_GONE_NEAR, _AMENDED_NEAR = (("deleted", "removed"), 200 + len("is hereby ")), (("amended",), 200 + len("is hereby "))
+NEAR = {
+    "0.2": {k: _EVERYWHERE for k in (0, 1, 2, 4)},
+    "0.3": {0: (("deleting", "delete"), 200), 1: _GONE_NEAR, 2: _AMENDED_NEAR, 4: _AMENDED_NEAR},
+    "0.4": {0: _EVERYWHERE, 1: _GONE_NEAR, 2: _AMENDED_NEAR, 4: _EVERYWHERE, 5: _EVERYWHERE, 6: _EVERYWHERE, 7: _EVERYWHERE},
+}
 
 
 def _places(body: str, low: str | None) -> list[int]:
     """Where a wording may begin."""
     if low is None:
         return [m.start() for m in BEGINNING.finditer(body)]
-    out = [m.start() for m in FIRST_PAIRS.finditer(low)]
+    out = []
     for word in FIRST_WORDS:
         at = low.find(word)
         while at >= 0:
@@ -153,23 +184,34 @@ def _places(body: str, low: str | None) -> list[int]:
             if low[end : end + 1].isspace():
                 out.append(at)
             at = low.find(word, end)
+    for first, word in FIRST_PAIRS:
+        at = low.find(word)
+        while at >= 0:
+            end = at + len(word)
+            if low[end : end + 1].isspace() and (space := _spaces_from(low, at)) < at and low.endswith(first, 0, space):
+                out.append(space - len(first))
+            at = low.find(word, end)
     return sorted(out)
 
 
-def _matches(patterns: list[tuple[str, re.Pattern]], needed: tuple[tuple[str, ...], ...], body: str) -> list[tuple[int, int, str, dict]]:
-    """All matches, those of one pattern without overlaps; one pass finds the places, instead of one for each pattern."""
-    low = _small(body)
+def _matches(patterns: list[tuple[str, re.Pattern]], needed: tuple[tuple[str, ...], ...], body: str, version: str | None = None, low: str | None = None) -> list[tuple[int, int, str, dict]]:
+    """All matches, those of one pattern without overlaps; one pass finds the places, instead of one for each pattern. ``version``: of NEAR; ``low``: the body's ``_small``, if known."""
+    low = _small(body) if low is None else low
     places, out = _places(body, low), []
     if not places:
         return out
-    for (kind, pattern), words in zip(patterns, needed):
-        last = len(body) if low is None else min(map(low.rfind, words))
+    near = NEAR.get(version, {}) if low is not None else {}
+    ends = [m.end() if (m := TARGETS[version].match(body, place)) else None for place in places] if near else [None] * len(places)
+    for k, ((kind, pattern), wanted) in enumerate(zip(patterns, needed)):
+        last = len(body) if low is None else min(map(low.rfind, wanted))
         if kind == "REPLACE_TEXT":
             last = min(last, max((m.start() for m in NEW_WORDING.finditer(body)), default=-1) if low is None else max(map(low.rfind, NEW_WORDS)))
-        free = 0
-        for place in places:
+        free, (words, reach) = 0, near.get(k, (None, 0))
+        for place, end in zip(places, ends):
             if place > last:
                 break
+            if words is not None and (end is None or words and all(low.find(w, place, end + reach + len(w)) < 0 for w in words)):
+                continue
             if place >= free and (m := pattern.match(body, place)):
                 free = m.end()
                 out.append((m.start(), free, kind, m.groupdict()))
@@ -186,30 +228,35 @@ def _without_overlaps(found: list[tuple[int, int, str, dict]]) -> list[tuple[int
     return kept
 
 
-def parse_instructions(texts: DataFrame, version: str = "0.4") -> DataFrame:
-    """The instructions of each text (document_id, text) by one of the ``GRAMMARS``, numbered by their beginning.
+def parse_instructions(texts: DataFrame, version: str = "0.4", context: bool = True) -> DataFrame:
+    """The instructions of each text (document_id, text) by one of the ``GRAMMARS``, numbered by their beginning; their context, which is long, only where it is asked for.
 
     0.2 reads the whole text, 0.3 and 0.4 the body of the filing; 0.4 drops overlaps. Null texts have none. Places count code points from 0.
     """
-    patterns, needed = [(kind, re.compile(p, re.I | re.S)) for kind, p in GRAMMARS[version]], NEEDED[version]
+    patterns = [(kind, re.compile(p, re.I | re.S)) for kind, p in GRAMMARS[version]]
     radius = CONTEXT[version]
-    names = [c.split()[0] for c in INSTRUCTIONS.split(", ")]
+    made = INSTRUCTIONS.split(", ")[: None if context else -1]
+    names = [c.split()[0] for c in made]
     kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, text in zip(*(batch.column(k).to_pylist() for k in range(2))):
-                begin, end = (0, len(text)) if version == "0.2" else segments(text)[:2]
-                found = _matches(patterns, needed, text[begin:end])
+            for doc, text in zip(*(python_values(batch.column(k)) for k in range(2))):
+                t = _plain(text)
+                low = _small(t)
+                begin, end = (0, len(text)) if version == "0.2" else _body(t, low)
+                body = text[begin:end]
+                found = _matches(patterns, NEEDED[version], body, version, low[begin:end] if low is not None and t is text else None)
                 found = _without_overlaps(found) if version == "0.4" else sorted(found, key=lambda h: h[0])
                 for number, (a, b, kind, groups) in enumerate(found, 1):
-                    context = text[max(0, begin + a - radius) : begin + b + radius].strip()
-                    rows.append((doc, number, kind, groups.get("section"), begin + a, begin + b, groups.get("old"), groups.get("new"), context))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+                    row = (doc, number, kind, groups.get("section"), begin + a, begin + b, groups.get("old"), groups.get("new"))
+                    rows.append((*row, text[max(0, begin + a - radius) : begin + b + radius].strip()) if context else row)
+            columns = zip(*rows) if rows else ((),) * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
     known = texts.where("text is not null").select(F.col("document_id").cast("long").alias("document_id"), "text")
-    return known.mapInArrow(run, INSTRUCTIONS)
+    return known.mapInArrow(run, ", ".join(made))
 
 
 # Test filings ({n}: a digit): two instructions each; by hand, what 0.4 and 0.3 find in them, and the target.
@@ -266,13 +313,13 @@ _FOUND = """SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id
 @query("doc_grammar_04", _PLACES + _FOUND.format("found_04"), "clause_wording filing")
 def doc_grammar_04(spark, sf_dir):
     """Instructions of the body by the broad grammar. The SQL knows what was written where."""
-    return parse_instructions(filing(spark, sf_dir)).drop("context")
+    return parse_instructions(filing(spark, sf_dir), context=False)
 
 
 @query("doc_grammar_03", _PLACES + _FOUND.format("found_03"), "clause_wording filing")
 def doc_grammar_03(spark, sf_dir):
     """Instructions of the body by the narrower grammar, sections only."""
-    return parse_instructions(filing(spark, sf_dir), "0.3").drop("context")
+    return parse_instructions(filing(spark, sf_dir), "0.3", context=False)
 
 
 @query(

@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 
 import pyarrow as pa
 import pytest
@@ -40,6 +41,31 @@ def test_patterns_are_tried_only_where_their_words_follow(monkeypatch):
         assert Counted.tried <= 102  # the places and "is hereby", by one pattern of many
 
 
+def test_patterns_are_tried_only_where_their_words_are_near(spark):
+    class Counted:
+        tried = 0
+
+        def match(self, body, place):
+            Counted.tried += 1
+
+    body = "".join(f"Section {k} stands. " for k in range(100)) + "x " * 100 + "Section 7.1 is hereby deleted in its entirety."
+    G._matches([(kind, Counted()) for kind, _ in G.GRAMMARS["0.4"][:3]], G.NEEDED["0.4"][:3], body, "0.4")
+    assert Counted.tried < 15  # not all 100
+    rnd = random.Random(3)
+    words = "Section_7.1 Section_7.deleted ARTICLE_5 the requirement_of is hereby deleted removed in_its_entirety amended and_restated by_adding delete “x” replaced_with waived of_the_Loan_Agreement to_read_as_follows from \n , ſection_3 \xa0".replace("\n", "\\n").split(" ")
+    for version, grammar in G.GRAMMARS.items():
+        patterns = [(kind, re.compile(p, re.I | re.S)) for kind, p in grammar]
+        for _ in range(1500):
+            text = rnd.choice((" ", "  ", " " + "y" * 60 + " ")).join(rnd.choices(words, k=rnd.randrange(25))).replace("_", " ").replace("\\n", "\n")
+            assert G._matches(patterns, G.NEEDED[version], text, version) == G._matches(patterns, G.NEEDED[version], text)
+
+
+def test_contexts_leave_the_tasks_only_where_asked_for(spark):
+    for name in ("doc_grammar_03", "doc_grammar_04"):
+        assert "context" not in registry.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "context" in G.parse_instructions(G.filing(spark, DATA)).columns
+
+
 def test_places_of_segments_count_code_points(spark):
     text = "\U0001f600 NOW, THEREFORE, Section 1 stands. IN WITNESS WHEREOF\nANNEX A\n\nCREDIT AGREEMENT"
     odd = text.replace("S", "ſ", 1)  # small letters differ in number or kind: read without them
