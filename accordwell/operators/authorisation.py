@@ -79,7 +79,7 @@ def as_of(asked: DataFrame, history: DataFrame, keys: Sequence[str], order: str,
 def family_of_evidence() -> Column:
     """The transformation that an instruction stands for; a schedule, steps or several fields are named by ``family_hint``. Null if none."""
     kind, exceptions = F.upper("instruction_type"), F.col("target_field") == "exceptions"
-    plain = F.coalesce(*[F.when(kind == k, f) for k, f in FAMILY_OF_TYPE.items()])
+    plain = F.try_element_at(F.create_map(*[F.lit(x) for pair in FAMILY_OF_TYPE.items() for x in pair]), kind)
     adds = F.when((F.coalesce("exception_text", F.lit("")) != "") | exceptions, "EXCEPTION_EXPANSION")
     hinted = F.when(kind.isin("REPLACE_VALUE", "REPLACE_TEXT") & F.col("family_hint").isin("MULTI_FIELD_REPLACEMENT", "SCHEDULE_REPLACEMENT", "TEMPORAL_STEP_CHANGE"), F.col("family_hint"))
     return F.when(kind == "ADD", adds).when(kind.isin("DELETE", "DELETE_COMMITMENT") & exceptions, "EXCEPTION_CONTRACTION").otherwise(F.coalesce(hinted, plain))
@@ -89,7 +89,7 @@ def affected_fields(family: Column) -> Column:
     """The fields that a transformation changes, null if they can't be told."""
     names = lambda fields: F.array(*map(F.lit, fields)).cast("array<string>")
     target = F.when(F.coalesce("target_field", F.lit("")) != "", F.array("target_field"))
-    fixed = F.coalesce(*[F.when(family == f, names(fields)) for f, fields in AFFECTED_BY_FAMILY.items()])
+    fixed = F.try_element_at(F.create_map(*[x for f, fields in AFFECTED_BY_FAMILY.items() for x in (F.lit(f), names(fields))]), family)
     return (
         F.when(family.isin(*NAMED_FIELD_FAMILIES), target)
         .when(family == "CREATE", F.coalesce(target, names(CREATED_FIELDS)))
@@ -98,6 +98,16 @@ def affected_fields(family: Column) -> Column:
     )
 
 
+def _among(name: Column, names: Sequence[str]) -> Column:
+    """``isin`` as a loop over a list, whose code stays short, so that the step's method is still compiled."""
+    return F.array_contains(F.array(*map(F.lit, names)), name)
+
+
+def fields_unknown(family: Column) -> Column:
+    """Whether ``affected_fields`` is null, without making the lists."""
+    return F.when(_among(family, NAMED_FIELD_FAMILIES), F.coalesce("target_field", F.lit("")) == "").otherwise(~_among(family, ("CREATE", "TERMINATE", *AFFECTED_BY_FAMILY)))
+
+
 def new_value_of(family: Column, name: Column) -> Column:
     """The value that a field gets: the evidence's for the field that it names, else what the family sets."""
     status = F.when(family == "WAIVER", "WAIVED").when(family == "REINSTATEMENT", "ACTIVE").when(family == "TERMINATE", "TERMINATED")
@@ -110,6 +120,11 @@ def new_value_of(family: Column, name: Column) -> Column:
     )
 
 
+def carried_value(family: Column) -> Column:
+    """What ``new_value_of`` gives for every affected field of a family that carries values (not WITHOUT_VALUES): they all get the same."""
+    return F.when((family == "EXCEPTION_EXPANSION") & ~F.col("target_field").eqNullSafe("exceptions"), F.col("exception_text")).otherwise(F.col("new_value"))
+
+
 def corroborated(text: Column, value: Column) -> Column:
     """A value is in its source text; a number also in a shorter spelling, without the zeros after its point. No value is corroborated by anything."""
     short = F.regexp_replace(value, r"\.?0+$", "")
@@ -118,38 +133,34 @@ def corroborated(text: Column, value: Column) -> Column:
 
 
 def authorise(evidence: DataFrame, book: DataFrame, versions: DataFrame, id_column: str, carried: Sequence[str] = ()) -> DataFrame:
-    """The outcome for each row of ``evidence``: where it is refused (``step``), or ``authorized`` with everything that the transformation consists of. Columns ``carried`` come along.
+    """The outcome for each row of ``evidence``: where it is refused (``step``), or ``authorized`` with everything that the transformation consists of. Columns ``carried`` come along; one of them may be ``kind``, the evidence's family whether refused or not.
 
     ``evidence``: ``id_column``, agreement_id, amendment_number and EVIDENCE. ``book``: see ``addresses.address_book``. ``versions``: agreement_id, commitment_id,
     amendment_number, version_id and fields (a map). Steps that refuse: target_identity, predecessor_lookup, transformation_type, affected_fields, value_extraction, value_provenance, old_value_consistency.
-    All that doesn't need the predecessor is judged before its sort, and texts stay behind. Resolved addresses are written once, so that Spark knows their size.
+    All that doesn't need the predecessor is judged before its sort, from plain columns; lists of values are made only where they are asked for, and texts stay behind. Resolved addresses are written once, so that Spark knows their size.
     """
     c = F.col
     addresses = materialise(resolve_addresses(evidence.select("agreement_id", "section_ref"), book).drop("tier"))
     named = evidence.join(addresses, ["agreement_id", "section_ref"], "left")
-    given = lambda name: F.coalesce(c(name), F.lit("")) != ""
-    add = lambda conf, test, n: F.least(F.lit(MOST), conf + F.when(test, n).otherwise(0))
-    confidence = add(add(add(F.lit(ADDRESS), given("alias_match"), ALIAS), given("text_match"), TEXT), c("canonical_key_hint") == c("commitment_id"), HINT)
-    confidence = F.when(c("commitment_id").isNotNull(), confidence).otherwise(F.when(given("alias_match"), 30).otherwise(0)).cast("int")
-    told = named.withColumns({"family_": family_of_evidence(), "confidence": confidence}).withColumn("affected", affected_fields(c("family_")))
-    valued = told.withColumn("set_", F.transform("affected", lambda n: F.struct(n.alias("field"), new_value_of(c("family_"), n).alias("new_value"))))
-    empty = F.exists("set_", lambda v: v["new_value"].isNull())
-    carries = ~c("family_").isin(*WITHOUT_VALUES)
+    adds = lambda test, n: F.when(test, n).otherwise(0)
+    confidence = F.least(F.lit(MOST), F.lit(ADDRESS) + adds(c("alias_match") != "", ALIAS) + adds(c("text_match") != "", TEXT) + adds(c("canonical_key_hint") == c("commitment_id"), HINT))
+    confidence = F.when(c("commitment_id").isNotNull(), confidence).otherwise(adds(c("alias_match") != "", 30)).cast("int")
+    told = named.withColumns({"kind": family_of_evidence(), "confidence": confidence})
+    fields = F.transform(affected_fields(c("kind")), lambda n: F.struct(n.alias("field"), new_value_of(c("kind"), n).alias("new_value")))
+    empty = carried_value(c("kind")).isNull()
+    carries = ~_among(c("kind"), WITHOUT_VALUES)
     text = F.coalesce("source_text", F.lit(""))
-    provenance = (
-        F.when(c("value_provenance") == "PARSER_EXTRACTED", text != "")
-        .when(c("value_provenance") == "UNKNOWN", F.forall("set_", lambda v: v["new_value"].isNull()))
-        .when(c("value_provenance") == "CURATOR_PROVIDED", (text != "") & corroborated(text, c("new_value")))
-        .otherwise(False)
-    )
+    # UNKNOWN is a provenance for nothing but empty values, which are refused before
+    known = c("value_provenance").isin("PARSER_EXTRACTED", "CURATOR_PROVIDED") & (text != "")
+    provenance = F.when(known, (c("value_provenance") == "PARSER_EXTRACTED") | corroborated(text, c("new_value"))).otherwise(False)
     refusal = (
-        F.when(c("family_").isNull(), "transformation_type")
-        .when(c("affected").isNull(), "affected_fields")
+        F.when(c("kind").isNull(), "transformation_type")
+        .when(fields_unknown(c("kind")), "affected_fields")
         .when(carries & empty, "value_extraction")
         .when(carries & ~provenance, "value_provenance")
     )
-    unchecked = c("declared_old_value").isNull() | ~c("family_").isin(*CHECKED_OLD_VALUE) | c("target_field").isNull()
-    judged = valued.withColumn("refusal_", refusal)
+    unchecked = c("declared_old_value").isNull() | ~_among(c("kind"), CHECKED_OLD_VALUE) | c("target_field").isNull()
+    judged = told.withColumn("refusal_", refusal)
     going = judged.select(
         id_column,
         "agreement_id",
@@ -158,7 +169,7 @@ def authorise(evidence: DataFrame, book: DataFrame, versions: DataFrame, id_colu
         "confidence",
         "refusal_",
         *carried,
-        *[F.when(c("refusal_").isNull(), x).alias(n) for n, x in {"family_": c("family_"), "set_": c("set_"), "declared_": F.when(~unchecked, c("declared_old_value")), "checked_": F.when(~unchecked, c("target_field"))}.items()],
+        *[F.when(c("refusal_").isNull(), x).alias(n) for n, x in {"family_": c("kind"), "set_": fields, "declared_": F.when(~unchecked, c("declared_old_value")), "checked_": F.when(~unchecked, c("target_field"))}.items()],
     )
     past = as_of(going, versions, ["agreement_id", "commitment_id"], "amendment_number", ["version_id", "fields"], "version_id")
     held, declared = F.try_element_at(c("fields"), c("checked_")), c("declared_")
@@ -209,7 +220,7 @@ def evidence_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     text = lambda x: x.cast("string")
     days = lambda x: F.datediff(x, F.lit("1992-01-01"))
     kinds = ("ADD", "DELETE", "ADD_COMMITMENT", "RESTATE_SECTION", "WAIVE_TEMPORARILY", "REINSTATE", "RENUMBER_REFERENCE", "FIND_REPLACE_REFERENCE", "UNRESOLVED")
-    kind = F.coalesce(*[F.when(k % 12 == i, name) for i, name in enumerate(kinds)], F.lit("replace_value"))
+    kind = F.coalesce(F.get(F.array(*map(F.lit, kinds)), (k % 12).cast("int")), F.lit("replace_value"))
     tail = F.when(n == 1, "(a)").when(n == 2, "(A)").when(n == 3, "(a)(i)(x)").otherwise("")
     evidence = P.read(spark, sf_dir, "lineitem").select(
         F.concat_ws("-", k, n, p, s, F.to_date("l_shipdate")).alias("evidence_id"),
@@ -281,5 +292,5 @@ def eng_authorisations(spark, sf_dir):
 def eng_refusals(spark, sf_dir):
     """How often each step refuses, by family of the evidence."""
     evidence, versions = evidence_tables(spark, sf_dir)
-    kinds = evidence.withColumn("kind", F.coalesce(family_of_evidence(), F.lit("none")))
-    return authorise(kinds, _book(spark, sf_dir), versions, "evidence_id", ["kind"]).groupBy("step", F.col("kind").alias("family")).agg(F.count("*").alias("n"))
+    done = authorise(evidence, _book(spark, sf_dir), versions, "evidence_id", ["kind"])
+    return done.groupBy("step", F.coalesce("kind", F.lit("none")).alias("family")).agg(F.count("*").alias("n"))

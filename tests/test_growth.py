@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from accordwell import registry, suite  # noqa: F401
+from accordwell.operators import authorisation as A
 from accordwell.operators import chain_execution as H
 from accordwell.operators import clauses as C
 from accordwell.operators import execution as E
@@ -116,6 +117,30 @@ def test_ledgers_are_counted_without_ids_or_a_join_back(spark, monkeypatch):
     assert metrics["mapped"] == ledger.count() and list(metrics) == [*R.METRICS, *R.RATES]
 
 
+def test_evidence_is_judged_from_plain_columns_in_methods_that_are_compiled(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name in ("eng_refusals", "eng_authorisations", "agg_family_counters", "agg_metric_provenance"):
+            run = (R.candidate_ledger(spark, DATA).select("evidence_id", *R.MEASURED) if name == "agg_metric_provenance" else registry.QUERIES[name](spark, DATA))._jdf.queryExecution()
+            assert ("lambda" in run.optimizedPlan().toString()) == (name == "eng_authorisations")  # lists only where they are asked for
+            stages = run.debug().codegenToSeq()
+            assert max(stages.apply(k)._3().maxMethodCodeSize() for k in range(stages.size())) < 8000  # larger ones stay interpreted
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_all_fields_of_a_family_that_carries_values_get_the_same(spark):
+    families = {*A.FAMILY_OF_TYPE.values(), *A.NAMED_FIELD_FAMILIES, *A.AFFECTED_BY_FAMILY, "OTHER"}
+    rows = [(f, t, n, x, None) for f in families for t in (None, "", "exceptions", "threshold", "applicability") for n in (None, "1") for x in (None, "liens")]
+    e = spark.createDataFrame(rows, "f string, target_field string, new_value string, exception_text string, effective_date date")
+    f = F.col("f")
+    set_ = F.transform(A.affected_fields(f), lambda n: A.new_value_of(f, n))
+    one = F.transform(A.affected_fields(f), lambda n: A.carried_value(f))
+    got = e.select("f", A.affected_fields(f).isNull().alias("a"), A.fields_unknown(f).alias("b"), set_.alias("x"), one.alias("y")).collect()
+    assert all(r.a == r.b for r in got) and {r.a for r in got} == {True, False}
+    assert all(r.x == r.y and r.x != [] for r in got if r.f not in A.WITHOUT_VALUES)
+
+
 def test_sections_without_clauses_are_found_by_all_cores(spark, monkeypatch):
     assert C.agreement_text(spark, DATA).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     tried = []
