@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import projections as P
 from ..registry import query
 from .addresses import _book
-from .authorisation import _AUTHORISED, authorise, evidence_tables, family_of_evidence
+from .authorisation import _AUTHORISED, authorise, evidence_tables
 from .ordering import with_ordinals
 
 # The ledger's metrics, as conditions that both engines read.
@@ -108,8 +108,9 @@ def metric_values(bitmaps: DataFrame) -> DataFrame:
 
 
 def ledger_metrics(ledger: DataFrame) -> DataFrame:
-    """The same as ``metric_values`` from the ledger itself, whose rows need no ids then: one aggregation, nothing shuffled but its counts."""
-    row = ledger.agg(*[F.count_if(F.expr(c)).alias(n) for n, c in METRICS.items()])
+    """The same as ``metric_values`` from the ledger itself, whose rows need no ids then: equal rows are counted first, of which there are at most some thousand, and only these are measured."""
+    alike = ledger.withColumn("target", F.when(F.col("target").isNotNull(), True)).groupBy(*MEASURED).agg(F.count("*").alias("n_"))
+    row = alike.agg(*[F.coalesce(F.sum(F.when(F.expr(c), F.col("n_"))), F.lit(0).cast("long")).alias(n) for n, c in METRICS.items()])
     return _values(row.select(F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("n")) for n in METRICS]))))
 
 
@@ -165,7 +166,7 @@ def candidate_ledger(spark, sf_dir) -> DataFrame:
     evidence, versions = evidence_tables(spark, sf_dir)
     c = F.col
     origin = F.when(c("value_provenance") == "PARSER_EXTRACTED", "parser").otherwise("extraction")
-    more = evidence.withColumns({"kind": family_of_evidence(), "origin": origin, "gold_available": c("declared_old_value").isNotNull(), "hint": c("canonical_key_hint")})
+    more = evidence.withColumns({"origin": origin, "gold_available": c("declared_old_value").isNotNull(), "hint": c("canonical_key_hint")})
     done = authorise(more, _book(spark, sf_dir), versions, "evidence_id", ["kind", "origin", "gold_available", "hint"])
     tried = (c("step") != "authorized") & c("commitment_id").isNotNull()
     disposition = F.when(c("step") == "authorized", "promoted").when(c("step").isin("target_identity", "predecessor_lookup", "old_value_consistency"), "rejected").otherwise("routed")
