@@ -58,19 +58,20 @@ EVIDENCE = ("source_text", "section_ref", "effective_date", "instruction_type",
 ADDRESS, ALIAS, TEXT, HINT, MOST = 90, 5, 3, 2, 95
 
 
-def as_of(asked: DataFrame, history: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], tie: str) -> DataFrame:
+def as_of(asked: DataFrame, history: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], tie: str, n: int | None = None) -> DataFrame:
     """``asked`` with ``columns`` of the last row of ``history`` (of equal keys) whose ``order`` is smaller; null where there is none, and a flag ``found``.
 
-    Union and carry: both tables in one sort by key and order, and the last value seen goes down to those who ask. No range
-    join; a key's rows pass one after another and aren't held. Of rows with equal ``order`` the one with the greatest ``tie`` counts. Null keys find nothing.
+    Union and carry: both tables in one sort by key and order, and the last value seen goes down to those who ask. No range join.
+    Portions are as many as the rows need, whose number is ``n`` (else they are counted); a key's rows are in one of them. Of rows with equal ``order`` the one with the greatest ``tie`` counts. Null keys find nothing.
     """
+    n = asked.count() + history.count() if n is None else n
     have = history.select(*keys, order, F.lit(True).alias("had_"), F.col(tie).alias("t_"), F.struct(*columns).alias("v_"))
     lost = F.col(order).isNull()
     for k in keys:
         lost = lost | F.col(k).isNull()
     # rows that find nothing whatever the history are dealt over all tasks; columns stay apart, so that those not used later aren't shuffled
     ask = asked.withColumns({"had_": F.lit(False), "deal_": F.when(lost, F.monotonically_increasing_id() % 4096)})
-    one = ask.unionByName(have, allowMissingColumns=True)
+    one = ask.unionByName(have, allowMissingColumns=True).repartition(P.portions_of(asked.sparkSession, n), *keys, "deal_")
     carried = F.last("v_", ignorenulls=True).over(W.partitionBy(*keys, "deal_").orderBy(order, "had_", "t_").rowsBetween(W.unboundedPreceding, 0))
     seen = one.withColumn("v_", carried).where("not had_").withColumn("v_", F.when(F.col("deal_").isNull(), F.col("v_")))
     return seen.select(*asked.columns, *[F.col("v_")[c].alias(c) for c in columns], F.col("v_").isNotNull().alias("found"))
@@ -137,10 +138,11 @@ def authorise(evidence: DataFrame, book: DataFrame, versions: DataFrame, id_colu
 
     ``evidence``: ``id_column``, agreement_id, amendment_number and EVIDENCE. ``book``: see ``addresses.address_book``. ``versions``: agreement_id, commitment_id,
     amendment_number, version_id and fields (a map). Steps that refuse: target_identity, predecessor_lookup, transformation_type, affected_fields, value_extraction, value_provenance, old_value_consistency.
-    All that doesn't need the predecessor is judged before its sort, from plain columns; lists of values are made only where they are asked for, and texts stay behind. Resolved addresses are written once, so that Spark knows their size.
+    All that doesn't need the predecessor is judged before its sort, from plain columns; lists of values are made only where they are asked for, and texts stay behind. References, the book and resolved addresses are written once, so that they aren't made again and Spark knows their size.
     """
     c = F.col
-    addresses = materialise(resolve_addresses(evidence.select("agreement_id", "section_ref"), book).drop("tier"))
+    asked = materialise(evidence.select("agreement_id", "section_ref").distinct())
+    addresses = materialise(resolve_addresses(asked, materialise(book)).drop("tier"))
     named = evidence.join(addresses, ["agreement_id", "section_ref"], "left")
     adds = lambda test, n: F.when(test, n).otherwise(0)
     confidence = F.least(F.lit(MOST), F.lit(ADDRESS) + adds(c("alias_match") != "", ALIAS) + adds(c("text_match") != "", TEXT) + adds(c("canonical_key_hint") == c("commitment_id"), HINT))
@@ -171,7 +173,7 @@ def authorise(evidence: DataFrame, book: DataFrame, versions: DataFrame, id_colu
         *carried,
         *[F.when(c("refusal_").isNull(), x).alias(n) for n, x in {"family_": c("kind"), "set_": fields, "declared_": F.when(~unchecked, c("declared_old_value")), "checked_": F.when(~unchecked, c("target_field"))}.items()],
     )
-    past = as_of(going, versions, ["agreement_id", "commitment_id"], "amendment_number", ["version_id", "fields"], "version_id")
+    past = as_of(going, versions, ["agreement_id", "commitment_id"], "amendment_number", ["version_id", "fields"], "version_id", evidence.count() + versions.count())
     held, declared = F.try_element_at(c("fields"), c("checked_")), c("declared_")
     number = lambda x: x.try_cast("double")
     same = F.coalesce(F.when(number(held).isNotNull() & number(declared).isNotNull(), number(held) == number(declared)).otherwise(held == declared), F.lit(False))

@@ -19,6 +19,14 @@ def spread(rows: DataFrame, *keys: str, portions: int = 4) -> DataFrame:
     return rows.repartition(portions * rows.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
+MOST_ROWS = 250_000  # that a task is to sort
+
+
+def portions_of(spark: SparkSession, n: int) -> int:
+    """In how many portions ``n`` rows are sorted: one for each core at least, and so many that what a task holds stays the same however many rows there are."""
+    return max(spark.sparkContext.defaultParallelism, -(-n // MOST_ROWS))
+
+
 SQL: dict[str, str] = {}
 
 SQL["agreement"] = "SELECT c_custkey AS agreement_id, c_name AS issuer_name FROM customer"
