@@ -9,18 +9,19 @@ pairs; groups with very many pairs go by rounds over all tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import projections as P
 from ..registry import query
 from ..storage import materialise
+from .ordering import with_ordinals
 
 
 def greedy_matching(pairs: DataFrame, left: str = "gold_id", right: str = "detected_id", score: str = "score") -> DataFrame:
@@ -74,13 +75,14 @@ def _pairs(gold: np.ndarray, b: np.ndarray, e: np.ndarray, known: np.ndarray, re
 
 
 def _match_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The matches of groups that follow one another; only the last group of a batch waits for the next."""
+    """The matches of groups that follow one another; only the last group of a batch waits for the next. Spans without a column ``id`` stand in order and are known by their places."""
 
     def matched(table: pa.Table) -> tuple[pa.RecordBatch, int]:
         """Matches of all groups but the last, and where that begins."""
         code = lambda name: pc.fill_null(pc.dictionary_encode(table[name].combine_chunks()).indices, -1).to_numpy(zero_copy_only=False)
         whole = lambda name: pc.fill_null(pc.cast(table[name], pa.int64()), 0).to_numpy()
-        doc, kind, ref, ids, b, e = table["document_id"].to_numpy(), code("instruction_type"), code("target_ref"), whole("id"), whole("b"), whole("e")
+        doc, kind, ref, b, e = table["document_id"].to_numpy(), code("instruction_type"), code("target_ref"), whole("b"), whole("e")
+        ids = whole("id") if "id" in table.column_names else np.arange(table.num_rows)
         gold = table["gold"].to_numpy()
         known = pc.and_(pc.is_valid(table["b"]), pc.is_valid(table["e"])).to_numpy()
         ends = [0, *(np.flatnonzero((doc[1:] != doc[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist()]
@@ -115,20 +117,34 @@ def _match_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield matched(closing)[0]
 
 
-def match_spans(gold: DataFrame, detected: DataFrame) -> DataFrame:
-    """The matches that ``greedy_matching`` makes of ``span_pairs``, with one shuffle of spans and no pair shuffled, whatever number of rounds that would take. Ids are whole numbers, each unique."""
-    side = lambda rows, name, own: rows.where("document_id is not null and instruction_type is not null").select(*GROUP, F.lit(own).alias("gold"), F.col(name).alias("id"), "target_ref", "b", "e")
+def match_spans(gold: DataFrame, detected: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """The matches that ``greedy_matching`` makes of ``span_pairs``, with one shuffle of spans and no pair shuffled, whatever number of rounds that would take. Ids are whole numbers, each unique.
+
+    With ``order``, spans have no ids but these columns, by which they would be numbered: matches are then known by document and score only.
+    """
+    own_id = lambda name: order or [F.col(name).alias("id")]
+    side = lambda rows, name, own: rows.where("document_id is not null and instruction_type is not null").select(*GROUP, F.lit(own).alias("gold"), *own_id(name), "target_ref", "b", "e")
     spans = side(gold, "gold_id", True).unionAll(side(detected, "detected_id", False))
     sizes = spans.groupBy(*GROUP).agg(F.count_if("gold").alias("g"), F.count("*").alias("n"))
-    large = materialise(sizes.where((F.col("g") * (F.col("n") - F.col("g")) > MOST_PAIRS) | (F.col("n") > MOST_SPANS)).select(*GROUP))
-    if large.isEmpty():
-        return _in_groups(spans)
+    is_large = (F.col("g") * (F.col("n") - F.col("g")) > MOST_PAIRS) | (F.col("n") > MOST_SPANS)
+    whole = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(is_large).alias("large")).first()
+    if not whole.large:
+        return _in_groups(spans, whole.n, order)
+    large = materialise(sizes.where(is_large).select(*GROUP))
     of = lambda rows, how: rows.join(large, GROUP, how)
-    return _in_groups(of(spans, "left_anti")).unionAll(greedy_matching(span_pairs(of(gold, "left_semi"), of(detected, "left_semi"))))
+    if order:
+        all_large = with_ordinals(of(spans, "left_semi"), *order, name="id")
+        sides = [all_large.where(F.col("gold") == own).withColumnRenamed("id", name) for own, name in ((True, "gold_id"), (False, "detected_id"))]
+    else:
+        sides = [of(gold, "left_semi"), of(detected, "left_semi")]
+    rest = _in_groups(of(spans, "left_anti"), whole.n, order)
+    return rest.unionAll(greedy_matching(span_pairs(*sides)).select(*rest.columns))
 
 
-def _in_groups(spans: DataFrame) -> DataFrame:
-    return spans.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(_match_groups, "document_id long, gold_id long, detected_id long, score double")
+def _in_groups(spans: DataFrame, n: int, order: Sequence[str] = ()) -> DataFrame:
+    placed = spans.repartition(P.portions_of(spans.sparkSession, n), *GROUP).sortWithinPartitions(*GROUP, *order).drop(*order)
+    found = placed.mapInArrow(_match_groups, "document_id long, gold_id long, detected_id long, score double")
+    return found.select("document_id", "score") if order else found
 
 
 def match_counts(gold: DataFrame, detected: DataFrame, matches: DataFrame) -> DataFrame:
@@ -143,24 +159,34 @@ SELECT l_orderkey // 30 AS document_id, row_number() OVER (ORDER BY l_orderkey,
   CASE WHEN l_partkey % 9 > 0 OR l_linenumber > 3 THEN CAST(l_partkey * 7 % 3000 AS INTEGER) END AS b, CAST(l_partkey * 7 % 3000 + CAST(l_quantity AS INTEGER) * 40 AS INTEGER) AS e, l_linenumber <= 3 AS gold FROM lineitem"""
 
 
-def annotation(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Annotated and detected spans that compete for one another, some annotations without a span."""
-    from .ordering import with_ordinals
+_IN_LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
+
 
+def _sides(lines: DataFrame, *known: Column | str) -> tuple[DataFrame, DataFrame]:
     p, n = F.col("l_partkey"), F.col("l_linenumber")
-    order = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-    lines = with_ordinals(P.read(spark, sf_dir, "lineitem").select(*order, "l_returnflag", "l_quantity"), *order, name="id", kept=("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_quantity"))
     start = (p * 7 % 3000).cast("int")
     s = lines.select(
         F.expr("l_orderkey DIV 30").alias("document_id"),
-        "id",
+        *known,
         F.col("l_returnflag").alias("instruction_type"),
         F.concat(F.lit("Section "), (p % 5).cast("string")).alias("target_ref"),
         F.when((p % 9 > 0) | (n > 3), start).alias("b"),
         (start + F.col("l_quantity").cast("int") * 40).alias("e"),
         (n <= 3).alias("gold"),
     )
-    return s.where("gold").drop("gold").withColumnRenamed("id", "gold_id"), s.where("not gold").drop("gold").withColumnRenamed("id", "detected_id")
+    return s.where("gold").drop("gold"), s.where("not gold").drop("gold")
+
+
+def annotation(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Annotated and detected spans that compete for one another, some annotations without a span."""
+    lines = P.read(spark, sf_dir, "lineitem").select(*_IN_LINE, "l_returnflag", "l_quantity")
+    gold, detected = _sides(with_ordinals(lines, *_IN_LINE, name="id", kept=("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_quantity"), n=lines.count()), "id")
+    return gold.withColumnRenamed("id", "gold_id"), detected.withColumnRenamed("id", "detected_id")
+
+
+def annotation_in_line(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The same without ids, with the columns that ids would follow: what only counts needs no numbers over all spans."""
+    return _sides(P.read(spark, sf_dir, "lineitem"), *_IN_LINE)
 
 
 _MATCHED = """
@@ -190,5 +216,5 @@ def map_greedy_gold_match(spark, sf_dir):
 )
 def agg_gold_match_counts(spark, sf_dir):
     """True and false positives and misses of each document, from the greedy matches."""
-    gold, detected = annotation(spark, sf_dir)
-    return match_counts(gold, detected, match_spans(gold, detected))
+    gold, detected = annotation_in_line(spark, sf_dir)
+    return match_counts(gold, detected, match_spans(gold, detected, _IN_LINE))

@@ -19,15 +19,15 @@ from ..storage import materialise
 _PLACES = 33  # a generated id is a partition's number, then 33 bits for the place in it
 
 
-def _ranged(rows: DataFrame, order: Sequence[Column | str], kept: Sequence[str] | None = None) -> DataFrame:
-    """``rows`` (of their columns those ``kept``) in order over range partitions, written once, with range_ and place_ (from 0)."""
-    made = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id_", F.monotonically_increasing_id())
+def _ranged(rows: DataFrame, order: Sequence[Column | str], kept: Sequence[str] | None = None, n: int | None = None) -> DataFrame:
+    """``rows`` (of their columns those ``kept``) in order over range partitions, written once, with range_ and place_ (from 0). Where their number ``n`` is known, there are as many ranges as that needs."""
+    made = rows.repartitionByRange(*([] if n is None else [P.portions_of(rows.sparkSession, n)]), *order).sortWithinPartitions(*order).withColumn("id_", F.monotonically_increasing_id())
     return materialise(made.select(*(kept or rows.columns), F.shiftright("id_", _PLACES).alias("range_"), F.col("id_").bitwiseAND(F.lit((1 << _PLACES) - 1)).alias("place_")))
 
 
-def with_ordinals(rows: DataFrame, *order: Column | str, name: str = "ordinal", kept: Sequence[str] | None = None) -> DataFrame:
-    """``rows`` (of their columns those ``kept``) with their places in the global order, from 1 without gaps. Rows that tie in ``order`` follow one another in no stated order, so order by a key."""
-    ranged = _ranged(rows, order, kept)
+def with_ordinals(rows: DataFrame, *order: Column | str, name: str = "ordinal", kept: Sequence[str] | None = None, n: int | None = None) -> DataFrame:
+    """``rows`` (of their columns those ``kept``) with their places in the global order, from 1 without gaps. ``n``: how many they are, if known. Rows that tie in ``order`` follow one another in no stated order, so order by a key."""
+    ranged = _ranged(rows, order, kept, n)
     before = ranged.groupBy("range_").agg(F.count("*").alias("n_")).withColumn("before_", F.sum("n_").over(W.orderBy("range_")) - F.col("n_"))
     placed = ranged.join(F.broadcast(before.drop("n_")), "range_")  # a row for each range
     return placed.select(*(kept or rows.columns), (F.col("before_") + F.col("place_") + 1).alias(name))

@@ -15,7 +15,9 @@ from accordwell.operators import clauses as C
 from accordwell.operators import execution as E
 from accordwell.operators import grammar as G
 from accordwell.functions.columns import python_values
+from accordwell import projections as P
 from accordwell.operators import matching as M
+from accordwell.operators import ordering as O_
 from accordwell.operators import promotion as O
 from accordwell.operators import reconciliation as R
 from accordwell.operators import registries as Y
@@ -96,6 +98,31 @@ def test_spans_are_matched_in_groups_as_by_rounds(spark, monkeypatch, most):
     assert M.match_spans(gold.limit(0), detected).count() == 0
 
 
+@pytest.mark.parametrize("most", [M.MOST_PAIRS, 20])
+def test_counts_of_matches_need_no_numbers_over_all_spans(spark, monkeypatch, most):
+    gold, detected = M.annotation(spark, DATA)
+    wanted = sorted(map(tuple, M.match_counts(gold, detected, M.match_spans(gold, detected)).collect()))
+    monkeypatch.setattr(M, "MOST_PAIRS", most)
+    numbered, number = [], M.with_ordinals
+    monkeypatch.setattr(M, "with_ordinals", lambda rows, *order, **more: numbered.append(rows) or number(rows, *order, **more))
+    assert sorted(map(tuple, registry.QUERIES["agg_gold_match_counts"](spark, DATA).collect())) == wanted
+    assert len(numbered) == (most == 20)  # only large groups that go by rounds
+
+
+def test_sorts_are_cut_into_portions_by_the_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(P, "MOST_ROWS", 100)
+    parted = lambda df: df.rdd.getNumPartitions()
+    rows = spark.range(5000).select(F.col("id").alias("n"), (F.col("id") % 7).alias("k"), F.lit("x").alias("v"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert parted(A.as_of(rows.drop("v"), rows, ["k"], "n", ["v"], "v")) == 100
+        assert parted(M.match_spans(*M.annotation_in_line(spark, DATA), M._IN_LINE)) > 50
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert O_.with_ordinals(rows, "n", n=5000).select(F.max("ordinal")).first()[0] == 5000
+    assert P.portions_of(spark, 10**9) == 10**7 and P.portions_of(spark, 0) == spark.sparkContext.defaultParallelism
+
+
 def test_matching_takes_no_rounds(spark, monkeypatch):
     def rounds(*_):
         raise AssertionError("rounds over all pairs")
