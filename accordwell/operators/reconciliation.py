@@ -1,11 +1,12 @@
 """Reconciled metrics of an evaluation: every count, rate and funnel from one scan of a ledger of candidates, with the rows behind each count.
 
-A ledger's row is expanded into the names of all metrics that it counts for; one aggregation over name and id range makes bitmaps, whose
-cardinality is the count. Bitmaps of several ledgers, or of parts of one, are merged by OR, so a count can be traced to its rows without lists of ids.
+A ledger's row is marked with all metrics that it counts for; one aggregation over ranges of ids makes bitmaps, whose cardinality is the count. Bitmaps of several ledgers, or of parts of one, are merged by OR, so a count can be traced to its rows without lists of ids.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,14 +81,18 @@ FUNNEL = {
 }
 
 
-def provenance(ledger: DataFrame, id_column: str = "candidate") -> DataFrame:
+def provenance(ledger: DataFrame, id_column: str = "candidate", n: int | None = None) -> DataFrame:
     """(metric, bucket, rows): for each metric a bitmap of the ids it counts, one for each range of ids. Ids are whole numbers from 1, best without large gaps.
 
-    Nulls count as false. The ledger is read once; bitmaps are built before the shuffle, so a metric that every row counts for is no hot group.
+    Nulls count as false. The ledger is read once; a row's metrics are the bits of one number, and a range's rows make all its bitmaps together, so rows aren't
+    multiplied and no metric is a hot group. Where the number ``n`` of rows is known, ranges are dealt over as many portions as that needs.
     """
-    names = F.array_compact(F.array(*[F.when(F.expr(c), n) for n, c in METRICS.items()]))
-    each = ledger.select(id_column, F.explode(names).alias("metric"))
-    return each.groupBy("metric", F.bitmap_bucket_number(id_column).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(id_column)).alias("rows"))
+    bits = {name: 1 << k for k, name in enumerate(METRICS)}
+    marks = reduce(Column.bitwiseOR, [F.when(F.expr(c), F.lit(bits[m])).otherwise(F.lit(0)).cast("long") for m, c in METRICS.items()])
+    each = ledger.select(F.bitmap_bucket_number(id_column).alias("bucket"), F.bitmap_bit_position(id_column).alias("bit"), marks.alias("marks"))
+    each = each if n is None else each.repartition(P.portions_of(ledger.sparkSession, n), "bucket")
+    ranges = each.groupBy("bucket").agg(*[F.expr(f"bitmap_construct_agg(bit) FILTER (WHERE marks & {b}L <> 0)").alias(m) for m, b in bits.items()])
+    return ranges.select("bucket", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("rows")) for m in METRICS]))).where(F.bitmap_count("rows") > 0).select("metric", "bucket", "rows")
 
 
 def merge_provenance(parts: DataFrame) -> DataFrame:
@@ -187,9 +192,9 @@ def candidate_ledger(spark, sf_dir) -> DataFrame:
     )
 
 
-def numbered(ledger: DataFrame) -> DataFrame:
-    """What metrics read of a ledger, with candidates numbered in the order of their evidence: ids for bitmaps. Counts alone don't need them."""
-    return with_ordinals(ledger, "evidence_id", name="candidate", kept=MEASURED)
+def numbered(ledger: DataFrame, n: int | None = None) -> DataFrame:
+    """What metrics read of a ledger (of ``n`` rows, if known), with candidates numbered in the order of their evidence: ids for bitmaps. Counts alone don't need them."""
+    return with_ordinals(ledger, "evidence_id", name="candidate", kept=MEASURED, n=n)
 
 
 _WITH = _AUTHORISED + f", ledger AS ({_LEDGER})\n"
@@ -213,7 +218,8 @@ def agg_evaluation_metrics(spark, sf_dir):
 @query("agg_metric_provenance", _WITH + f", {_MEMBERS} SELECT metric, (candidate - 1) // 32768 + 1 AS bucket, CAST(count(*) AS BIGINT) AS n FROM m WHERE metric IS NOT NULL GROUP BY ALL", _TABLES)
 def agg_metric_provenance(spark, sf_dir):
     """How many rows each bitmap of each metric has."""
-    return provenance(numbered(candidate_ledger(spark, sf_dir))).select("metric", "bucket", F.bitmap_count("rows").alias("n"))
+    n = evidence_tables(spark, sf_dir)[0].count()
+    return provenance(numbered(candidate_ledger(spark, sf_dir), n), n=n).select("metric", "bucket", F.bitmap_count("rows").alias("n"))
 
 
 @query("agg_family_counters", _WITH + "SELECT coalesce(family, 'none') AS family, " + ", ".join(f"CAST(count(*) FILTER ({c}) AS BIGINT) AS {n}" for n, c in INVENTORY.items()) + " FROM ledger GROUP BY 1", _TABLES)

@@ -156,6 +156,22 @@ def test_evidence_is_judged_from_plain_columns_in_methods_that_are_compiled(spar
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+def test_bitmaps_are_made_of_rows_that_are_not_multiplied(spark, monkeypatch):
+    monkeypatch.setattr(P, "MOST_ROWS", 1000)
+    ledger = spark.range(1, 70_001).select(F.col("id").alias("candidate"), F.expr("if(id % 2 = 0, 'x', null) AS target"), F.lit("parser").alias("origin"), F.lit("promoted").alias("disposition"), F.lit(None).cast("boolean").alias("legacy_attempted"), F.lit(None).cast("string").alias("legacy_disposition"), F.expr("id % 3 = 0 AS state_mutated"), F.lit(False).alias("authority_promoted"), F.lit(True).alias("gold_available"), F.lit("correct").alias("correctness"))
+    got = R.provenance(ledger, n=70_000)
+    run = got._jdf.queryExecution().optimizedPlan()
+    assert run.toString().rindex("Generate") < run.toString().index("Aggregate")  # above it in the plan: after it
+    counts = {(r.metric, r.bucket): r.n for r in got.select("metric", "bucket", F.bitmap_count("rows").alias("n")).collect()}
+    assert counts["mapped", 1] == 32_768 and counts["mapped", 3] == 70_000 - 65_536 and counts["parser_target_resolved", 2] == 16_384 and ("authoritative_promotion", 1) not in counts
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        stages = got._jdf.queryExecution().debug().codegenToSeq()
+        assert max(stages.apply(k)._3().maxMethodCodeSize() for k in range(stages.size())) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_all_fields_of_a_family_that_carries_values_get_the_same(spark):
     families = {*A.FAMILY_OF_TYPE.values(), *A.NAMED_FIELD_FAMILIES, *A.AFFECTED_BY_FAMILY, "OTHER"}
     rows = [(f, t, n, x, None) for f in families for t in (None, "", "exceptions", "threshold", "applicability") for n in (None, "1") for x in (None, "liens")]
